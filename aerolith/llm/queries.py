@@ -10,6 +10,25 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    found = license_scan(documents(spark, sf_dir), ["doc_id"])
+    base = F.array_sort(F.array_distinct(F.col("places.label")))
+    every = F.array_sort(F.array_distinct(F.concat("places.label", "matches.label")))
+    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("matches.containment"), F.lit(0.0)))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        score.alias("score"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -17,6 +36,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_scan": op3_license_scan,
     "op5_quality_rules": op5_quality_rules,
 }
 

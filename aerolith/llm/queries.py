@@ -29,6 +29,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import read_tokens, token_files
+
+    path, codec = token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path, codec).drop("ids")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -37,6 +46,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
+    "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
 }
 

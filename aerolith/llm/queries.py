@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(documents(spark, sf_dir), ["doc_id", "source"])[0]
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
@@ -44,6 +50,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), ["doc_id"])
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import base_spans, count_kind, found_spans, secret_scan, span_text
+
+    found, name = secret_scan(documents(spark, sf_dir), ["doc_id"])
+    spans = F.col(name)
+    return found.select(
+        "doc_id",
+        count_kind(spans, 0).alias("n_assign"),
+        count_kind(spans, 1).alias("n_access"),
+        count_kind(spans, 2).alias("n_hex"),
+        F.sha2(span_text(base_spans(spans)), 256).alias("base_sha256"),
+        span_text(found_spans(spans)).alias("spans"),
+        F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_lexicon, held_out, score_toxicity
 
@@ -53,9 +75,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op3_license_scan": op3_license_scan,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -16,6 +16,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), ["doc_id", "source"])[0]
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), ["doc_id"])
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
@@ -76,6 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_license_scan": op3_license_scan,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,

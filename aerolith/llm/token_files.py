@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import prefix_hash, shared_dir, span_hash, text_slices
 
-#: bounds of the dictionary's training sample (documents, bytes of ids) and of the dictionary
-SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 4 << 20, 64 << 10
+#: bounds of the dictionary's training sample (documents, characters of each, bytes of ids) and of the dictionary
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES, DICT_BYTES = 500, 16_000, 4 << 20, 64 << 10
 #: a shard is closed once its frames have so many bytes
 SHARD_BYTES = 4 << 20
 #: distinct pieces of text whose ids a worker remembers
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: pieces of one call of the tokenizer
+JOIN = 2000
 LEVEL = 3
 
 SHARD = "part int, shard int, dict_sha256 string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, frames binary"
@@ -35,6 +37,11 @@ SHARD = "part int, shard int, dict_sha256 string, doc_ids array<bigint>, n_token
 # White space beyond ' ' and '\n' that a byte-level pre-tokenizer may join with its neighbours: fixed values (UTF-8).
 ODD = np.zeros(256, bool)
 ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+MARK = np.zeros(256, bool)
+MARK[33:48] = MARK[58:65] = MARK[91:97] = MARK[123:127] = True
+MARK[39] = False
 
 
 def joined_space(data: np.ndarray) -> np.ndarray:
@@ -54,9 +61,20 @@ def joined_space(data: np.ndarray) -> np.ndarray:
     return bad
 
 
+def word_ends(data: np.ndarray) -> np.ndarray:
+    """Marks ASCII punctuation (but the apostrophe) right after a Latin letter: a pre-tokenizer always cuts there."""
+    out = np.zeros(len(data), bool)
+    if len(data) < 2:
+        return out
+    letter = LETTER[data[:-1]]
+    letter[1:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+    out[1:] = letter & MARK[data[1:]]
+    return out
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library. Texts with only single spaces and line ends are cut before
-    each of these, where a byte-level pre-tokenizer cuts as well, and each distinct piece is encoded once."""
+    each of these and after words, where a byte-level pre-tokenizer cuts as well; each distinct piece is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,11 +82,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Pieces that don't hold a line end are joined by line ends, which always stand alone, and told apart again."""
+        out: list[bytes] = [b""] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if b"\n" not in p]
+        for lo in range(0, len(joined), JOIN):
+            run = joined[lo : lo + JOIN]
+            ids = np.array(self.tokenizer.encode(b"\n".join([*(pieces[i] for i in run), b""]).decode(), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(ids == self.line_end)
+            at = 0
+            for i, e in zip(run, ends.tolist(), strict=True):
+                out[i] = ids[at:e].tobytes()
+                at = e + 1
+        rest = [i for i, p in enumerate(pieces) if b"\n" in p]
+        for i, x in zip(rest, self._encode([pieces[i].decode() for i in rest]), strict=True):
+            out[i] = x
+        return out
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
         rows = len(offs) - 1
         bad = np.concatenate([[0], np.cumsum(joined_space(data))])
@@ -81,21 +118,24 @@ class Encoder:
         cut[offs[:-1][np.diff(offs) > 0]] = True
         cut |= (data == 32) | (data == 10)
         cut[1:] |= data[:-1] == 10
+        cut |= word_ends(data)
         starts = np.flatnonzero(cut)
         starts = starts[plain[np.searchsorted(offs, starts, side="right") - 1]]
         row = np.searchsorted(offs, starts, side="right") - 1
         ends = np.minimum(np.concatenate([starts[1:], [len(data)]]), offs[row + 1]) if len(starts) else starts
         keys, first, inv = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
         names = keys.tolist()
-        new = [i for i, k in enumerate(names) if k not in self.known]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        pieces = [known.get(k) or older.get(k) for k in names]
+        new = [i for i, x in enumerate(pieces) if x is None]
         if new:
             raw = data.tobytes()
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(range(len(names)))
-            got = self._encode([raw[starts[first[i]] : ends[first[i]]].decode() for i in new])
-            self.known.update(zip((names[i] for i in new), got, strict=True))
-        pieces = [self.known[k] for k in names]
+            lo, hi = starts[first].tolist(), ends[first].tolist()
+            for i, x in zip(new, self._encode_pieces([raw[lo[i] : hi[i]] for i in new]), strict=True):
+                pieces[i] = x
+        known.update(zip(names, pieces, strict=True))
         flat = np.frombuffer(b"".join(pieces), self.dtype)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize
         place = np.concatenate([[0], np.cumsum(size)])
@@ -111,6 +151,17 @@ class Encoder:
                 yield np.frombuffer(self._encode([text])[0], self.dtype) if text else ids[:0]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def worker_encoder(path: str) -> Encoder:
+    """A Python worker keeps one encoder, so that later tasks find the pieces that earlier ones met."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 @dataclass(frozen=True)
 class Codec:
     """The end id, the width of stored ids, and the dictionary (may be empty)."""
@@ -136,9 +187,11 @@ class Codec:
 def train_codec(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int) -> Codec:
     """A dictionary from the SAMPLE_DOCS documents of smallest key hash (at most SAMPLE_BYTES of their ids)."""
     enc = Encoder(tokenizer_path)
-    part = df.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.substring(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 1, SAMPLE_BYTES // 64).alias("t"))
+    key = F.xxhash64(F.col(f"`{id_col}`"))
+    lowest = [r["h"] for r in df.select(key.alias("h")).orderBy("h").limit(SAMPLE_DOCS).collect()]
+    part = df.filter(key <= (lowest[-1] if lowest else 0)).select(key.alias("h"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     samples, total = [], 0
-    for r in part.orderBy("h", "t").limit(SAMPLE_DOCS).collect():
+    for r in part.select("h", F.substring("t", 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS).collect():
         b = np.frombuffer(r["t"].encode(), np.uint8)
         x = next(enc.encode(b, np.array([0, len(b)]))).tobytes()
         if total + len(x) > SAMPLE_BYTES:
@@ -159,7 +212,7 @@ def write_tokens(df: DataFrame, path: str, codec: Codec, tokenizer_path: str, id
     src = src.repartitionByRange("doc").sortWithinPartitions("doc", F.xxhash64("t"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, comp, part, shard = Encoder(tokenizer_path), codec.compressor(), TaskContext.get().partitionId(), 0
+        enc, comp, part, shard = worker_encoder(tokenizer_path), codec.compressor(), TaskContext.get().partitionId(), 0
         docs: list = []
         counts: list[int] = []
         offsets, frames = [0], []
@@ -174,7 +227,7 @@ def write_tokens(df: DataFrame, path: str, codec: Codec, tokenizer_path: str, id
 
         for b in batches:
             names = b.column(0).to_pylist()
-            for lo, hi, data, offs in text_slices(b.column(1), 4 << 20):
+            for lo, hi, data, offs in text_slices(b.column(1), 2 << 20):
                 for name, ids in zip(names[lo:hi], enc.encode(data, offs), strict=True):
                     frame = comp.compress(np.concatenate([ids, end]).tobytes())
                     docs.append(name)

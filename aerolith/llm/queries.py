@@ -56,6 +56,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), ["doc_id"])
 
 
+def op6_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import sample_digests
+
+    return sample_digests(documents(spark, sf_dir), ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"), F.col("doc_id"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import base_spans, count_kind, found_spans, secret_scan, span_text
 
@@ -92,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
+    "op6_sample_pieces": op6_sample_pieces,
     "op7_secret_scan": op7_secret_scan,
     "op8_nearest": op8_nearest,
     "op10_toxicity": op10_toxicity,

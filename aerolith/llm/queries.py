@@ -86,6 +86,12 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), ["doc_id"]).drop("spans")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_lexicon, held_out, score_toxicity
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sample_pieces": op6_sample_pieces,
     "op7_secret_scan": op7_secret_scan,
     "op8_nearest": op8_nearest,
+    "op9_remove_repeats": op9_remove_repeats,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -15,33 +15,39 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACED, free_name, gram_hash, materialize, mix64, prefix_hash, span_hash, text_slices, word_spans
+from .common import LOWER, SPACED, discard, free_name, gram_hash, materialize, mix64, prefix_hash, span_hash, text_slices, word_spans
 from .graph import connected_components
 
-BUCKET_BITS, MANTISSA = 8, 10
+BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
-EMPTY = 0xFFFF
-#: chance that a pair at the threshold shares no band
-MISS = 1e-7
+#: bits of a register: leading zeros and mantissa; bands use more mantissa bits than the stored registers
+ZEROS, MANTISSA, BAND_MANTISSA = 4, 4, 10
+EMPTY = 0xFF
+#: chance, at most, that a pair at the threshold shares no band
+MISS = 3e-6
 #: the estimate may fall short of the threshold by so many standard errors
 ERRORS = 6.0
 #: band buckets up to this size are compared by a join, larger ones in blocks of BLOCK nodes
-SMALL, BLOCK = 40, 1500
+SMALL, BLOCK = 8, 1500
 #: rounds with further representatives, as long as more pairs than this a node are left
-ROUNDS, PAIRS_A_NODE = 4, 4
+ROUNDS, PAIRS_A_NODE = 4, 500
 
 _ODD = mix64(np.arange(1, BUCKETS + 1, dtype=np.uint64)) | np.uint64(1)
-SIGNATURE = "node binary, n_shingles bigint, registers binary, bands array<bigint>"
+SIGNATURE = "set_key binary, n_shingles bigint, registers binary, bands array<bigint>"
 
 
 def band_plan(threshold: float) -> tuple[int, int]:
-    """(registers a band, bands): a pair at the threshold is missed with a chance of MISS."""
-    rows = 5 if threshold >= 0.85 else 4
-    return rows, min(BUCKETS // rows, math.ceil(math.log(MISS) / math.log(1 - threshold**rows)))
+    """(registers a band, bands): the widest bands that miss a pair at the threshold with a chance of MISS at most."""
+    for rows in range(BUCKETS, 1, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-(threshold**rows)))
+        if rows * bands <= BUCKETS:
+            return rows, bands
+    return 1, BUCKETS
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,29 +71,39 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     return h[order], np.searchsorted(at[order], np.arange(len(n) + 1))
 
 
-def registers(h: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """One row of BUCKETS registers for each set."""
+def smallest(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The smallest hash of each of the BUCKETS buckets of each set, without the bucket's bits; the largest number if empty."""
     rows = len(start) - 1
     row = np.repeat(np.arange(rows), np.diff(start))
     low = np.full(rows * BUCKETS, np.iinfo(np.uint64).max, np.uint64)
     bits = np.uint64(64 - BUCKET_BITS)
     np.minimum.at(low, row * BUCKETS + (h >> bits).astype(np.int64), h & ((np.uint64(1) << bits) - np.uint64(1)))
-    full = low != np.iinfo(np.uint64).max
+    return low.reshape(rows, BUCKETS)
+
+
+def compressed(low: np.ndarray, mantissa: int, most_zeros: int) -> np.ndarray:
+    """Leading zeros (up to most_zeros) and the bits after the first one, as one number."""
     f = np.maximum(low, np.uint64(1)).astype(np.float64).view(np.uint64)
-    zeros = np.uint64(1023 + 64 - BUCKET_BITS) - (f >> np.uint64(52))
-    reg = (zeros << np.uint64(MANTISSA)) | ((f >> np.uint64(52 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1))
-    return np.where(full, reg, EMPTY).astype(np.uint16).reshape(rows, BUCKETS)
+    zeros = np.minimum(np.uint64(1023 + 63 - BUCKET_BITS) - (f >> np.uint64(52)), np.uint64(most_zeros))
+    return (zeros << np.uint64(mantissa)) | ((f >> np.uint64(52 - mantissa)) & np.uint64((1 << mantissa) - 1))
+
+
+def registers(low: np.ndarray) -> np.ndarray:
+    """One byte a bucket; the code of an empty bucket is taken by no other."""
+    reg = np.minimum(compressed(low, MANTISSA, (1 << ZEROS) - 1), np.uint64(EMPTY - 1))
+    return np.where(low == np.iinfo(np.uint64).max, EMPTY, reg).astype(np.uint8)
 
 
-def band_hashes(reg: np.ndarray, h: np.ndarray, start: np.ndarray, rows: int, bands: int) -> np.ndarray:
+def band_hashes(low: np.ndarray, h: np.ndarray, start: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """Hash of each band. An empty bucket takes the smallest hash under an order of its own, as if it had its own permutation."""
     used = rows * bands
-    v = reg[:, :used].astype(np.uint64)
-    for r in np.flatnonzero((reg[:, :used] == EMPTY).any(axis=1) & (np.diff(start) > 0)):
-        e = np.flatnonzero(reg[r, :used] == EMPTY)
+    empty = low[:, :used] == np.iinfo(np.uint64).max
+    v = compressed(low[:, :used], BAND_MANTISSA, 63)
+    for r in np.flatnonzero(empty.any(axis=1) & (np.diff(start) > 0)):
+        e = np.flatnonzero(empty[r])
         v[r, e] = (h[start[r] : start[r + 1], None] * _ODD[None, e]).min(axis=0) | np.uint64(1 << 63)
-    v = mix64(v).reshape(len(reg), bands, rows)
-    out = np.zeros((len(reg), bands), np.uint64)
+    v = mix64(v).reshape(len(low), bands, rows)
+    out = np.zeros((len(low), bands), np.uint64)
     for i in range(rows):
         out = out * np.uint64(0xD6E8FEB86659FD93) + v[:, :, i]
     return mix64(out + np.arange(bands, dtype=np.uint64))
@@ -111,12 +127,12 @@ def signatures(df: DataFrame, keep: list[str], text_col: str, k: int, threshold:
         for b in batches:
             for lo, hi, data, offs in text_slices(b.column(n_keep)):
                 h, start = shingle_sets(data, offs, k)
-                reg = registers(h, start)
-                band = band_hashes(reg, h, start, rows, bands).view(np.int64)
+                low = smallest(h, start)
+                band = band_hashes(low, h, start, rows, bands).view(np.int64)
                 n = np.diff(start)
                 at = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(lo, hi - lo) for c in b.columns[:n_keep]], pa.array(set_keys(h, start), pa.binary()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in reg], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(band[n > 0].ravel()))],
+                    [*[c.slice(lo, hi - lo) for c in b.columns[:n_keep]], pa.array(set_keys(h, start), pa.binary()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in registers(low)], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(band[n > 0].ravel()))],
                     schema.names,
                 )
 
@@ -147,72 +163,83 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            if not x.num_rows:
-                continue
-            ra, rb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
-            ok = hopeful(ra, rb, x.column("na").to_numpy(), x.column("nb").to_numpy(), threshold)
-            yield x.select(["a", "b"]).filter(pa.array(ok))
+            if x.num_rows:
+                ra, rb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("ra", "rb"))
+                ok = hopeful(ra, rb, x.column("na").to_numpy(), x.column("nb").to_numpy(), threshold)
+                yield x.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs whose full sets reach the threshold; docs: (id, text), nodes: (node, id)."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node")
+def _texts(need: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, packed text) of the needed nodes; texts travel compressed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comp = zstandard.ZstdCompressor(level=3)
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([comp.compress(t.encode()) for t in x.column(1).to_pylist()], pa.binary())], ["id", "packed"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:  # ids may repeat with other texts
-            for lo, hi, data, offs in text_slices(x.column("text")):
-                h, start = shingle_sets(data, offs, k)
-                ok = [a == b for a, b in zip(set_keys(h, start), x.column("node").slice(lo, hi - lo).to_pylist(), strict=True)]
-                yield x.slice(lo, hi - lo).select(["node", "text"]).filter(pa.array(ok))
+            ok = [a == b for (h, s), b in zip(_unpacked(x.column("packed"), k), x.column("set_key").to_pylist(), strict=True) for a in set_keys(h, s)]
+            yield x.select(["node", "packed"]).filter(pa.array(ok, pa.bool_()))
 
-    texts = docs.join(need, docs["id"].eqNullSafe(need["id"])).select("node", "text").mapInArrow(own, "node binary, text string").dropDuplicates(["node"])
-    texts = materialize(texts, "dup-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    named = need.join(nodes.select("node", "id", "set_key"), "node")
+    packed = docs.filter(F.col("text").isNotNull()).mapInArrow(pack, "id bigint, packed binary")
+    return packed.join(named, packed["id"].eqNullSafe(named["id"])).select("node", "set_key", "packed").mapInArrow(own, "node bigint, packed binary").dropDuplicates(["node"])
+
+
+def _unpacked(col: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    dec = zstandard.ZstdDecompressor()
+    for p in col.to_pylist():
+        data = np.frombuffer(dec.decompress(p), np.uint8)
+        yield shingle_sets(data, np.array([0, len(data)]), k)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
     hundred = round(100 * threshold)
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, np.ndarray] | None = None
         for x in batches:
-            sets = []
-            for c in ("ta", "tb"):
-                got: list[np.ndarray] = []
-                for _, _, data, offs in text_slices(x.column(c)):
-                    h, start = shingle_sets(data, offs, k)
-                    got += [h[i:j] for i, j in zip(start, start[1:], strict=False)]
-                sets.append(got)
             ok = []
-            for a, b in zip(*sets, strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both >= hundred * (len(a) + len(b) - both))
+            for a, b, pb in zip(_unpacked(x.column("pa"), k), x.column("b").to_pylist(), x.column("pb"), strict=True):
+                if last is None or last[0] != b:  # rows come sorted by b
+                    last = b, next(_unpacked(pa.array([pb.as_py()]), k))[0]
+                n = len(np.intersect1d(a[0], last[1], assume_unique=True))
+                ok.append(100 * n >= hundred * (len(a[0]) + len(last[1]) - n))
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
+    return both.select("a", "b", "pa", "pb").mapInArrow(check, "a bigint, b bigint")
 
 
 def _cross_pairs(members: DataFrame, sizes: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """All pairs of nodes in different components within a band's bucket that size (and in large buckets the estimate) allows."""
     fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    small = members.join(sizes.filter(F.col("m") <= SMALL).select("band"), "band")
+    sized = members.join(nodes.select("node", "n_shingles"), "node")
+    small = sized.join(sizes.filter(F.col("m") <= SMALL).select("band"), "band")
     left = small.select("band", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("root").alias("ca"))
     right = small.select("band", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("root").alias("cb"))
     pairs = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
     large = members.join(sizes.filter(F.col("m") > SMALL).select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "band")
-    large = large.join(nodes.select("node", "registers"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = large.join(nodes.select("node", "n_shingles", "registers"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n_shingles", "root", "registers", "own")
 
     def block(p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        reg = np.frombuffer(b"".join(p["registers"]), np.uint16).reshape(-1, BUCKETS)
+        reg = np.frombuffer(b"".join(p["registers"]), np.uint8).reshape(-1, BUCKETS)
         n, root, node, own = (p[c].to_numpy() for c in ("n_shingles", "root", "node", "own"))
-        for x in range(len(p)):
-            y = np.flatnonzero((root != root[x]) & (node > node[x]) & ((own != own[x]) | (p["i"].iat[0] == p["j"].iat[0])))
-            if len(y):
-                ok = y[hopeful(reg[x][None, :], reg[y], np.full(len(y), n[x]), n[y], threshold)]
-                out.append(pd.DataFrame({"a": [node[x]] * len(ok), "b": node[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype=object)
+        common = pd.Series(root).mode().iat[0]
+        out = []
+        for x in np.flatnonzero(root != common):  # every cross pair has an end outside the commonest component
+            y = np.flatnonzero((root != root[x]) & ((root == common) | (node > node[x])) & ((own != own[x]) | (p["i"].iat[0] == p["j"].iat[0])))
+            y = y[np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9]
+            y = y[hopeful(reg[x][None, :], reg[y], np.full(len(y), n[x]), n[y], threshold)]
+            out += [(node[x], z) for z in node[y]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return pairs.unionByName(dealt.groupBy("band", "i", "j").applyInPandas(block, "a binary, b binary")).distinct()
+    return pairs.unionByName(dealt.groupBy("band", "i", "j").applyInPandas(block, "a bigint, b bigint")).distinct()
 
 
 def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: float = 0.85) -> DataFrame:
@@ -223,20 +250,25 @@ def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text
     id unless all its ids are null, and then it is null and the rows are kept. Kept columns that clash raise.
     An empty table gives no rows.
     """
-    if clash := {c.lower() for c in keep} & {"n_shingles", "component_id", "kept", "id", "node"}:
+    if clash := {c.lower() for c in keep} & {"n_shingles", "component_id", "kept", "id", "set_key"}:
         raise ValueError(f"columns clash with the result: {sorted(clash)}")
     ident = F.col(f"`{id_col}`").cast("long")
     named = df.select(*[F.col(f"`{c}`") for c in keep], ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text_to_shingle"))
-    sig = materialize(signatures(named, [*keep, "id"], "text_to_shingle", k, threshold), "signatures")
-    nodes = sig.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "nodes")
+    every = materialize(signatures(named, [*keep, "id"], "text_to_shingle", k, threshold), "signatures")
+    nodes = every.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sig = materialize(every.select(*[F.col(f"`{c}`") for c in keep], "id", "set_key", "n_shingles"), "documents")
+    discard(every)
     docs = df.select(ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    band = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    band = nodes.select("node", F.explode("bands").alias("band"))
     low = band.groupBy("band").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     members = materialize(band.join(low, "band"), "band-members")
     pairs = members.filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(_verified(materialize(_estimated(pairs, nodes, threshold), "pairs"), docs, nodes, k, threshold), "links")
+    pairs = materialize(_estimated(pairs, nodes, threshold), "pairs")
+    ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
+    texts = materialize(_texts(ends(pairs), docs, nodes, k), "texts")
+    links = materialize(_verified(pairs, texts, k, threshold), "links")
     members = members.drop("rep")
     n_nodes = nodes.count()
     comps = materialize(connected_components(links), "components")
@@ -247,21 +279,26 @@ def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text
         left = sizes.agg(F.sum("cross")).first()[0] or 0
         if not left:
             break
-        members = materialize(now.join(sizes.select("band"), "band", "left_semi").select("band", "node", "n_shingles"), "band-members")
-        now = members.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        now = now.join(sizes.select("band"), "band", "left_semi")
         last = turn == ROUNDS or left <= PAIRS_A_NODE * n_nodes
         if last:
             pairs = _cross_pairs(now, sizes, nodes, threshold)
         else:  # another representative of each bucket, for nodes of other components
             rep = now.groupBy("band").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("root").alias("rb")), F.xxhash64("node", F.lit(turn))).alias("r"))
             pairs = now.join(rep, "band").filter(F.col("root") != F.col("r.rb")).select(F.col("node").alias("a"), F.col("r.b").alias("b")).distinct()
-        more = materialize(_verified(materialize(_estimated(pairs, nodes, threshold), "pairs"), docs, nodes, k, threshold), "links")
-        links = links.unionByName(more)
-        comps = materialize(connected_components(links), "components")
+        pairs = materialize(_estimated(pairs, nodes, threshold), "pairs")
+        new = materialize(ends(pairs).join(texts.select("node"), "node", "left_anti"), "new-nodes")
+        if not new.isEmpty():
+            texts = texts.unionByName(materialize(_texts(new, docs, nodes, k), "texts"))
+        more = materialize(_verified(pairs, texts, k, threshold), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comps = materialize(connected_components(links), "components")
         if last:
             break
 
-    low_id = nodes.join(comps, "node").groupBy("root").agg(F.min("id").alias("component_id"))
-    named_nodes = nodes.select("node", F.col("id").alias("lowest")).join(comps.join(low_id, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "lowest").alias("component_id"))
-    out = sig.join(named_nodes, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    low_id = nodes.select("node", "id").join(comps, "node").groupBy("root").agg(F.min("id").alias("component_id"))
+    rooted = comps.join(low_id, "root").select("node", "component_id")
+    by_set = nodes.select("node", "set_key", F.col("id").alias("lowest")).join(rooted, "node", "left").select("set_key", F.coalesce("component_id", "lowest").alias("component_id"))
+    out = sig.join(by_set, "set_key", "left").withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(*[F.col(f"`{c}`") for c in keep], "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

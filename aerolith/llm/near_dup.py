@@ -31,8 +31,8 @@ EMPTY = 0xFF
 #: chance, at most, that a pair at the threshold shares no band
 MISS = 3e-6
 #: the estimate may fall short of the threshold by so many standard errors
-ERRORS = 6.0
-#: band buckets up to this size are compared by a join, larger ones in blocks of BLOCK nodes
+ERRORS = 5.0
+#: band buckets up to this size are compared by a join, larger ones in blocks of about 2 BLOCK nodes
 SMALL, BLOCK = 8, 1500
 #: rounds with further representatives, as long as more pairs than this a node are left
 ROUNDS, PAIRS_A_NODE = 4, 500
@@ -215,31 +215,81 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
     return both.select("a", "b", "pa", "pb").mapInArrow(check, "a bigint, b bigint")
 
 
-def _cross_pairs(members: DataFrame, sizes: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of nodes in different components within a band's bucket that size (and in large buckets the estimate) allows."""
+def _small_pairs(members: DataFrame, sizes: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components in buckets of at most SMALL nodes that size and estimate allow."""
     fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    sized = members.join(nodes.select("node", "n_shingles"), "node")
-    small = sized.join(sizes.filter(F.col("m") <= SMALL).select("band"), "band")
+    small = members.join(sizes.filter(F.col("m") <= SMALL).select("band"), "band").join(nodes.select("node", "n_shingles"), "node")
     left = small.select("band", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("root").alias("ca"))
     right = small.select("band", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("root").alias("cb"))
-    pairs = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
+    pairs = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+    return _estimated(pairs, nodes, threshold)
+
+
+BLOCK_KEY = ["band", "i", "j"]
+BLOCK_NODE = "band bigint, i int, j int, node bigint, root bigint, own int"
+
+
+def _other_side(p: pd.DataFrame, x: int, root: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Marks the nodes of a block that are to be compared with node x: other components, and the other half of the block."""
+    side = np.ones(len(p), bool) if p["i"].iat[0] == p["j"].iat[0] else own != own[x]
+    return side & (root != root[x])
+
+
+def _block_nodes(members: DataFrame, sizes: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Nodes of larger buckets, dealt into blocks, that have a node of another component there which the estimate allows."""
     large = members.join(sizes.filter(F.col("m") > SMALL).select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "band")
     large = large.join(nodes.select("node", "n_shingles", "registers"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n_shingles", "root", "registers", "own")
 
-    def block(p: pd.DataFrame) -> pd.DataFrame:
+    def hopeful_nodes(p: pd.DataFrame) -> pd.DataFrame:
         reg = np.frombuffer(b"".join(p["registers"]), np.uint8).reshape(-1, BUCKETS)
-        n, root, node, own = (p[c].to_numpy() for c in ("n_shingles", "root", "node", "own"))
+        n, root, own = (p[c].to_numpy() for c in ("n_shingles", "root", "own"))
         common = pd.Series(root).mode().iat[0]
-        out = []
+        good = np.zeros(len(p), bool)
         for x in np.flatnonzero(root != common):  # every cross pair has an end outside the commonest component
-            y = np.flatnonzero((root != root[x]) & ((root == common) | (node > node[x])) & ((own != own[x]) | (p["i"].iat[0] == p["j"].iat[0])))
-            y = y[np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9]
+            y = np.flatnonzero(_other_side(p, x, root, own) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]) - 1e-9))
             y = y[hopeful(reg[x][None, :], reg[y], np.full(len(y), n[x]), n[y], threshold)]
-            out += [(node[x], z) for z in node[y]]
+            if len(y):
+                good[x] = True
+                good[y] = True
+        return p.loc[good, [*BLOCK_KEY, "node", "root", "own"]]
+
+    return dealt.groupBy(*BLOCK_KEY).applyInPandas(hopeful_nodes, BLOCK_NODE)
+
+
+def _block_links(blocks: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links between components in each block, confirmed on full sets; just as many as connect what is linked there."""
+    hundred = round(100 * threshold)
+
+    def links(p: pd.DataFrame) -> pd.DataFrame:
+        sets = [h for h, _ in _unpacked(pa.array(p["packed"]), k)]
+        size = np.array([len(h) for h in sets])
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        _, word = np.unique(np.concatenate(sets), return_inverse=True)
+        root, own, node = (p[c].to_numpy() for c in ("root", "own", "node"))
+        up = {int(r): int(r) for r in root}
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        common = pd.Series(root).mode().iat[0]
+        mark = np.zeros(int(word.max()) + 1, np.int32)
+        out = []
+        for x in np.flatnonzero(root != common):
+            mine = word[start[x] : start[x] + size[x]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[word], start)
+            mark[mine] = 0
+            for y in np.flatnonzero(_other_side(p, x, root, own) & (100 * both >= hundred * (size[x] + size - both))):
+                a, b = top(int(root[x])), top(int(root[y]))
+                if a != b:
+                    up[a] = b
+                    out.append((node[x], node[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return pairs.unionByName(dealt.groupBy("band", "i", "j").applyInPandas(block, "a bigint, b bigint")).distinct()
+    return blocks.join(texts, "node").groupBy(*BLOCK_KEY).applyInPandas(links, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: float = 0.85) -> DataFrame:
@@ -281,16 +331,21 @@ def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text
             break
         now = now.join(sizes.select("band"), "band", "left_semi")
         last = turn == ROUNDS or left <= PAIRS_A_NODE * n_nodes
+        dealt = None
         if last:
-            pairs = _cross_pairs(now, sizes, nodes, threshold)
+            pairs = _small_pairs(now, sizes, nodes, threshold)
+            dealt = materialize(_block_nodes(now, sizes, nodes, threshold), "block-nodes")
         else:  # another representative of each bucket, for nodes of other components
             rep = now.groupBy("band").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("root").alias("rb")), F.xxhash64("node", F.lit(turn))).alias("r"))
             pairs = now.join(rep, "band").filter(F.col("root") != F.col("r.rb")).select(F.col("node").alias("a"), F.col("r.b").alias("b")).distinct()
-        pairs = materialize(_estimated(pairs, nodes, threshold), "pairs")
-        new = materialize(ends(pairs).join(texts.select("node"), "node", "left_anti"), "new-nodes")
+            pairs = _estimated(pairs, nodes, threshold)
+        pairs = materialize(pairs, "pairs")
+        need = ends(pairs) if dealt is None else ends(pairs).unionByName(dealt.select("node")).distinct()
+        new = materialize(need.join(texts.select("node"), "node", "left_anti"), "new-nodes")
         if not new.isEmpty():
             texts = texts.unionByName(materialize(_texts(new, docs, nodes, k), "texts"))
-        more = materialize(_verified(pairs, texts, k, threshold), "links")
+        more = _verified(pairs, texts, k, threshold)
+        more = materialize(more if dealt is None else more.unionByName(_block_links(dealt, texts, k, threshold)), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             comps = materialize(connected_components(links), "components")

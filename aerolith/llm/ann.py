@@ -23,6 +23,7 @@ TABLES, FUNCTIONS, WIDTH, PROBES = 4, 8, 2.0, 420
 BLOCK, LEAST_BLOCKS = 4096, 64
 #: blocks of an exact search take so many queries at a time
 QUERY_RUN = 512
+NO_HITS = pd.DataFrame({"qk": [], "qlo": [], "k": [], "lo": [], "ids": [], "score": []}).astype({"qk": np.int64, "qlo": np.int64, "k": np.int64, "lo": np.int64, "ids": object})
 HITS = "qk bigint, qlo bigint, k bigint, lo bigint, ids array<bigint>, score double"
 
 
@@ -84,7 +85,7 @@ def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
 def _near(index: pd.DataFrame, queries: pd.DataFrame, want: int) -> pd.DataFrame:
     """The `want` nearest entries of the block to each query, among its buckets (or all, if it names none)."""
     if not len(index) or not len(queries):
-        return pd.DataFrame({"qk": [], "qlo": [], "k": [], "lo": [], "ids": [], "score": []})
+        return NO_HITS
     index = index.sort_values("bucket")
     bucket, x = index["bucket"].to_numpy(), np.stack(index["v"]).astype(np.float64)
     k, lo, ids = (index[c].to_numpy() for c in ("k", "lo", "ids"))
@@ -107,7 +108,7 @@ def _near(index: pd.DataFrame, queries: pd.DataFrame, want: int) -> pd.DataFrame
         score = (x[at] * q).sum(axis=1)
         best = np.lexsort((lo[at], -score))[:want]
         out.append(pd.DataFrame({"qk": qk, "qlo": qlo, "k": k[at[best]], "lo": lo[at[best]], "ids": ids[at[best]], "score": score[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"qk": [], "qlo": [], "k": [], "lo": [], "ids": [], "score": []})
+    return pd.concat(out) if out else NO_HITS
 
 
 def valid_vector(v: Column) -> Column:

@@ -439,3 +439,76 @@ def _(spark, d):
 @query("f1_flags", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <> 17 THEN l_quantity END AS l_quantity FROM lineitem WHERE l_returnflag IN ('...', 'A', 'R')")
 def _(spark, d):
     return readers.quality_flags(table(spark, d, "lineitem"), ("A", "R"), "l_returnflag").select("l_orderkey", "l_linenumber", readers.sentinel("l_quantity", 17.0).alias("l_quantity"))
+
+
+# ---------------------------------------------------------------- more grids and scalars
+
+@query("a13_weighted_mean", f"""WITH {_FLUX} SELECT time, round(sum(cos(radians(lat)) * value) / sum(cos(radians(lat))), 4) AS value FROM f GROUP BY 1""")
+def _(spark, d):
+    return rounded(aggregates.weighted_mean(_flux(spark, d), "value", geo.cosine_weight("lat"), ["time"]), "value", places=4)
+
+
+@query("a12_circularize", f"""WITH {_BINS}, a AS (SELECT round(s * radians(22.5::DOUBLE), 6) AS theta, count(*) AS n FROM b GROUP BY 1), ends AS (SELECT min(theta) AS lo, max(theta) AS hi, count(*) AS c FROM a)
+SELECT theta, n FROM a UNION ALL SELECT round(hi + (hi - lo) / (c - 1), 6), n FROM a, ends WHERE theta = lo""")
+def _(spark, d):
+    sectors = polar.bin_polar(_wind(spark, d)).groupBy(F.round("radian", 6).alias("theta")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(aggregates.circularize(sectors.filter("theta IS NOT NULL")), "theta")
+
+
+_ALL_CELLS = "g AS (SELECT lat, lon, sum(value) AS value FROM f GROUP BY ALL), ny AS (SELECT CAST(unnest(range(-60, 61, 15)) AS DOUBLE) AS nlat), nx AS (SELECT CAST(unnest(range(-150, 151, 15)) AS DOUBLE) AS nlon)"
+
+
+def _all_cells(spark, d):
+    return _flux(spark, d).groupBy("lat", "lon").agg(F.sum("value").alias("value"))
+
+
+@query("g13_regrid_nearest", f"""WITH {_FLUX}, {_ALL_CELLS},
+ y AS (SELECT nlat, lat FROM ny, (SELECT DISTINCT lat FROM f) QUALIFY row_number() OVER (PARTITION BY nlat ORDER BY abs(lat - nlat), lat) = 1),
+ x AS (SELECT nlon, lon FROM nx, (SELECT DISTINCT lon FROM f) QUALIFY row_number() OVER (PARTITION BY nlon ORDER BY abs(lon - nlon), lon) = 1)
+SELECT nlat AS lat, nlon AS lon, round(value, 2) AS value FROM g JOIN y USING (lat) JOIN x USING (lon)""")
+def _(spark, d):
+    return rounded(grid.regrid(_all_cells(spark, d), *_cells(spark), "nearest", ()), "value", places=2)
+
+
+@query("g13_regrid_bilinear", f"""WITH {_FLUX}, {_ALL_CELLS},
+ y AS (SELECT nlat, unnest([{{'c': lo, 'w': 1 - t}}, {{'c': lo + 10, 'w': t}}]) AS e FROM (SELECT nlat, floor((nlat + 85) / 10) * 10 - 85 AS lo, (nlat + 85) / 10 - floor((nlat + 85) / 10) AS t FROM ny)),
+ x AS (SELECT nlon, unnest([{{'c': lo, 'w': 1 - t}}, {{'c': lo + 10, 'w': t}}]) AS e FROM (SELECT nlon, floor((nlon + 175) / 10) * 10 - 175 AS lo, (nlon + 175) / 10 - floor((nlon + 175) / 10) AS t FROM nx))
+SELECT nlat AS lat, nlon AS lon, round(sum(y.e.w * x.e.w * value), 4) AS value FROM y, x, g WHERE g.lat = y.e.c AND g.lon = x.e.c AND y.e.w > 0 AND x.e.w > 0 GROUP BY 1, 2""")
+def _(spark, d):
+    return rounded(grid.regrid(_all_cells(spark, d), *_cells(spark), "bilinear", ()), "value", places=4)
+
+
+@query("g14_resample", f"""WITH {_FLUX}, g AS (SELECT lat, lon, sum(value) AS value FROM f GROUP BY ALL),
+ w AS (SELECT floor((lat + 90) / 20) * 20 - 80 AS nlat, floor((lon + 180) / 20) * 20 - 170 AS nlon, value, sin(radians(lat + 5)) - sin(radians(lat - 5)) AS w FROM g)
+SELECT nlat AS lat, nlon AS lon, round(sum(value * w * 10) / ((sin(radians(nlat + 10)) - sin(radians(nlat - 10))) * 20), 4) AS value FROM w GROUP BY 1, 2""")
+def _(spark, d):
+    return rounded(grid.resample(_all_cells(spark, d), 20.0, "conservative", ()), "value", places=4)
+
+
+@query("e15_levels", """SELECT l_orderkey, l_linenumber, round((l_extendedprice + l_discount * 90000) / 100, 6) AS hpa,
+ CASE WHEN l_tax = 0 AND l_discount = 0 THEN NULL ELSE round(l_tax / sqrt(l_tax * l_tax + l_discount * l_discount), 6) END AS east FROM lineitem""")
+def _(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(physics.hybrid_pressure("l_extendedprice", "l_discount", 90000.0), "hpa"), r6(physics.unit_vector("l_tax", "l_discount")[0], "east"))
+
+
+@query("s11_variables", """SELECT p_partkey, '1B' || CAST(p_size AS VARCHAR) || 'a' AS code, p_brand_name AS name, 'e_' || CAST(p_size AS VARCHAR) AS factor
+FROM (SELECT *, replace(p_brand, '#', '_') AS p_brand_name FROM part)""")
+def _(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("s"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("_")).alias("b"))
+    v = p.withColumn("v", F.concat(F.lit("emi_ch4_Supp_1B"), "s", F.lit("a_"), "b"))
+    code, name = names.inventory_variable("v")
+    return v.select("p_partkey", code.alias("code"), name.alias("name"), names.factor_variable(F.concat(F.lit("a_b_c_d_e_"), "s")).alias("factor"))
+
+
+@query("s27_sodar", """SELECT to_timestamp(CAST(floor(epoch(ts)) AS BIGINT))::TIMESTAMP AS ts, event_id, CASE WHEN user_id % 7 <> 0 THEN round(value / 10, 6) END AS "WD" FROM events""")
+def _(spark, d):
+    raw = table(spark, d, "events").select(F.floor(timeops.micros("ts") / 1_000_000).alias("DATTIM"), "event_id", F.when(F.col("user_id") % 7 == 0, -9999.0).otherwise(F.col("value")).alias("WD"))
+    scales = spark.range(1).select(F.lit("WD").alias("SHORTNAME"), F.lit(10.0).alias("MULT"))
+    return rounded(readers.decode_sodar(raw, scales, ["WD"]), "WD")
+
+
+@query("k1_sounding_dates", """SELECT t AS time FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-01', TIMESTAMP '2024-03-01 12:00:00', INTERVAL 12 HOUR)) AS t) WHERE month(t) IN (1, 12)""")
+def _(spark, d):
+    import datetime as dt
+
+    return names.sounding_dates(spark, dt.datetime(2023, 12, 1), dt.datetime(2024, 3, 1, 12), (12, 1))

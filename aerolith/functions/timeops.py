@@ -154,3 +154,9 @@ def parse_iso(text: str, inclusive: bool = False) -> dt.datetime:
     if mo is not None:
         return dt.datetime(y + mo // 12, mo % 12 + 1, 1)
     return dt.datetime(y + 1, 1, 1)
+
+
+def bin_edges(periods: DataFrame, start: str, step: str) -> DataFrame:
+    """All starts of periods and the last microsecond of the last one."""
+    last = periods.agg((F.max(start) + F.expr(STEPS[step]) - F.expr("INTERVAL 1 MICROSECOND")).alias(start))
+    return periods.select(start).unionByName(last.filter(F.col(start).isNotNull()))

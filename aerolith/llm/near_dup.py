@@ -1,6 +1,6 @@
 """Near-duplicate documents by HyperMinHash: compressed registers, banding, corrected estimate, exact verification.
 
-A node is a distinct set of shingles; documents with equal sets share it. A node's hashes fall into 256 buckets; a
+A node is a distinct set of shingles; documents with equal sets share it. A node's hashes fall into 512 buckets; a
 register keeps the leading zeros and the first mantissa bits of the smallest hash in its bucket. Bands of registers
 give candidate pairs. Within a band's bucket nodes are first compared with one representative; then only nodes that
 are still in different components are compared with each other, so that a large group of copies stays linear and no
@@ -23,15 +23,15 @@ from pyspark.sql import types as T
 from .common import LOWER, SPACED, discard, free_name, gram_hash, materialize, mix64, prefix_hash, span_hash, text_slices, word_spans
 from .graph import connected_components
 
-BUCKET_BITS = 8
+BUCKET_BITS = 9
 BUCKETS = 1 << BUCKET_BITS
 #: bits of a register: leading zeros and mantissa; bands use more mantissa bits than the stored registers
 ZEROS, MANTISSA, BAND_MANTISSA = 4, 4, 10
 EMPTY = 0xFF
 #: chance, at most, that a pair at the threshold shares no band
-MISS = 3e-6
+MISS = 1e-7
 #: the estimate may fall short of the threshold by so many standard errors
-ERRORS = 5.0
+ERRORS = 6.0
 #: band buckets up to this size are compared by a join, larger ones in blocks of about 2 BLOCK nodes
 SMALL, BLOCK = 8, 1500
 #: rounds with further representatives, as long as more pairs than this a node are left

@@ -58,9 +58,21 @@ def block_slot(block: Column, of: str = "") -> Column:
     return F.floor(block / q) * F.col(f"{of}d") + F.element_at(f"{of}slots", (block % q).cast("int") + 1)
 
 
-def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, seed: int = 7) -> tuple[DataFrame, dict[str, str]]:
+def mix_order(df: DataFrame, keep: list[str], **options: object) -> DataFrame:
+    """The kept columns of all documents with a weight, as rows sorted by slot; options as of mix_sources.
+
+    No source ends the mixture: the slots of one that has run out fall to the others, which move up and keep their
+    shares among each other. A document that spans blocks stands where it begins.
+    """
+    mixed, names = mix_sources(df, keep, **options, begins=True)
+    return mixed.filter(F.col(names["slot"]).isNotNull()).orderBy(names["slot"], names["begins"]).select(*[F.col(f"`{c}`") for c in keep])
+
+
+def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, seed: int = 7, begins: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """The kept columns with block, slot and in_mix (names are returned by key, as kept columns may clash).
 
+    With begins=True also the place in its source at which each document begins.
+
     Without weights a source's share is the square root of its characters. A document lies in the block in which it
     begins; within a slot documents follow their order in the source. in_mix holds up to the first slot whose source
     has run out, as the mixture can't be held beyond. A source without weight gets no slot and isn't in the mix. A null
@@ -68,7 +80,7 @@ def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", source_c
     table gives no rows.
     """
     spark = df.sparkSession
-    names = {x: free_name(df, x) for x in ("block", "slot", "in_mix")}
+    names = {x: free_name(df, x) for x in ("block", "slot", "in_mix", *(["begins"] if begins else []))}
     src, key, tie, size, bucket = (free_name(df, x) for x in ("src_", "key_", "tie_", "size_", "bucket_"))
     bits = max(1, math.ceil(math.log2(max(2, df.count())) / 2))  # about the root of the rows: buckets of a source
     cols = [F.col(f"`{c}`") for c in keep]
@@ -88,9 +100,11 @@ def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", source_c
     start = free_name(df, "start_")
     placed = rows.join(base.select(F.col("src").alias(src), F.col("bucket").alias(bucket), F.col("base").alias(start)), [src, bucket])
     inner = Window.partitionBy(src, bucket).orderBy(key, tie).rowsBetween(Window.unboundedPreceding, -1)
-    begins = F.col(start) + F.coalesce(F.sum(size).over(inner), F.lit(0))
-    placed = placed.withColumn(names["block"], F.floor(begins / block_chars))
+    at = free_name(df, "at_")
+    placed = placed.withColumn(at, F.col(start) + F.coalesce(F.sum(size).over(inner), F.lit(0)))
+    placed = placed.withColumn(names["block"], F.floor(F.col(at) / block_chars))
     share = free_name(df, "share_")
     out = placed.join(small.select(F.col("src").alias(src), F.struct("q", "d", "slots").alias(share)), src, "left")
     slot = block_slot(F.col(names["block"]), share + ".")
-    return out.select(*cols, F.col(names["block"]), slot.alias(names["slot"]), F.coalesce(slot < F.lit(horizon), F.lit(False)).alias(names["in_mix"])), names
+    place = [F.col(at).alias(names["begins"])] if begins else []
+    return out.select(*cols, F.col(names["block"]), slot.alias(names["slot"]), F.coalesce(slot < F.lit(horizon), F.lit(False)).alias(names["in_mix"]), *place), names

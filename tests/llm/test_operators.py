@@ -100,6 +100,20 @@ def test_mixing_odd_rows(spark, empty, corpus):
     assert got.count() == df.count() and names["slot"] == "slot_"
 
 
+def test_pipeline_mix_outlives_small_sources(spark):
+    """A source of one short document and a null source end no mix; the others keep their shares among each other."""
+    import corpus_pipeline as cp
+
+    rows = [(i, "x" * 20_000, "ab"[i % 5 == 0]) for i in range(2500)] + [(2500, "y", "tiny"), (2501, "z", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    mix = cp.materialize(cp.mixing(spark, df, ""), "mix-test")
+    assert mix.columns == df.columns and sorted(r[0] for r in mix.select("doc_id").collect()) == list(range(2502))
+    big = [r["source"] for r in cp.mixing(spark, df, "").select("source").collect() if r["source"] in ("a", "b")]
+    for t in range(1, 1501):  # shares 2 to 1, until b has run out
+        assert abs(big[:t].count("b") - t / 3) < 2 + t / 1000
+    assert set(big[1510:]) == {"a"}
+
+
 # ------------------------------------------------------------------ 2
 
 def shingles(t: str | None, k: int) -> frozenset:

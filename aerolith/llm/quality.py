@@ -2,9 +2,9 @@
 
 The model is over character classes (32 of them) in 4-grams, one table a language. Spark counts the grams of
 every whole text; a language's table has at most 32**4 entries, so the collected model has a proven bound.
-Each run of 64 grams is scored under the language that fits it best, so that a passage in another language isn't
-taken for junk. A document is rejected when its log-perplexity leaves its language's band (median and spread over
-all documents).
+Every document is scored under the model of its own language alone, so that a text in another language than the one
+it is labelled with scores as badly there as it should. A document is rejected when its log-perplexity leaves its
+language's band (median and spread over all documents).
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ BITS = 5
 GRAMS = 1 << (BITS * ORDER)
 LANGUAGES = ("en", "de", "fr", "es")
 OTHER = "other"
-#: grams that are scored together under one language
-RUN = 64
 #: half-width of the band in spreads, and the spread that a text of one gram has besides
 WIDTH, SHORT = 5.0, 0.7
 
@@ -203,7 +201,7 @@ def score_quality(df: DataFrame, keep: list[str], text_col: str, lang_col: str,
     schema = T.StructType([*df.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField(name, T._parse_datatype_string(STATS))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [m.logp(np.arange(GRAMS)).astype(np.float32) for m in shared.value.values()]
+        tables = {i: m.logp(np.arange(GRAMS)).astype(np.float32) for i, m in shared.value.items()}
         fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "log_ppl", "model_lang"]
         for b in batches:
             texts, langs = b.column(len(keep)), lang_index(b.column(len(keep) + 1), languages)
@@ -211,13 +209,11 @@ def score_quality(df: DataFrame, keep: list[str], text_col: str, lang_col: str,
             for lo, hi, data, offs in text_slices(texts):
                 key, start = class_grams(data, offs)
                 n = np.diff(start)
-                runs = -(-n // RUN)  # the gram runs of each row
-                first = np.concatenate([[0], np.cumsum(runs)])
-                run_at = np.repeat(start[:-1] - first[:-1] * RUN, runs) + np.arange(first[-1]) * RUN
-                lp = np.full(first[-1], -np.inf)
-                for table in tables if len(key) else []:
-                    lp = np.maximum(lp, np.add.reduceat(table[key], run_at, dtype=np.float64))
-                ppl = np.where(n > 0, -row_sums(lp, first) / np.maximum(n, 1), np.nan)
+                which = np.repeat(langs[lo:hi], n)
+                lp = np.zeros(len(key))
+                for i in np.unique(which):
+                    lp[which == i] = tables[i][key[which == i]]
+                ppl = np.where(n > 0, -row_sums(lp, start) / np.maximum(n, 1), np.nan)
                 for out, x in zip(got, (*repeat_counts(data, offs), n, ppl), strict=True):
                     out.append(x)
             cols = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.float64() if i == 6 else pa.int64(), from_pandas=True) for i, x in enumerate(got)]

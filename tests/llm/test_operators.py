@@ -277,6 +277,20 @@ def test_kneser_ney_sums_to_one(spark, corpus):
         assert np.exp(m.logp(grams)).sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_quality_scores_under_the_own_language(spark):
+    """A German text labelled English, and junk that another language's rows are full of, leave the English band."""
+    from aerolith.llm.quality import quality_rules
+
+    rng = random.Random(3)
+    words = {"en": [a + b for a in ("th", "wh", "sh", "str") for b in ("is", "ing", "ough", "at", "ere")], "de": [a + b for a in ("sch", "zw", "pf", "kn") for b in ("ung", "lich", "keit", "ein", "echt")], None: ["".join(rng.choice("qxzvjkwy") for _ in range(7)) for _ in range(40)]}
+    make = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(80))
+    rows = [(i, make(lang), lang) for i, lang in enumerate(["en", "de", None] * 60)] + [(1000, make("de"), "en"), (1001, make(None), "en"), (1002, make("en"), "en")]
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), ["doc_id"]).collect()}
+    mid = np.median([got[i]["log_ppl"] for i in range(0, 180, 3)])
+    assert abs(got[1002]["log_ppl"] - mid) < 0.3 and min(got[1000]["log_ppl"], got[1001]["log_ppl"]) > mid + 0.2
+    assert [got[i]["kept"] for i in (1000, 1001, 1002)] == [False, False, not got[1002]["base_failed"]] and not got[1000]["base_failed"]
+
+
 # ------------------------------------------------------------------ 6
 
 def test_segmentations(spark, empty):

@@ -199,11 +199,19 @@ def valley_heat_deficit(df: DataFrame, keys: Sequence[str] = ("station", "time")
     return out.select(*keys, (F.col("integral") / 1e6).alias("VHD_MJ_m2"))
 
 
-def difference_pairs(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", decay_s: float | None = None, absolute: bool = True) -> DataFrame:
-    """(keys, i, j, seconds or decay weight) for all pairs of times of a key: the output itself is a square matrix."""
+def difference_pairs(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", decay_s: float | None = None, absolute: bool = True, within_us: int | None = None) -> DataFrame:
+    """(keys, i, j, seconds or decay weight) for all pairs of times of a key: the output itself is a square matrix.
+
+    With within_us only pairs that lie no further apart; they meet by stretches of that length.
+    """
     a = df.select(*keys, F.col(ts).alias("i"), timeops.micros(ts).alias("_i"))
     b = df.select(*keys, F.col(ts).alias("j"), timeops.micros(ts).alias("_j"))
-    both = a.join(b, list(keys)) if keys else a.crossJoin(b)
+    if within_us:
+        stretch = F.floor(F.col("_i") / within_us)
+        a = a.withColumn("_s", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
+        both = a.join(b.withColumn("_s", F.floor(F.col("_j") / within_us)), [*keys, "_s"]).filter(F.abs(F.col("_j") - F.col("_i")) <= within_us)
+    else:
+        both = a.join(b, list(keys)) if keys else a.crossJoin(b)
     d = (F.col("_j") - F.col("_i")) / 1e6
     out = F.exp(-F.abs(d) / decay_s).alias("weight") if decay_s else (F.abs(d) if absolute else d).alias("seconds")
     return both.select(*keys, "i", "j", out)

@@ -83,6 +83,17 @@ def _(spark, d):
     return rounded(out, "o_totalprice_mean", places=4).withColumn("year", F.col("year").cast("bigint"))
 
 
+@query("a2_seasonal_all", """
+WITH q AS (SELECT CAST(date_trunc('quarter', o_orderdate + INTERVAL 1 MONTH) - INTERVAL 1 MONTH AS DATE) AS quarter, o_totalprice FROM orders),
+ s AS (SELECT CAST(unnest(generate_series(min(quarter), max(quarter), INTERVAL 3 MONTH)) AS DATE) AS quarter FROM q),
+ a AS (SELECT quarter, avg(o_totalprice) AS m, count(o_totalprice) AS n FROM q GROUP BY 1)
+SELECT CASE month(s.quarter) WHEN 12 THEN 'DJF' WHEN 3 THEN 'MAM' WHEN 6 THEN 'JJA' ELSE 'SON' END AS season, CAST(year(s.quarter) AS BIGINT) AS year,
+       round(m, 4) AS o_totalprice_mean, n AS o_totalprice_count FROM s LEFT JOIN a USING (quarter)""")
+def _(spark, d):
+    out = aggregates.seasonal(table(spark, d, "orders"), ["o_totalprice"], "o_orderdate", ["mean", "count"])
+    return rounded(out, "o_totalprice_mean", places=4).withColumn("year", F.col("year").cast("bigint"))
+
+
 @query("a11_seasonal_pivot", """
 WITH q AS (SELECT date_trunc('quarter', o_orderdate + INTERVAL 1 MONTH) - INTERVAL 1 MONTH AS q, o_totalprice AS v FROM orders)
 SELECT CAST(year(q) AS BIGINT) AS year,
@@ -104,6 +115,14 @@ def _(spark, d):
     return rounded(aggregates.well_mixed(table(spark, d, "events").filter("user_id % 40 = 1"), "value"), "value")
 
 
+@query("a3_well_mixed_all", """
+WITH s AS (SELECT CAST(ts AS DATE) AS day, value FROM events WHERE hour(ts) IN (12, 13, 14, 15, 16)),
+ g AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM s)
+SELECT day, round(m, 6) AS value FROM g LEFT JOIN (SELECT day, avg(value) AS m FROM s GROUP BY 1) USING (day)""")
+def _(spark, d):
+    return rounded(aggregates.well_mixed(table(spark, d, "events"), "value"), "value")
+
+
 @query("d5_decimal_year", """
 WITH x AS (SELECT event_id, ts, make_timestamp(year(ts), 1, 1, 0, 0, 0) AS j, dayofyear(make_date(year(ts), 12, 31)) AS n FROM events)
 SELECT event_id, round(year(ts) + (epoch_us(ts) - epoch_us(j)) / 1e6::DOUBLE / (86400.0::DOUBLE * n), 9) AS year, ts AS back FROM x""")
@@ -134,6 +153,13 @@ def _(spark, d):
     return rounded(series.difference_pairs(table(spark, d, "events").filter("event_type = 'error'"), ["user_id"], decay_s=86400.0), "weight", places=9)
 
 
+@query("d11_time_decay_day", """
+SELECT a.user_id, a.ts AS i, b.ts AS j, round(exp(-abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1e6::DOUBLE / 86400.0::DOUBLE), 9) AS weight
+FROM events a JOIN events b ON a.user_id = b.user_id WHERE abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 86400000000""")
+def _(spark, d):
+    return rounded(series.difference_pairs(table(spark, d, "events"), ["user_id"], decay_s=86400.0, within_us=86_400_000_000), "weight", places=9)
+
+
 @query("d3_time_range", "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-13'")
 def _(spark, d):
     return table(spark, d, "events").filter(timeops.TimeRange.of(start="2024-01-10", stop="2024-01-12").condition("ts")).select("event_id", "ts")

@@ -30,13 +30,46 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a materialized table that nothing reads any more."""
-    session = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = session._jvm.org.apache.hadoop.fs.Path(name)
-        if "/aerolith/" in name:
-            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """Tables of one run, in a database of its own in the shared folder; leaving the block drops them and their files."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name = spark, f"aerolith_{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        self.spark.sql(f"CREATE DATABASE {self.name} LOCATION '{shared_dir(self.spark)}/aerolith/{self.name}'")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.sql(f"DROP DATABASE {self.name} CASCADE")
+
+    def save(self, df: DataFrame, tag: str, bucket_by: str | None = None, buckets: int = 1) -> DataFrame:
+        """df as a table, read back; with bucket_by joins on that column need no shuffle of it."""
+        name = f"{self.name}.{tag}_{uuid.uuid4().hex[:8]}"
+        w = df.write.format("parquet")
+        (w.bucketBy(buckets, bucket_by) if bucket_by else w).saveAsTable(name)
+        return self.spark.table(name)
+
+
+def kept_columns(keep: list[str]) -> list[Column]:
+    """The kept columns as kept_0, kept_1, ...: names that no column of a result has."""
+    return [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
+
+
+def kept_names(keep: list[str]) -> list[str]:
+    return [f"kept_{i}" for i in range(len(keep))]
+
+
+def restored(df: DataFrame, keep: list[str], added: list[str]) -> DataFrame:
+    """kept_0, ... under their own names and the result columns; one whose name a kept column has gets underscores."""
+    taken, out = {c.lower() for c in keep}, [F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)]
+    for c in added:
+        name = c
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(F.col(f"`{c}`").alias(name))
+    return df.select(*out)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,301 +1,428 @@
 """Removal of repeated byte strings: every byte covered by a LENGTH-byte string that also starts earlier.
 
-The strings are dealt into buckets, one bucket's strings are compared at a time, and long runs of them are settled
-together, so that memory stays bounded by a bucket. A string's bucket is its anchor, the K bytes in it with the smallest
-hash, which depend on its content alone. Neighbouring strings with one anchor form a block. Blocks that equal an earlier
-block are settled by that; of the others with an anchor that other blocks have too, the strings are compared one by one.
+Difference-cover construction. Of every PERIOD positions of a text those in COVER are sampled. For any two positions there
+is a shift below PERIOD that leads from both to samples, so if the strings at them are equal, two samples at one shift
+begin the same STEM = LENGTH - PERIOD + 1 bytes. Samples whose stem occurs once are dropped. The others are dealt into
+buckets by their stems, and one bucket is sorted at a time: samples of one stem are ranked by the bytes behind it and by
+those before it, and two strings around them are equal exactly if the ranks agree as far as the string reaches on
+either side. The bytes of a bucket are all that a task holds; how many buckets there are follows from the data.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, prefix_hash, span_hash
-
-LENGTH, K = 100, 32
-SLICE = 1 << 20
-#: anchors that a task gathers before it hands them on
-GATHER = 600_000
-BUCKET_BITS = 10
-PART = "bucket int, n int, blob binary"
+from .common import SLICE_BYTES, Scratch, kept_columns, kept_names, materialize, mix64, prefix_hash, restored, span_hash
+
+LENGTH = 100
+#: differences of these numbers give every remainder modulo PERIOD
+PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
+SIDE = PERIOD - 1
+#: bytes of text of a group of rows, stems of a bucket that counts them, samples of a bucket that is sorted
+GROUP_BYTES, COUNTED, SORTED = 16 << 20, 2_000_000, 250_000
+#: stems that occur more often are not sorted together: each string around them is dealt by itself
+HOT = 200_000
+SALTS = 16
 NONE = np.iinfo(np.int64).min
-
-
-def blocks(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first start, last start, anchor hash, block hash): starts of strings count from the row's first byte."""
-    k = min(K, length)
-    n = len(data) - length + 1
-    lo, hi = offs[:-1], np.maximum(offs[1:] - length + 1, offs[:-1])
-    if n <= 0 or not (hi > lo).any():
-        z = np.zeros(0, np.int64)
-        return z, z, z, z.view(np.uint64), z.view(np.uint64)
-    prefix = prefix_hash(data)
-    at = np.arange(len(data) - k + 1)
-    gram = span_hash(prefix, at, at + k)
-    bits = np.uint64(int(len(data)).bit_length())
-    best = ((gram >> bits) << bits) | at.astype(np.uint64)
-    wide, span = length - k + 1, 1
-    while span * 2 <= wide:
-        best = np.minimum(best[:-span], best[span:])
-        span *= 2
-    if wide > span:
-        best = np.minimum(best[: len(best) - (wide - span)], best[wide - span :])
-    size = hi - lo
-    row = np.repeat(np.arange(len(lo)), size)
-    start = np.arange(len(row)) + np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-    anchor = (best[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    s, e, a = start[new], start[np.append(new[1:], len(start)) - 1], anchor[new]
-    shape = mix64((a - s).astype(np.uint64) * np.uint64(1 << 32) + (e - s).astype(np.uint64))
-    row = row[new]
-    return row, s - lo[row], e - lo[row], gram[a], span_hash(prefix, s, e + length) ^ shape
+SPANS = "array<struct<start:bigint,end:bigint>>"
+RESULT = f"n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans {SPANS}"
+PART = "bucket bigint, grp bigint, n int, blob binary"
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length: sorted ones as differences, compressed together."""
-    raw = b"".join((np.diff(c, prepend=c.dtype.type(0)) if c.dtype == np.int64 else c).tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    """Columns (of one length at least 1), byte by byte, compressed together; whole numbers of 64 bits as differences."""
+    raw = []
+    for c in columns:
+        c = np.ascontiguousarray(np.diff(c, prepend=c.dtype.type(0)) if c.dtype == np.int64 else c)
+        raw.append(c.view(np.uint8).reshape(len(c), -1).T.tobytes() if c.ndim == 1 else c.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
 
 
 def unpack(blob: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
-    raw, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
+    """kinds: a type, or a number for rows of so many bytes."""
+    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), [], 0
     for kind in kinds:
-        size = n * np.dtype(kind).itemsize
-        c = np.frombuffer(raw, kind, n, at)
-        out.append(np.cumsum(c) if kind is np.int64 else c)
-        at += size
-    return [*out, np.frombuffer(raw, np.uint8, offset=at)]
-
-
-def firsts(keys: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, marks in that order of the earliest entry of each key)."""
-    order = np.lexsort((*place[::-1], *keys[::-1]))
-    new = np.ones(len(order), bool)
-    if len(order) > 1:
-        new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
-    return order, new
-
-
-def deal(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """One row for each bucket with the columns' entries, in the given order."""
-    order = np.argsort(bucket, kind="stable")
-    names, first = np.unique(bucket[order], return_index=True)
-    parts = np.split(order, first[1:]) if len(order) else []
-    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([len(p) for p in parts], pa.int32()), pa.array([pack(*[c[p] for c in columns]) for p in parts], pa.binary())], ["bucket", "n", "blob"])
-
-
-ANCHOR = (np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32)  # document, row, anchor, block, first, last start
-
-
-def _numbered(df: DataFrame, keep: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The kept columns, a row number, the id (nulls first), the byte count, the whole text's hash, the packed text."""
+        width = kind if isinstance(kind, int) else np.dtype(kind).itemsize
+        c = raw[at : at + n * width]
+        at += n * width
+        if isinstance(kind, int):
+            out.append(c.reshape(n, width))
+        else:
+            c = np.ascontiguousarray(c.reshape(width, n).T).reshape(-1).view(kind)
+            out.append(np.cumsum(c) if kind is np.int64 else c)
+    return out
+
+
+def sample_places(offs: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place in its bytes) of the samples with a whole stem, in ascending order; offs: where the texts begin."""
+    size = np.maximum(np.diff(offs) - stem + 1, 0)
+    periods = -(-size // PERIOD)
+    text = np.repeat(np.arange(len(size)), periods)
+    first = (np.arange(len(text)) - np.repeat(np.cumsum(periods) - periods, periods)) * PERIOD
+    place = (first[:, None] + np.array(COVER)).ravel()
+    text = np.repeat(text, len(COVER))
+    whole = place < size[text]
+    return text[whole], place[whole]
+
+
+class Group:
+    """The texts of a group that are long enough and no later copies, in the order of their rows, and their samples."""
+
+    def __init__(self, table: pa.Table, copied: np.ndarray, length: int):
+        self.stem = length - PERIOD + 1
+        row, size = table["row_no"].to_numpy(), table["n_bytes"].to_numpy()
+        use = np.flatnonzero((size >= length) & ~np.isin(row, copied))
+        use = use[np.argsort(row[use])]
+        self.row, self.order, self.size, self.use, self.packed = row[use], table["order_id"].to_numpy()[use], size[use], use, table["packed"]
+
+    def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, bytes, where its texts begin) of about SLICE_BYTES of texts each."""
+        dec, lo = zstandard.ZstdDecompressor(), 0
+        end = np.cumsum(self.size)
+        while lo < len(self.use):
+            hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+            data = np.frombuffer(b"".join(dec.decompress(self.packed[int(i)].as_py()) for i in self.use[lo:hi]), np.uint8)
+            yield lo, data, np.concatenate([[0], np.cumsum(self.size[lo:hi])])
+            lo = hi
+
+    def keys(self, buckets: int) -> np.ndarray:
+        """Bucket (upper half) and name in it (lower half) of each sample's stem."""
+        out = [np.zeros(0, np.uint64)]
+        for _, data, offs in self.slices():
+            text, place = sample_places(offs, self.stem)
+            at = offs[text] + place
+            h = span_hash(prefix_hash(data), at, at + self.stem)
+            low = np.uint64(0xFFFFFFFF)
+            out.append(((((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)) << np.uint64(32)) | (h & low))
+        return np.concatenate(out)
+
+
+def _rows(bucket: list, grp: list, n: list, blob: list) -> pa.Table:
+    return pa.table({"bucket": pa.array(bucket, pa.int64()), "grp": pa.array(grp, pa.int64()), "n": pa.array(n, pa.int32()), "blob": pa.array(blob, pa.binary())})
+
+
+def _cuts(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs of equal entries."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return first, np.append(first[1:], len(sorted_keys)).astype(np.int64)[: len(first)]
+
+
+def _pack_texts(df: DataFrame, keep: list[str], id_col: str, text_col: str) -> DataFrame:
+    """The kept columns, a row number, the id (nulls first), the group, byte count, hash and packed bytes of the text."""
     n_keep = len(keep)
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NONE)).alias("order_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("whole"))
-    schema = T.StructType([*src.schema.fields[: n_keep + 2], *T._parse_datatype_string("n_bytes bigint, sha256 string, packed binary").fields])
+    src = df.select(*kept_columns(keep), F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NONE)).alias("order_id"), F.col(f"`{text_col}`").cast("string").alias("whole"))
+    schema = T.StructType([*src.schema.fields[: n_keep + 2], *T._parse_datatype_string("grp bigint, n_bytes bigint, sha256 string, packed binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comp = zstandard.ZstdCompressor(level=3)
+        comp, done, part = zstandard.ZstdCompressor(level=3), 0, TaskContext.get().partitionId() << 32
         for b in batches:
-            texts = [t.encode() for t in b.column(n_keep + 2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: n_keep + 2], pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([comp.compress(t) for t in texts], pa.binary())], schema.names)
+            texts = [(t or "").encode() for t in b.column(n_keep + 2).to_pylist()]
+            size = np.array([len(t) for t in texts], np.int64)
+            grp = part + (done + np.cumsum(size)) // GROUP_BYTES
+            done += int(size.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns[: n_keep + 2], pa.array(grp), pa.array(size), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([comp.compress(t) for t in texts], pa.binary())], schema.names)
 
     return src.mapInArrow(run, schema)
 
 
-def _anchors(numbered: DataFrame, length: int) -> DataFrame:
-    """Blocks of all rows by bucket. Blocks that equal an earlier one of the same batch are settled at once (bucket -1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = zstandard.ZstdDecompressor()
-        held: list[list[np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            doc, row, h, b, s, e = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            order, new = firsts((h, b), (doc, row, s))
-            bucket = np.full(len(doc), -1)
-            bucket[order[new]] = (h[order[new]] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            return deal(bucket, [doc, row, h, b, s, e])
-
-        for batch in batches:
-            docs, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sizes = batch.column(2).to_numpy()
-            at = 0
-            while at < len(docs):
-                stop = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), SLICE, side="right")))
-                raw = b"".join(dec.decompress(p) for p in batch.column(3).slice(at, stop - at).to_pylist())
-                r, s, e, h, b = blocks(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(sizes[at:stop])]), length)
-                if len(r):
-                    held.append([docs[at:stop][r], rows[at:stop][r], h, b, s.astype(np.uint32), e.astype(np.uint32)])
-                at = stop
-                if sum(len(x[0]) for x in held) >= GATHER:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return numbered.filter(F.col("n_bytes") >= length).select("order_id", "row_no", "n_bytes", "packed").mapInArrow(run, PART)
-
-
-FOUND = "row_no bigint, open boolean, anchor bigint, start bigint, last bigint"
-
-
-def _settle(parts: DataFrame) -> DataFrame:
-    """Blocks that equal an earlier one (open: false), and the first blocks of anchors that have several kinds (open)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, done = [], []
-        for b in batches:
-            for bucket, n, blob in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                (done if bucket < 0 else held).append(unpack(blob, n, ANCHOR)[:6])
-        for c in done:
-            yield _found(c[1], False, c[2], c[4], c[5])
-        if held:
-            doc, row, h, b, s, e = (np.concatenate(c) for c in zip(*held, strict=True))
-            order, new = firsts((h, b), (doc, row, s))
-            later, lead = order[~new], order[new]
-            yield _found(row[later], False, h[later], s[later], e[later])
-            _, kind, kinds = np.unique(h[lead], return_inverse=True, return_counts=True)
-            several = lead[kinds[kind] > 1]
-            yield _found(row[several], True, h[several], s[several], e[several])
-
-    return parts.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.xxhash64("blob"))).mapInArrow(run, FOUND)
-
-
-def _found(row: np.ndarray, is_open: bool, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.full(len(row), is_open)), pa.array(h.view(np.int64)), pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64))], ["row_no", "open", "anchor", "start", "last"])
+def _later_copies(texts: DataFrame, length: int) -> DataFrame:
+    """(grp, row_no) of rows whose whole text an earlier row has; a text that many rows have is met in SALTS parts."""
+    some = texts.filter(F.col("n_bytes") >= length).select("sha256", "grp", "order_id", "row_no")
+    first = some.groupBy("sha256").agg(F.min(F.struct("order_id", "row_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = first.select("sha256", F.col("first.row_no").alias("first_row"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return some.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(SALTS)).cast("int")).join(first, ["sha256", "salt"]).filter("row_no <> first_row").select("grp", "row_no")
 
 
-OPEN = (np.int64, np.int64, np.uint64, np.uint32, np.uint32)  # document, row, anchor, first start, bytes
+def _copied(right: pa.Table) -> np.ndarray:
+    """Row numbers of the copies among a group's notes (those have no blob)."""
+    return right.filter(pa.compute.is_null(right["blob"]))["bucket"].to_numpy()
 
 
-def _open_blocks(texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of open blocks by bucket."""
+def _stems(left: DataFrame, notes: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Each group's distinct stems by bucket: sorted names and how often they occur there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = zstandard.ZstdDecompressor()
-        held: dict[int, list] = {}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            rows = []
-            for bucket, items in held.items():
-                head = pack(*[np.array(c, k) for c, k in zip(zip(*[i[:5] for i in items], strict=True), OPEN, strict=True)])
-                body = zstandard.ZstdCompressor(level=3).compress(b"".join(i[5] for i in items))
-                rows.append((bucket, len(items), len(head).to_bytes(8, "little") + head + body))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "n", "blob"])
-
-        for b in batches:
-            for doc, row, packed, found in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                text = dec.decompress(packed)
-                for x in found:
-                    h = x["anchor"] & ((1 << 64) - 1)
-                    part = text[x["start"] : x["last"] + length]
-                    held.setdefault(h >> (64 - BUCKET_BITS), []).append((doc, row, h, x["start"], len(part), part))
-                    size += len(part)
-                if size > 16 * SLICE:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    return texts.select("order_id", "row_no", "packed", "open").mapInArrow(run, PART)
-
-
-def _settle_strings(parts: DataFrame, length: int) -> DataFrame:
-    """(row_no, start, end) of the bytes of strings that start earlier, from the bytes of open blocks."""
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [])
+        if a.num_rows:
+            u, c = np.unique(Group(a, _copied(b), length).keys(buckets), return_counts=True)
+            for i, j in zip(*_cuts(u >> np.uint64(32)), strict=True):
+                names = np.diff((u[i:j] & np.uint64(0xFFFFFFFF)).astype(np.int64), prepend=0).astype(np.uint32)
+                for o, x in zip(out, (int(u[i] >> np.uint64(32)), a["grp"][0].as_py(), j - i, pack(names, np.minimum(c[i:j], HOT + 1).astype(np.uint32))), strict=True):
+                    o.append(x)
+        return _rows(*out)
+
+    return left.groupBy("grp").cogroup(notes.groupBy("grp")).applyInArrow(run, PART)
+
+
+def _repeated(stems: DataFrame, hot: int) -> DataFrame:
+    """For each group and bucket, in the order of the names: 0 for a stem that occurs once, 1 for others, 2 for hot ones."""
+
+    def run(t: pa.Table) -> pa.Table:
+        names, counts = [], []
+        for n, blob in zip(t["n"].to_pylist(), t["blob"].to_pylist(), strict=True):
+            d, c = unpack(blob, n, (np.uint32, np.uint32))
+            names.append(np.cumsum(d, dtype=np.int64))
+            counts.append(c)
+        _, inv = np.unique(np.concatenate(names), return_inverse=True)
+        total = np.bincount(inv, weights=np.concatenate(counts))[inv]
+        state = (total > 1).astype(np.uint8) + (total > hot)
+        ends = np.cumsum([len(x) for x in names])
+        own = [(state[e - len(x) : e], c) for x, c, e in zip(names, counts, ends, strict=True)]
+        return _rows(t["bucket"].to_pylist(), t["grp"].to_pylist(), [int(c[s > 0].sum()) for s, c in own], [zstandard.ZstdCompressor(level=1).compress(s.tobytes()) for s, _ in own])
+
+    return stems.groupBy("bucket").applyInArrow(run, PART)
+
+
+def words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as big-endian 64-bit words, so that comparing words compares bytes."""
+    n, width = rows.shape
+    out = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    out[:, :width] = rows
+    return out.view(">u8").astype(np.uint64)
+
+
+def row_hash(rows: np.ndarray, seed: int) -> np.ndarray:
+    h = np.full(len(rows), seed, np.uint64)
+    for w in words(rows).T:
+        h = mix64(h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+    return mix64(h)
+
+
+def valid_shifts(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bit s: the string that starts s bytes before the sample lies in the text (left, right: bytes there, SIDE at most)."""
+    lo, hi = SIDE - right.astype(np.int64), left.astype(np.int64)
+    bits = np.where(hi >= lo, (np.int64(1) << (hi - lo + 1).clip(0)) - 1, 0) << lo.clip(0)
+    return bits.astype(np.uint32)
+
+
+SAMPLE = (np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, 2 * SIDE)  # stem, order, row, place, bytes left and right, those bytes
+STRING = (np.uint64, np.int64, np.int64, np.int64, np.uint8)  # string, order, row, place of the sample, shift
+MARK = (np.int64, np.int64, np.uint32)  # row, place of a sample, shifts whose strings start earlier too
+
+
+def _samples(left: DataFrame, notes: DataFrame, length: int, counting: int, sorting: int) -> DataFrame:
+    """Samples of repeated stems with the bytes on both sides, by bucket: sample buckets from 0, string buckets of hot
+    stems from `sorting` on. Of equal surroundings in a group the first is kept, the others are marked at once (-1)."""
+    stem = length - PERIOD + 1
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [])
+        if not a.num_rows:
+            return _rows(*out)
+        grp, group = a["grp"][0].as_py(), Group(a, _copied(b), length)
+        u, inv = np.unique(group.keys(counting), return_inverse=True)
+        state = np.zeros(len(u), np.uint8)
+        seen = b.filter(pa.compute.is_valid(b["blob"]))
+        for bucket, blob in zip(seen["bucket"].to_pylist(), seen["blob"].to_pylist(), strict=True):
+            i, j = np.searchsorted(u, np.array([bucket, bucket + 1], np.uint64) << np.uint64(32))
+            state[i:j] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+        state = state[inv]
+        del u, inv
+
+        def emit(bucket: np.ndarray, columns: list[np.ndarray]) -> None:
+            order = np.argsort(bucket, kind="stable")
+            for i, j in zip(*_cuts(bucket[order]), strict=True):
+                at = order[i:j]
+                for o, x in zip(out, (int(bucket[at[0]]), grp, j - i, pack(*[c[at] for c in columns])), strict=True):
+                    o.append(x)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, raw = [], []
-        for b in batches:
-            for n, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                cut = 8 + int.from_bytes(blob[:8], "little")
-                held.append(unpack(blob[8:cut], n, OPEN)[:5])
-                raw.append(zstandard.ZstdDecompressor().decompress(blob[cut:]))
-        if not held:
-            return
-        doc, row, h, s, size = (np.concatenate(c) for c in zip(*held, strict=True))
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        base = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-        bits = (h >> np.uint64(64 - BUCKET_BITS - 6)).astype(np.int64)
-        for part in np.unique(bits):  # equal anchors lie in one part
-            at = np.flatnonzero(bits == part)
-            n = size[at].astype(np.int64) - length + 1
-            block = np.repeat(at, n)
-            shift = np.arange(len(block)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            key = np.zeros(len(block), np.uint64)
-            lo = 0
-            while lo < len(at):  # hash the strings of some blocks at a time
-                hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(size[at[lo:]].astype(np.int64)), SLICE, side="right")))
-                text = np.concatenate([data[base[i] : base[i + 1]] for i in at[lo:hi]])
-                own = np.concatenate([[0], np.cumsum(size[at[lo:hi]].astype(np.int64))[:-1]])
-                a, b = int(n[:lo].sum()), int(n[:hi].sum())
-                start = np.repeat(own, n[lo:hi]) + shift[a:b]
-                key[a:b] = span_hash(prefix_hash(text), start, start + length)
-                lo = hi
-            place = s[block].astype(np.int64) + shift
-            order, new = firsts((h[block], key), (doc[block], row[block], place))
-            dup = np.zeros(len(block), bool)
-            dup[order[~new]] = True
-            hit = np.flatnonzero(dup)
-            if len(hit):
-                brk = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (block[hit[1:]] != block[hit[:-1]])])
-                first, last = hit[brk], hit[np.append(np.flatnonzero(brk)[1:], len(hit)) - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(row[block[first]]), pa.array(place[first]), pa.array(place[last] + length)], ["row_no", "start", "end"])
-
-    return parts.repartition("bucket").mapInArrow(run, "row_no bigint, start bigint, end bigint")
-
-
-RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
-
-
-def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+        found: list[list[np.ndarray]] = []
+        done = 0
+        for first, data, offs in group.slices():
+            text, place = sample_places(offs, stem)
+            st = state[done : done + len(text)]
+            done += len(text)
+            hit = np.flatnonzero(st)
+            text, place = text[hit], place[hit]
+            before, behind = np.minimum(place, SIDE), np.minimum(np.diff(offs)[text] - place - stem, SIDE)
+            wide = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
+            rows = np.lib.stride_tricks.sliding_window_view(wide, 2 * SIDE + stem)[offs[text] + place].copy()
+            rows[:, :SIDE][np.arange(SIDE) < SIDE - before[:, None]] = 0
+            rows[:, SIDE + stem :][np.arange(SIDE) >= behind[:, None]] = 0
+            found.append([group.order[first + text], group.row[first + text], place, before.astype(np.uint8), behind.astype(np.uint8), st[hit], rows])
+        if not found:
+            return _rows(*out)
+        order_id, row, place, before, behind, st, rows = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        one, two = row_hash(rows, 1) ^ (before.astype(np.uint64) << np.uint64(8)) ^ behind, row_hash(rows, 2)
+        age = np.lexsort((place, row, order_id))
+        order = age[np.argsort(one[age], kind="stable")]
+        same = np.zeros(len(order), bool)
+        same[1:] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        copies = np.sort(order[same])
+        if len(copies):
+            emit(np.full(len(copies), -1), [row[copies], place[copies], valid_shifts(before[copies], behind[copies])])
+        lead = np.sort(order[~same])
+        plain, hot = lead[st[lead] == 1], lead[st[lead] == 2]
+        h = row_hash(rows[plain, SIDE : SIDE + stem], 3)
+        where = ((mix64(h) >> np.uint64(32)) * np.uint64(sorting)) >> np.uint64(32)
+        emit(where.astype(np.int64), [h, order_id[plain], row[plain], place[plain], before[plain], behind[plain], np.concatenate([rows[plain, :SIDE], rows[plain, SIDE + stem :]], axis=1)])
+        for s in range(PERIOD if len(hot) else 0):
+            x = hot[(valid_shifts(before[hot], behind[hot]) >> np.uint32(s)) & np.uint32(1) == 1]
+            # one string is kept by the earliest sample of the group
+            seq = x[np.lexsort((place[x] - s, row[x], order_id[x]))]
+            h = row_hash(rows[seq, SIDE - s : SIDE - s + length], 4)
+            _, earliest = np.unique(h, return_index=True)
+            rest = np.setdiff1d(np.arange(len(seq)), earliest)
+            if len(rest):
+                emit(np.full(len(rest), -1), [row[seq[rest]], place[seq[rest]], np.full(len(rest), 1 << s, np.uint32)])
+            seq, h = seq[np.sort(earliest)], h[np.sort(earliest)]
+            where = sorting + (((mix64(h) >> np.uint64(32)) * np.uint64(sorting)) >> np.uint64(32)).astype(np.int64)
+            emit(where, [h, order_id[seq], row[seq], place[seq], np.full(len(seq), s, np.uint8)])
+        return _rows(*out)
+
+    return left.groupBy("grp").cogroup(notes.groupBy("grp")).applyInArrow(run, PART)
+
+
+def side_ranks(stem: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the samples sorted by stem and bytes, and how many bytes each shares with the one before (-1: another stem)."""
+    w = words(side)
+    order = np.lexsort((*w.T[::-1], stem))
+    s = side[order]
+    differs = s[1:] != s[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), SIDE) if len(order) > 1 else np.zeros(0, np.int64)
+    common = np.where(stem[order[1:]] == stem[order[:-1]], common, -1)
+    return order, np.concatenate([[-1], common])[: len(order)]
+
+
+def ranks(order: np.ndarray, common: np.ndarray, reach: int) -> np.ndarray:
+    """A number for each sample that is equal for those of one stem with the same `reach` bytes on that side."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < reach)
+    return out
+
+
+def earlier_strings(stem: np.ndarray, before: np.ndarray, behind: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """For each sample (the earliest first) the shifts whose strings an earlier sample of the stem has too."""
+    back, ahead = side_ranks(stem, np.ascontiguousarray(sides[:, SIDE - 1 :: -1])), side_ranks(stem, sides[:, SIDE:])
+    valid = valid_shifts(before, behind)
+    out = np.zeros(len(stem), np.uint32)
+    whole = (ranks(*back, SIDE) << 36) | (ranks(*ahead, SIDE) << 10) | (before.astype(np.int64) << 5) | behind  # a bucket has far less than 2**26 samples
+    _, first = np.unique(whole, return_index=True)
+    copy = np.ones(len(stem), bool)
+    copy[first] = False
+    out[copy] = valid[copy]
+    lead = np.sort(first)
+    for s in range(PERIOD):
+        x = lead[(valid[lead] >> np.uint32(s)) & np.uint32(1) == 1]
+        key = (ranks(*back, s)[x] << 32) | ranks(*ahead, SIDE - s)[x]
+        _, first = np.unique(key, return_index=True)
+        again = np.ones(len(x), bool)
+        again[first] = False
+        out[x[again]] |= np.uint32(1 << s)
+    return out
+
+
+def _marks(parts: DataFrame, sorting: int) -> DataFrame:
+    """One bucket at a time: the marks of its samples or strings, for each group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [])
+        strings = t["bucket"][0].as_py() >= sorting
+        held = [unpack(blob, n, STRING if strings else SAMPLE) for n, blob in zip(t["n"].to_pylist(), t["blob"].to_pylist(), strict=True)]
+        h, order_id, row, place, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+        grp = np.repeat(t["grp"].to_numpy(), t["n"].to_numpy())
+        del held
+        age = np.lexsort((place - rest[0].astype(np.int64) if strings else place, row, order_id))
+        if strings:
+            _, first = np.unique(h[age], return_index=True)
+            bits = np.uint32(1) << rest[0].astype(np.uint32)
+            bits[age[first]] = 0
+        else:
+            _, kind, size = np.unique(h, return_inverse=True, return_counts=True)
+            age = age[size[kind[age]] > 1]
+            bits = np.zeros(len(h), np.uint32)
+            if len(age):
+                bits[age] = earlier_strings(kind[age], rest[0][age], rest[1][age], rest[2][age])
+        hit = np.flatnonzero(bits)
+        hit = hit[np.lexsort((place[hit], row[hit], grp[hit]))]
+        for i, j in zip(*_cuts(grp[hit]), strict=True):
+            at = hit[i:j]
+            for o, x in zip(out, (-1, int(grp[at[0]]), j - i, pack(row[at], place[at], bits[at])), strict=True):
+                o.append(x)
+        return _rows(*out)
+
+    return parts.groupBy("bucket").applyInArrow(run, PART)
+
+
+def removed_runs(places: np.ndarray, bits: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
+    """The maximal runs of bytes under the marked strings."""
+    change = np.zeros(size + 1, np.int64)
+    start = np.unique(np.concatenate([(places - s)[(bits >> np.uint32(s)) & np.uint32(1) == 1] for s in range(PERIOD)]))
+    change[start] += 1
+    change[start + length] -= 1
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(change)[:-1] > 0, [False]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def _cut(texts: DataFrame, notes: DataFrame, keep: list[str], length: int) -> DataFrame:
+    n_keep, fields = len(keep), T._parse_datatype_string(RESULT).fields
+    schema = T.StructType([*texts.schema.fields[:n_keep], *fields])
+    span_t = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        copied = set(_copied(b).tolist())
+        marks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        seen = b.filter(pa.compute.is_valid(b["blob"]))
+        for n, blob in zip(seen["n"].to_pylist(), seen["blob"].to_pylist(), strict=True):
+            row, place, bits = unpack(blob, n, MARK)
+            order = np.argsort(row, kind="stable")
+            for i, j in zip(*_cuts(row[order]), strict=True):
+                at = order[i:j]
+                marks.setdefault(int(row[at[0]]), []).append((place[at], bits[at]))
+        removed, kept, spans = [], [], []
+        dec, nothing = zstandard.ZstdDecompressor(), hashlib.sha256().hexdigest()
+        for i, (row, size, sha) in enumerate(zip(a["row_no"].to_pylist(), a["n_bytes"].to_pylist(), a["sha256"].to_pylist(), strict=True)):
+            if row in copied:
+                found, sha = [(0, size)], nothing
+            elif row in marks:
+                found = removed_runs(*(np.concatenate(x) for x in zip(*marks[row], strict=True)), size, length)
+                text, at, rest = dec.decompress(a["packed"][i].as_py()), 0, hashlib.sha256()
+                for lo, hi in [*found, (size, size)]:
+                    rest.update(text[at:lo])
+                    at = hi
+                sha = rest.hexdigest()
+            else:
+                found = []
+            spans.append([{"start": lo, "end": hi} for lo, hi in found])
+            removed.append(sum(hi - lo for lo, hi in found))
+            kept.append(sha)
+        columns = [a["n_bytes"], pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span_t)]
+        return pa.table([*a.columns[:n_keep], *columns], names=schema.names)
+
+    return texts.groupBy("grp").cogroup(notes.groupBy("grp")).applyInArrow(run, schema)
+
+
+def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The kept columns with n_bytes, n_removed, n_spans, kept_sha256 and spans (the maximal removed runs, in bytes).
 
     Texts count as UTF-8 bytes, null ones as empty. Earlier means a smaller id (null ids first, repeated ids in the order
     of their rows), or the same text and an earlier start. Strings never reach over a text's end. Whole copies lose all
-    their bytes if they have `length` of them. An empty table gives no rows; kept columns that clash raise.
+    their bytes if they have `length` of them. An empty table gives no rows. A result column whose name a kept one has
+    gets underscores. length is PERIOD at least.
     """
-    if clash := {c.lower() for c in keep} & {"row_no", "order_id", "packed", "sha256", "open", "done", *(x.split()[0] for x in RESULT.split(", "))}:
-        raise ValueError(f"columns clash with the result: {sorted(clash)}")
-    numbered = materialize(_numbered(df, keep, id_col, text_col), "texts")
-    found = materialize(_settle(_anchors(numbered, length)), "blocks")
-    mark = F.struct("anchor", "start", "last")
-    by_row = found.groupBy("row_no").agg(F.collect_list(F.when(F.col("open"), mark)).alias("open"), F.collect_list(F.when(~F.col("open"), F.struct("start", (F.col("last") + length).alias("end")))).alias("done"))
-    cols = [F.col(f"`{c}`") for c in keep]
-    texts = materialize(numbered.join(by_row, "row_no"), "found-texts")
-    late = _settle_strings(_open_blocks(texts.filter(F.size("open") > 0), length), length)
-    late = materialize(late, "strings").groupBy("row_no").agg(F.collect_list(F.struct("start", "end")).alias("late"))
-    joined = texts.join(late, "row_no", "left").select(*cols, "n_bytes", "packed", F.concat("done", F.coalesce("late", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("cuts"))
-    n_keep = len(keep)
-    schema = T.StructType([*joined.schema.fields[:n_keep], *T._parse_datatype_string(RESULT).fields])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = zstandard.ZstdDecompressor()
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for packed, cuts in zip(b.column(n_keep + 1).to_pylist(), b.column(n_keep + 2).to_pylist(), strict=True):
-                text, spans = dec.decompress(packed), []
-                for c in sorted(cuts, key=lambda c: c["start"]):
-                    if spans and c["start"] <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(spans[-1]["end"], c["end"])
-                    else:
-                        spans.append(dict(c))
-                rest, at = hashlib.sha256(), 0
-                for c in [*spans, {"start": len(text), "end": len(text)}]:
-                    rest.update(text[at : c["start"]])
-                    at = c["end"]
-                for o, x in zip(out, (sum(c["end"] - c["start"] for c in spans), len(spans), rest.hexdigest(), spans), strict=True):
-                    o.append(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n_keep], b.column(n_keep), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], schema.names)
-
-    whole = numbered.join(texts.select("row_no"), "row_no", "left_anti").select(*cols, "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    return joined.mapInArrow(cut, schema).unionByName(whole)
+    if length < PERIOD:
+        raise ValueError(f"length must be {PERIOD} at least")
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    with Scratch(df.sparkSession) as scratch:
+        texts = scratch.save(_pack_texts(df, keep, id_col, text_col), "texts", "grp", min(20_000, max(1, math.ceil(total / GROUP_BYTES))))
+        copies = scratch.save(_later_copies(texts, length), "copies").select(F.col("row_no").alias("bucket"), "grp", F.lit(1).alias("n"), F.lit(None).cast("binary").alias("blob"))
+        left = texts.select("grp", "row_no", "order_id", "n_bytes", "packed")
+        counting = max(1, math.ceil(total * len(COVER) / PERIOD / COUNTED))
+        seen = scratch.save(_repeated(_stems(left, copies, length, counting), hot), "repeated")
+        n_repeated = seen.agg(F.sum("n")).first()[0] or 0
+        sorting = max(1, math.ceil(n_repeated / SORTED))
+        parts = scratch.save(_samples(left, seen.filter("n > 0").unionByName(copies), length, counting, sorting), "samples")
+        marks = scratch.save(_marks(parts.filter("bucket >= 0"), sorting), "marks").unionByName(parts.filter("bucket < 0"))
+        done = materialize(_cut(texts, marks.unionByName(copies), kept_names(keep), length), "repeats")
+    return restored(done, keep, [x.split()[0] for x in RESULT.split(", ")])

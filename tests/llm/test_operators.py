@@ -392,7 +392,8 @@ def test_neighbours_of_few(spark):
 
 # ------------------------------------------------------------------ 9
 
-def test_repeats(spark, corpus, empty):
+@pytest.mark.parametrize("hot", [200_000, 2])
+def test_repeats(spark, corpus, empty, hot):
     from aerolith.llm.repeats import remove_repeats
 
     rows, _ = corpus
@@ -408,11 +409,32 @@ def test_repeats(spark, corpus, empty):
             seen.add(w)
         runs = [m.span() for m in re.finditer(b"\1+", bytes(cover))]
         want[i] = (len(b), sum(cover), len(runs), hashlib.sha256(bytes(x for x, c in zip(b, cover, strict=True) if not c)).hexdigest(), [tuple(r) for r in runs])
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], [tuple(s) for s in r["spans"]]) for r in remove_repeats(docs(spark, rows), ["doc_id"]).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], [tuple(s) for s in r["spans"]]) for r in remove_repeats(docs(spark, rows), ["doc_id"], hot=hot).collect()}
     assert got == want
     assert remove_repeats(empty, ["doc_id"]).count() == 0
 
 
+def test_repeats_odd_rows(spark):
+    """Null and repeated ids, zero bytes beside text ends, and kept columns named like internal and result ones."""
+    from aerolith.llm.repeats import COVER, PERIOD, remove_repeats
+
+    assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
+    a, b = "".join(chr(97 + i * i % 26) for i in range(137)), "\0" * 40
+    rows = [(3, a + b, 1), (None, b + a, 2), (3, a[:99] + b, 3), (2, "x" + a[:120], 4), (3, a + b, 5), (1, None, 6), (2, b + a[30:] + b, 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, grp int").withColumn("n_spans", F.lit(9)).repartition(2).cache()
+    got = {r["grp"]: r for r in remove_repeats(df, ["doc_id", "grp", "n_spans", "text"]).collect()}
+    order = [r["grp"] for r in df.select("grp", F.coalesce("doc_id", F.lit(-1)).alias("o"), F.monotonically_increasing_id().alias("m")).orderBy("o", "m").collect()]
+    texts, seen = {r[2]: (r[1] or "").encode() for r in rows}, set()
+    for g in order:
+        t = texts[g]
+        cover = bytearray(len(t))
+        for j in range(len(t) - 99):
+            if t[j : j + 100] in seen:
+                cover[j : j + 100] = b"\1" * 100
+            seen.add(t[j : j + 100])
+        assert (got[g]["n_removed"], got[g]["n_spans"]) == (sum(cover), 9) and got[g]["n_spans_"] == len(re.findall(b"\1+", bytes(cover)))
+
+
 # ------------------------------------------------------------------ 10
 
 def test_toxicity(spark, empty):

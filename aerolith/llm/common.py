@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -191,3 +194,93 @@ def gram_hash(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         h = h * np.uint64(0xD6E8FEB86659FD93) + words[i : i + n]
     return mix64(h)
+
+
+# ---------------------------------------------------------------- groups of texts, and columns packed into binaries
+
+#: bytes of text of a group of rows
+GROUP_BYTES = 16 << 20
+#: what groups and buckets send each other: rows of packed columns
+PART = "bucket bigint, grp bigint, n int, blob binary"
+
+
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    return df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+
+
+def group_count(total: int) -> int:
+    return min(20_000, max(1, -(-total // GROUP_BYTES)))
+
+
+def packed_texts(df: DataFrame, keep: list[str], text_col: str, extra: dict[str, Column], fields: str, measure: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """The kept columns (kept_0, ...), the extra ones, row_no, grp, n_bytes, what `measure` says of the texts, and the
+    packed text; a group holds about GROUP_BYTES of neighbouring rows' texts, a null text is empty."""
+    n = len(keep) + len(extra) + 1
+    src = df.select(*kept_columns(keep), *[c.alias(k) for k, c in extra.items()], F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("whole"))
+    schema = T.StructType([*src.schema.fields[:n], *T._parse_datatype_string(f"grp bigint, n_bytes bigint, {fields}, packed binary").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comp, done, part = zstandard.ZstdCompressor(level=3), 0, TaskContext.get().partitionId() << 32
+        for b in batches:
+            texts = [t.encode() for t in b.column(n).to_pylist()]
+            size = np.array([len(t) for t in texts], np.int64)
+            grp = part + (done + np.cumsum(size)) // GROUP_BYTES
+            done += int(size.sum())
+            packed = pa.array([comp.compress(t) for t in texts], pa.binary())
+            del texts
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(grp), pa.array(size), *measure(b.column(n)), packed], schema.names)
+
+    return src.mapInArrow(run, schema)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte by byte, compressed together; whole numbers of 64 bits as differences."""
+    raw = []
+    for c in columns:
+        c = np.ascontiguousarray(np.diff(c, prepend=c.dtype.type(0)) if c.dtype == np.int64 else c)
+        raw.append(c.view(np.uint8).reshape(len(c), -1).T.tobytes() if c.ndim == 1 else c.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+
+
+def unpack(blob: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
+    """kinds: a type, or a number for rows of so many bytes."""
+    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), [], 0
+    for kind in kinds:
+        width = kind if isinstance(kind, int) else np.dtype(kind).itemsize
+        c = raw[at : at + n * width]
+        at += n * width
+        if isinstance(kind, int):
+            out.append(c.reshape(n, width))
+        else:
+            c = np.ascontiguousarray(c.reshape(width, n).T).reshape(-1).view(kind)
+            out.append(np.cumsum(c) if kind is np.int64 else c)
+    return out
+
+
+def unpack_all(table: pa.Table, kinds: tuple) -> list[np.ndarray]:
+    held = [unpack(blob, n, kinds) for n, blob in zip(table["n"].to_pylist(), table["blob"].to_pylist(), strict=True)]
+    return [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def part_rows(bucket: list, grp: list, n: list, blob: list) -> pa.Table:
+    return pa.table({"bucket": pa.array(bucket, pa.int64()), "grp": pa.array(grp, pa.int64()), "n": pa.array(n, pa.int32()), "blob": pa.array(blob, pa.binary())})
+
+
+def runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs of equal entries."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return first, np.append(first[1:], len(sorted_keys)).astype(np.int64)[: len(first)]
+
+
+def deal(bucket: np.ndarray, grp: int, columns: list[np.ndarray], out: tuple[list, ...]) -> None:
+    """Adds one row for each bucket to out (for part_rows), with the columns' entries in the given order."""
+    order = np.argsort(bucket, kind="stable")
+    for i, j in zip(*runs_of(bucket[order]), strict=True):
+        at = order[i:j]
+        for o, x in zip(out, (int(bucket[at[0]]), grp, j - i, pack(*[c[at] for c in columns])), strict=True):
+            o.append(x)
+
+
+def by_bucket(parts: DataFrame, buckets: int):
+    """Grouped by bucket, a few buckets a task, one at a time in memory."""
+    return parts.repartition(min(buckets, max(64, -(-buckets // 4))), "bucket").groupBy("bucket")

@@ -17,50 +17,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, Scratch, kept_columns, kept_names, materialize, mix64, prefix_hash, restored, span_hash
+from .common import PART, SLICE_BYTES, Scratch, by_bucket, deal, group_count, kept_names, materialize, mix64, pack, packed_texts, part_rows, prefix_hash, restored, runs_of, span_hash, text_bytes, unpack, unpack_all
 
 LENGTH = 100
 #: differences of these numbers give every remainder modulo PERIOD
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 SIDE = PERIOD - 1
-#: bytes of text of a group of rows, stems of a bucket that counts them, samples of a bucket that is sorted
-GROUP_BYTES, COUNTED, SORTED = 16 << 20, 2_000_000, 250_000
+#: stems of a bucket that counts them, samples of a bucket that is sorted
+COUNTED, SORTED = 2_000_000, 250_000
 #: stems that occur more often are not sorted together: each string around them is dealt by itself
 HOT = 200_000
 SALTS = 16
 NONE = np.iinfo(np.int64).min
 SPANS = "array<struct<start:bigint,end:bigint>>"
 RESULT = f"n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans {SPANS}"
-PART = "bucket bigint, grp bigint, n int, blob binary"
-
-
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns (of one length at least 1), byte by byte, compressed together; whole numbers of 64 bits as differences."""
-    raw = []
-    for c in columns:
-        c = np.ascontiguousarray(np.diff(c, prepend=c.dtype.type(0)) if c.dtype == np.int64 else c)
-        raw.append(c.view(np.uint8).reshape(len(c), -1).T.tobytes() if c.ndim == 1 else c.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
-
-
-def unpack(blob: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
-    """kinds: a type, or a number for rows of so many bytes."""
-    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), [], 0
-    for kind in kinds:
-        width = kind if isinstance(kind, int) else np.dtype(kind).itemsize
-        c = raw[at : at + n * width]
-        at += n * width
-        if isinstance(kind, int):
-            out.append(c.reshape(n, width))
-        else:
-            c = np.ascontiguousarray(c.reshape(width, n).T).reshape(-1).view(kind)
-            out.append(np.cumsum(c) if kind is np.int64 else c)
-    return out
 
 
 def sample_places(offs: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,32 +81,8 @@ class Group:
         return np.concatenate(out)
 
 
-def _rows(bucket: list, grp: list, n: list, blob: list) -> pa.Table:
-    return pa.table({"bucket": pa.array(bucket, pa.int64()), "grp": pa.array(grp, pa.int64()), "n": pa.array(n, pa.int32()), "blob": pa.array(blob, pa.binary())})
-
-
-def _cuts(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, end) of the runs of equal entries."""
-    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
-    return first, np.append(first[1:], len(sorted_keys)).astype(np.int64)[: len(first)]
-
-
-def _pack_texts(df: DataFrame, keep: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The kept columns, a row number, the id (nulls first), the group, byte count, hash and packed bytes of the text."""
-    n_keep = len(keep)
-    src = df.select(*kept_columns(keep), F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NONE)).alias("order_id"), F.col(f"`{text_col}`").cast("string").alias("whole"))
-    schema = T.StructType([*src.schema.fields[: n_keep + 2], *T._parse_datatype_string("grp bigint, n_bytes bigint, sha256 string, packed binary").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comp, done, part = zstandard.ZstdCompressor(level=3), 0, TaskContext.get().partitionId() << 32
-        for b in batches:
-            texts = [(t or "").encode() for t in b.column(n_keep + 2).to_pylist()]
-            size = np.array([len(t) for t in texts], np.int64)
-            grp = part + (done + np.cumsum(size)) // GROUP_BYTES
-            done += int(size.sum())
-            yield pa.RecordBatch.from_arrays([*b.columns[: n_keep + 2], pa.array(grp), pa.array(size), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([comp.compress(t) for t in texts], pa.binary())], schema.names)
-
-    return src.mapInArrow(run, schema)
+def _hashes(col: pa.Array) -> list[pa.Array]:
+    return [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in col.to_pylist()], pa.string())]
 
 
 def _later_copies(texts: DataFrame, length: int) -> DataFrame:
@@ -155,16 +105,16 @@ def _stems(left: DataFrame, notes: DataFrame, length: int, buckets: int) -> Data
         out: tuple[list, ...] = ([], [], [], [])
         if a.num_rows:
             u, c = np.unique(Group(a, _copied(b), length).keys(buckets), return_counts=True)
-            for i, j in zip(*_cuts(u >> np.uint64(32)), strict=True):
+            for i, j in zip(*runs_of(u >> np.uint64(32)), strict=True):
                 names = np.diff((u[i:j] & np.uint64(0xFFFFFFFF)).astype(np.int64), prepend=0).astype(np.uint32)
                 for o, x in zip(out, (int(u[i] >> np.uint64(32)), a["grp"][0].as_py(), j - i, pack(names, np.minimum(c[i:j], HOT + 1).astype(np.uint32))), strict=True):
                     o.append(x)
-        return _rows(*out)
+        return part_rows(*out)
 
     return left.groupBy("grp").cogroup(notes.groupBy("grp")).applyInArrow(run, PART)
 
 
-def _repeated(stems: DataFrame, hot: int) -> DataFrame:
+def _repeated(stems: DataFrame, hot: int, buckets: int) -> DataFrame:
     """For each group and bucket, in the order of the names: 0 for a stem that occurs once, 1 for others, 2 for hot ones."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -178,9 +128,9 @@ def _repeated(stems: DataFrame, hot: int) -> DataFrame:
         state = (total > 1).astype(np.uint8) + (total > hot)
         ends = np.cumsum([len(x) for x in names])
         own = [(state[e - len(x) : e], c) for x, c, e in zip(names, counts, ends, strict=True)]
-        return _rows(t["bucket"].to_pylist(), t["grp"].to_pylist(), [int(c[s > 0].sum()) for s, c in own], [zstandard.ZstdCompressor(level=1).compress(s.tobytes()) for s, _ in own])
+        return part_rows(t["bucket"].to_pylist(), t["grp"].to_pylist(), [int(c[s > 0].sum()) for s, c in own], [zstandard.ZstdCompressor(level=1).compress(s.tobytes()) for s, _ in own])
 
-    return stems.groupBy("bucket").applyInArrow(run, PART)
+    return by_bucket(stems, buckets).applyInArrow(run, PART)
 
 
 def words(rows: np.ndarray) -> np.ndarray:
@@ -218,7 +168,7 @@ def _samples(left: DataFrame, notes: DataFrame, length: int, counting: int, sort
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: tuple[list, ...] = ([], [], [], [])
         if not a.num_rows:
-            return _rows(*out)
+            return part_rows(*out)
         grp, group = a["grp"][0].as_py(), Group(a, _copied(b), length)
         u, inv = np.unique(group.keys(counting), return_inverse=True)
         state = np.zeros(len(u), np.uint8)
@@ -230,11 +180,7 @@ def _samples(left: DataFrame, notes: DataFrame, length: int, counting: int, sort
         del u, inv
 
         def emit(bucket: np.ndarray, columns: list[np.ndarray]) -> None:
-            order = np.argsort(bucket, kind="stable")
-            for i, j in zip(*_cuts(bucket[order]), strict=True):
-                at = order[i:j]
-                for o, x in zip(out, (int(bucket[at[0]]), grp, j - i, pack(*[c[at] for c in columns])), strict=True):
-                    o.append(x)
+            deal(bucket, grp, columns, out)
 
         found: list[list[np.ndarray]] = []
         done = 0
@@ -251,7 +197,7 @@ def _samples(left: DataFrame, notes: DataFrame, length: int, counting: int, sort
             rows[:, SIDE + stem :][np.arange(SIDE) >= behind[:, None]] = 0
             found.append([group.order[first + text], group.row[first + text], place, before.astype(np.uint8), behind.astype(np.uint8), st[hit], rows])
         if not found:
-            return _rows(*out)
+            return part_rows(*out)
         order_id, row, place, before, behind, st, rows = (np.concatenate(x) for x in zip(*found, strict=True))
         del found
         one, two = row_hash(rows, 1) ^ (before.astype(np.uint64) << np.uint64(8)) ^ behind, row_hash(rows, 2)
@@ -271,7 +217,7 @@ def _samples(left: DataFrame, notes: DataFrame, length: int, counting: int, sort
             x = hot[(valid_shifts(before[hot], behind[hot]) >> np.uint32(s)) & np.uint32(1) == 1]
             # one string is kept by the earliest sample of the group
             seq = x[np.lexsort((place[x] - s, row[x], order_id[x]))]
-            h = row_hash(rows[seq, SIDE - s : SIDE - s + length], 4)
+            h = row_hash(rows[seq, SIDE - s : SIDE - s + length], 4 + s)
             _, earliest = np.unique(h, return_index=True)
             rest = np.setdiff1d(np.arange(len(seq)), earliest)
             if len(rest):
@@ -279,7 +225,7 @@ def _samples(left: DataFrame, notes: DataFrame, length: int, counting: int, sort
             seq, h = seq[np.sort(earliest)], h[np.sort(earliest)]
             where = sorting + (((mix64(h) >> np.uint64(32)) * np.uint64(sorting)) >> np.uint64(32)).astype(np.int64)
             emit(where, [h, order_id[seq], row[seq], place[seq], np.full(len(seq), s, np.uint8)])
-        return _rows(*out)
+        return part_rows(*out)
 
     return left.groupBy("grp").cogroup(notes.groupBy("grp")).applyInArrow(run, PART)
 
@@ -329,10 +275,8 @@ def _marks(parts: DataFrame, sorting: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         out: tuple[list, ...] = ([], [], [], [])
         strings = t["bucket"][0].as_py() >= sorting
-        held = [unpack(blob, n, STRING if strings else SAMPLE) for n, blob in zip(t["n"].to_pylist(), t["blob"].to_pylist(), strict=True)]
-        h, order_id, row, place, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, order_id, row, place, *rest = unpack_all(t, STRING if strings else SAMPLE)
         grp = np.repeat(t["grp"].to_numpy(), t["n"].to_numpy())
-        del held
         age = np.lexsort((place - rest[0].astype(np.int64) if strings else place, row, order_id))
         if strings:
             _, first = np.unique(h[age], return_index=True)
@@ -346,13 +290,13 @@ def _marks(parts: DataFrame, sorting: int) -> DataFrame:
                 bits[age] = earlier_strings(kind[age], rest[0][age], rest[1][age], rest[2][age])
         hit = np.flatnonzero(bits)
         hit = hit[np.lexsort((place[hit], row[hit], grp[hit]))]
-        for i, j in zip(*_cuts(grp[hit]), strict=True):
+        for i, j in zip(*runs_of(grp[hit]), strict=True):
             at = hit[i:j]
             for o, x in zip(out, (-1, int(grp[at[0]]), j - i, pack(row[at], place[at], bits[at])), strict=True):
                 o.append(x)
-        return _rows(*out)
+        return part_rows(*out)
 
-    return parts.groupBy("bucket").applyInArrow(run, PART)
+    return by_bucket(parts, 2 * sorting).applyInArrow(run, PART)
 
 
 def removed_runs(places: np.ndarray, bits: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
@@ -377,7 +321,7 @@ def _cut(texts: DataFrame, notes: DataFrame, keep: list[str], length: int) -> Da
         for n, blob in zip(seen["n"].to_pylist(), seen["blob"].to_pylist(), strict=True):
             row, place, bits = unpack(blob, n, MARK)
             order = np.argsort(row, kind="stable")
-            for i, j in zip(*_cuts(row[order]), strict=True):
+            for i, j in zip(*runs_of(row[order]), strict=True):
                 at = order[i:j]
                 marks.setdefault(int(row[at[0]]), []).append((place[at], bits[at]))
         removed, kept, spans = [], [], []
@@ -413,13 +357,14 @@ def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     """
     if length < PERIOD:
         raise ValueError(f"length must be {PERIOD} at least")
-    total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    total = text_bytes(df, text_col)
     with Scratch(df.sparkSession) as scratch:
-        texts = scratch.save(_pack_texts(df, keep, id_col, text_col), "texts", "grp", min(20_000, max(1, math.ceil(total / GROUP_BYTES))))
+        order = {"order_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NONE))}
+        texts = scratch.save(packed_texts(df, keep, text_col, order, "sha256 string", _hashes), "texts", "grp", group_count(total))
         copies = scratch.save(_later_copies(texts, length), "copies").select(F.col("row_no").alias("bucket"), "grp", F.lit(1).alias("n"), F.lit(None).cast("binary").alias("blob"))
         left = texts.select("grp", "row_no", "order_id", "n_bytes", "packed")
         counting = max(1, math.ceil(total * len(COVER) / PERIOD / COUNTED))
-        seen = scratch.save(_repeated(_stems(left, copies, length, counting), hot), "repeated")
+        seen = scratch.save(_repeated(_stems(left, copies, length, counting), hot, counting), "repeated")
         n_repeated = seen.agg(F.sum("n")).first()[0] or 0
         sorting = max(1, math.ceil(n_repeated / SORTED))
         parts = scratch.save(_samples(left, seen.filter("n > 0").unionByName(copies), length, counting, sorting), "samples")

@@ -1,154 +1,265 @@
 """Quality rules: repetition counts and n-gram perplexity under a modified Kneser-Ney model.
 
-The model is over character classes (32 of them) in 4-grams, one table a language. Spark counts the grams of
-every whole text; a language's table has at most 32**4 entries, so the collected model has a proven bound.
-Every document is scored under the model of its own language alone, so that a text in another language than the one
-it is labelled with scores as badly there as it should. A document is rejected when its log-perplexity leaves its
-language's band (median and spread over all documents).
+The model is over the characters of a text (lower-cased, digits as one, white space as one) in 5-grams, one a language.
+Spark counts the grams of every whole text and derives the model from them by windows and joins; it grows with the corpus,
+and no task holds it whole: a group of texts gets the log-probabilities of the grams that stand in it, as sorted arrays,
+and looks them up by hash. Since the scored texts are those that were counted, every gram is scored as if its own occurrence
+hadn't been counted (leave one out), and as if none had where all of them are in that text, so that junk can't vouch for
+itself. Every document is scored under the model language alone and is rejected when its log-perplexity leaves that language's band (median and spread), above or below.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, free_name, gram_hash, materialize, mix64, prefix_hash, span_hash, text_slices, word_spans
+from .common import PART, SLICE_BYTES, SPACED, Scratch, by_bucket, deal, gram_hash, group_count, kept_names, materialize, mix64, pack, packed_texts, part_rows, prefix_hash, restored, span_hash, text_bytes, text_slices, unpack, unpack_all, word_spans
 
-ORDER = 4
-BITS = 5
-GRAMS = 1 << (BITS * ORDER)
+ORDER = 5
+#: bits of a character in a key; a gram is a pair of keys: its first two characters and its last three
+BITS = 21
 LANGUAGES = ("en", "de", "fr", "es")
 OTHER = "other"
 #: half-width of the band in spreads, and the spread that a text of one gram has besides
-WIDTH, SHORT = 5.0, 0.7
-
-# Character classes of a byte: a-z, capital, digit, white space, sentence mark, symbol, beyond ASCII; 255 is skipped.
-CLASS = np.full(256, 30, np.uint8)
-CLASS[97:123] = np.arange(26)
-CLASS[65:91] = 26
-CLASS[48:58] = 27
-CLASS[[32, 9, 10, 11, 12, 13]] = 28
-CLASS[[ord(c) for c in ".,;:'\"?()-"]] = 29
-CLASS[0x80:0xC0] = 255
-CLASS[0xC0:] = 31
+WIDTH, SHORT = 5.0, 2.0
+#: groups of texts whose grams one bucket merges
+MERGED = 4
+GRAM = (np.uint8, np.int64, np.int64, np.uint32)  # language, first key, last key, count
+SCORED = (np.uint8, np.int64, np.int64, np.uint32, np.float32, np.float32)  # ..., log-probability without one occurrence, without any
+
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
+COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "base_failed", "kept"]
+
+
+def _plain_characters() -> np.ndarray:
+    """The character that stands for each one below 2**16 in the model."""
+    out = np.arange(1 << 16, dtype=np.uint32)
+    for i in range(1 << 16):
+        c = chr(i)
+        low = c.lower()
+        out[i] = 48 if c.isdigit() else 32 if c.isspace() else ord(low) if len(low) == 1 else i
+    return out
+
 
-STATS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,n_grams:bigint,log_ppl:double,model_lang:string>"
+PLAIN = _plain_characters()
 
 
-def class_grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gram keys, index of the first gram of each row with one more); grams lie within one row."""
-    c = CLASS[data]
-    keep = c != 255
-    at = np.concatenate([[0], np.cumsum(keep)])[offs]
-    c = c[keep].astype(np.uint32)
-    n = max(0, len(c) - ORDER + 1)
-    key = np.zeros(n, np.uint32)
-    for i in range(ORDER):
-        key = (key << np.uint32(BITS)) | c[i : i + n]
-    first = np.minimum(at[:-1], n)
-    ends = np.minimum(np.maximum(at[1:] - ORDER + 1, at[:-1]), n)
-    size = np.maximum(ends - first, 0)
-    start = np.concatenate([[0], np.cumsum(size)])
-    pick = np.arange(start[-1]) + np.repeat(first - start[:-1], size)
-    return key[pick], start
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first keys, last keys, index of the first gram of each text with one more); grams lie within one text."""
+    whole = [t.decode() for t in texts]
+    size = np.array([len(t) for t in whole], np.int64)
+    c = np.frombuffer("".join(whole).encode("utf-32-le"), np.uint32)
+    c = np.where(c < 1 << 16, PLAIN[np.minimum(c, (1 << 16) - 1)], c).astype(np.int64)
+    n = np.maximum(size - ORDER + 1, 0)
+    start = np.concatenate([[0], np.cumsum(n)])
+    at = np.arange(start[-1]) + np.repeat(np.cumsum(size) - size - start[:-1], n)
+    first = (c[:-1] << BITS) | c[1:] if len(c) else c
+    last = (first[:-1] << BITS) | c[2:] if len(c) > 2 else c[:0]
+    return first[at], last[at + 2], start
+
+
+def key_hash(lang: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return mix64(mix64(first.view(np.uint64) + (lang.astype(np.uint64) << np.uint64(56))) ^ last.view(np.uint64))
+
+
+def distinct_grams(lang: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray | None = None) -> list[np.ndarray]:
+    """Language, keys and (added) counts of each gram, sorted by the keys."""
+    _, at, inv, count = np.unique(key_hash(lang, first, last), return_index=True, return_inverse=True, return_counts=True)
+    if n is not None:
+        count = np.bincount(inv, weights=n).astype(np.int64)
+    order = np.lexsort((last[at], first[at], lang[at]))
+    at = at[order]
+    return [lang[at], first[at], last[at], count[order]]
 
 
 def lang_index(col: pa.Array, languages: tuple[str, ...]) -> np.ndarray:
     place = {x: i for i, x in enumerate(languages)}
-    return np.array([place.get(x, len(languages)) for x in col.to_pylist()], np.int64)
-
-
-def count_grams(df: DataFrame, text_col: str, lang_col: str, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """(lang, gram, n) over every whole text: each task sums its own part, Spark adds the parts."""
-    n_lang = len(languages) + 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_lang, GRAMS), np.int64)
-        for b in batches:
-            langs = lang_index(b.column(1), languages)
-            for lo, hi, data, offs in text_slices(b.column(0)):
-                key, start = class_grams(data, offs)
-                which = np.repeat(langs[lo:hi], np.diff(start))
-                for i in np.unique(which):
-                    total[i] += np.bincount(key[which == i], minlength=GRAMS)
-        for i in range(n_lang):
-            at = np.flatnonzero(total[i])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[i][at])], ["lang", "gram", "n"])
-
-    part = df.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).mapInArrow(count, "lang int, gram int, n bigint")
-    return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class KneserNey:
-    """Modified Kneser-Ney of one language: sorted keys and (count, discounted mass) arrays of each order."""
-
-    keys: list[np.ndarray]  # [order - 1] -> sorted gram keys
-    counts: list[np.ndarray]
-    context_total: list[np.ndarray]  # of each key of the order below, aligned with contexts
-    contexts: list[np.ndarray]
-    backoff: list[np.ndarray]
-    discounts: list[tuple[float, float, float]]
-
-    @classmethod
-    def fit(cls, keys: np.ndarray, counts: np.ndarray) -> KneserNey:
-        """keys: sorted grams of the highest order with their counts."""
-        out = cls([], [], [], [], [], [])
-        level: list[tuple[np.ndarray, np.ndarray]] = [(keys.astype(np.int64), counts.astype(np.int64))]
-        for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before the shorter gram
-            k, n = np.unique(level[-1][0] & ((1 << (BITS * order)) - 1), return_counts=True)
-            level.append((k, n))
-        for k, c in reversed(level):
-            n1, n2, n3, n4 = (float((c == i).sum()) for i in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-            d = [min(max(x, 0.05), m - 0.05) for x, m in ((1 - 2 * y * n2 / n1 if n1 else 0.5, 1), (2 - 3 * y * n3 / n2 if n2 else 1.0, 2), (3 - 4 * y * n4 / n3 if n3 else 1.5, 3))]
-            ctx, inv = np.unique(k >> BITS, return_inverse=True)
-            total = np.bincount(inv, weights=c)
-            cut = np.where(c == 1, d[0], np.where(c == 2, d[1], d[2]))
-            out.keys.append(k)
-            out.counts.append(c)
-            out.contexts.append(ctx)
-            out.context_total.append(total)
-            out.backoff.append(np.bincount(inv, weights=cut) / total)
-            out.discounts.append((d[0], d[1], d[2]))
-        return out
+    return np.array([place.get(x, len(languages)) for x in col.to_pylist()], np.uint8)
+
+
+def _slices(packed: pa.ChunkedArray, size: np.ndarray) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first text, text after the last, texts) of about SLICE_BYTES each."""
+    dec, lo, end = zstandard.ZstdDecompressor(), 0, np.cumsum(size)
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+        yield lo, hi, [dec.decompress(packed[i].as_py()) for i in range(lo, hi)]
+        lo = hi
+
+
+def count_grams(texts: DataFrame, languages: tuple[str, ...], buckets: int) -> DataFrame:
+    """Each group's grams by bucket, with their counts there."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [])
+        langs, held = lang_index(t["lang"], languages), []
+        for lo, hi, part in _slices(t["packed"], t["n_bytes"].to_numpy()):
+            first, last, start = grams(part)
+            held.append(distinct_grams(np.repeat(langs[lo:hi], np.diff(start)), first, last))
+        if held:
+            lang, first, last, n = distinct_grams(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            bucket = ((key_hash(lang, first, last) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            deal(bucket.astype(np.int64), t["grp"][0].as_py(), [lang, first, last, n.astype(np.uint32)], out)
+        return part_rows(*out)
+
+    return texts.groupBy("grp").applyInArrow(run, PART)
+
+
+def merge_grams(parts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, lang, first, last, n) of each gram of the corpus."""
+
+    def run(t: pa.Table) -> pa.Table:
+        lang, first, last, n = distinct_grams(*unpack_all(t, GRAM))
+        return pa.table({"bucket": pa.array(np.full(len(n), t["bucket"][0].as_py(), np.int64)), "lang": pa.array(lang.astype(np.int32)), "first": pa.array(first), "last": pa.array(last), "n": pa.array(n)})
+
+    return by_bucket(parts, buckets).applyInArrow(run, "bucket bigint, lang int, first bigint, last bigint, n bigint")
 
-    def logp(self, grams: np.ndarray) -> np.ndarray:
-        """Log probability of each gram's last character after the ones before it."""
-        p = np.full(len(grams), 1.0 / (1 << BITS))
-        for i in range(ORDER):
-            g = grams.astype(np.int64) & ((1 << (BITS * (i + 1))) - 1)
-            at = np.minimum(np.searchsorted(self.keys[i], g), len(self.keys[i]) - 1)
-            hit = self.keys[i][at] == g
-            d = self.discounts[i]
-            c = np.where(hit, self.counts[i][at], 0)
-            c = np.where(c == 0, 0.0, c - np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
-            x = np.minimum(np.searchsorted(self.contexts[i], g >> BITS), len(self.contexts[i]) - 1)
-            seen = self.contexts[i][x] == g >> BITS
-            p = np.where(seen, c / self.context_total[i][x] + self.backoff[i][x] * p, p)
-        return np.log(p)
-
-
-def fit_models(counts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> dict[int, KneserNey]:
-    """The models of all languages; the table has at most (languages + 1) * 32**4 rows."""
-    pdf = counts.toPandas()
+
+# the keys of a gram's suffix in the next lower order, and what stands before its last character
+SUFFIX = {4: {"first": f"first & {(1 << BITS) - 1}", "last": "last"}, 3: {"last": "last"}, 2: {"last": f"last & {(1 << 2 * BITS) - 1}"}, 1: {"last": f"last & {(1 << BITS) - 1}"}}
+CONTEXT = {5: ["first", f"shiftright(last, {BITS})"], 4: ["first", f"shiftright(last, {BITS})"], 3: [f"shiftright(last, {BITS})"], 2: [f"shiftright(last, {BITS})"], 1: []}
+
+
+def _level(table: DataFrame, order: int) -> DataFrame:
+    """Adds s<order>: the gram's count, its context's total, and how many grams of the context occur once, twice, more often."""
+    w = Window.partitionBy("lang", *[F.expr(c) for c in CONTEXT[order]])
+    kinds = [F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1)), F.count(F.when(F.col("n") >= 3, 1))]
+    return table.withColumn(f"s{order}", F.struct(F.col("n").alias("n"), F.sum("n").over(w).alias("total"), *[k.over(w).alias(f"n{i}") for i, k in enumerate(kinds, 1)]))
+
+
+def discounts(table: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """The three discounts of each language from the counts of counts (one row a language)."""
+    rows = table.groupBy("lang").agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
     out = {}
-    for i in range(len(languages) + 1):
-        p = pdf[pdf["lang"] == i].sort_values("gram")
-        if len(p):
-            out[i] = KneserNey.fit(p["gram"].to_numpy(), p["n"].to_numpy())
+    for r in rows:
+        n1, n2, n3, n4 = (float(r[f"n{i}"]) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        raw = ((1 - 2 * y * n2 / n1 if n1 else 0.5, 1), (2 - 3 * y * n3 / n2 if n2 else 1.0, 2), (3 - 4 * y * n4 / n3 if n3 else 1.5, 3))
+        out[r["lang"]] = tuple(min(max(x, 0.05), m - 0.05) for x, m in raw)
     return out
 
 
+def _left_out(s: Column, d: Column, gone: Column, lower: Column) -> Column:
+    """Probability of a gram's last character if so many occurrences (up to all) are taken out."""
+    kind = lambda n, i: n >= 3 if i == 3 else n == i
+    n, total = s["n"] - gone, s["total"] - gone
+    left = lambda i: s[f"n{i}"] - kind(s["n"], i).cast("int") + kind(n, i).cast("int")
+    cut = F.when(n == 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+    some = total > 0
+    return F.when(some, F.greatest(n - cut, F.lit(0.0)) / total).otherwise(0.0) + F.when(some, (d[0] * left(1) + d[1] * left(2) + d[2] * left(3)) / total).otherwise(1.0) * lower
+
+
+def kneser_ney(counts: DataFrame, save) -> DataFrame:
+    """(bucket, lang, first, last, logp, logp_alone): modified Kneser-Ney with one, or every, occurrence of the gram left out.
+
+    Lower orders count the distinct grams of the order above that end in the gram. `save` keeps intermediate tables.
+    """
+    levels, table = {ORDER: counts}, counts
+    for order in range(ORDER - 1, 0, -1):
+        table = save(table.groupBy("lang", *[F.expr(c).alias(k) for k, c in SUFFIX[order].items()]).agg(F.count(F.lit(1)).alias("n")), f"grams{order}")
+        levels[order] = table
+    cuts = {order: discounts(t) for order, t in levels.items()}
+    size = {r["lang"]: r["v"] for r in levels[1].groupBy("lang").agg(F.count(F.lit(1)).alias("v")).collect()}  # one row a language
+    per_lang = lambda values: F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(values.items()) for x in (k, v)]), F.col("lang"))
+    if not size:
+        return counts.select("bucket", "lang", "first", "last", "n", F.lit(0.0).alias("logp"), F.lit(0.0).alias("logp_alone")).filter("false")
+    lower = _level(levels[1], 1).drop("n")
+    for order in range(2, ORDER + 1):
+        names = {k: f"up_{k}" for k in SUFFIX[order - 1]}
+        right = lower.select(F.col("lang").alias("up_lang"), *[F.col(k).alias(v) for k, v in names.items()], *[f"s{i}" for i in range(1, order)])
+        left = _level(levels[order], order)
+        left = left if order == ORDER else left.drop("n")
+        on = [F.col("lang") == F.col("up_lang"), *[F.expr(SUFFIX[order - 1][k]) == F.col(v) for k, v in names.items()]]
+        lower = left.join(right, on).drop("up_lang", *names.values())
+    logp = []
+    for taken in (F.lit(1), F.col(f"s{ORDER}.n")):
+        gone = {ORDER: taken}
+        for order in range(ORDER, 1, -1):  # a gram that is gone altogether counts no more for its suffix
+            gone[order - 1] = (F.col(f"s{order}.n") == gone[order]).cast("int")
+        p = 1.0 / (per_lang({k: float(v + 1) for k, v in size.items()}))
+        for order in range(1, ORDER + 1):
+            d = [per_lang({k: v[i] for k, v in cuts[order].items()}) for i in range(3)]
+            p = _left_out(F.col(f"s{order}"), d, gone[order], p)
+        logp.append(F.ln(p))
+    return lower.select("bucket", "lang", "first", "last", "n", logp[0].alias("logp"), logp[1].alias("logp_alone"))
+
+
+def _answers(parts: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
+    """For each group and bucket its grams with their log-probabilities."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [])
+        if not a.num_rows:
+            return part_rows(*out)
+        key = key_hash(*(b[c].to_numpy() for c in ("lang", "first", "last")))
+        order = np.argsort(key)
+        key, n_all, logp, alone = key[order], *(b[c].to_numpy()[order] for c in ("n", "logp", "logp_alone"))
+        for bucket, grp, n, blob in zip(*(a[c].to_pylist() for c in ("bucket", "grp", "n", "blob")), strict=True):
+            lang, first, last, _ = unpack(blob, n, GRAM)
+            at = np.searchsorted(key, key_hash(lang, first, last))
+            for o, x in zip(out, (bucket, grp, n, pack(lang, first, last, np.minimum(n_all[at], 0xFFFFFFFF).astype(np.uint32), logp[at].astype(np.float32), alone[at].astype(np.float32))), strict=True):
+                o.append(x)
+        return part_rows(*out)
+
+    return parts.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(run, PART)
+
+
+class Lookup:
+    """Places of keys in an array, by hash: a table with one entry a slot, and a sorted list of those that found theirs taken."""
+
+    def __init__(self, key: np.ndarray):
+        self.bits = np.uint64(max(10, int(len(key)).bit_length() + 2))
+        slot = key >> (np.uint64(64) - self.bits)
+        self.key, self.at = key, np.zeros(1 << int(self.bits), np.int64)
+        self.at[slot] = np.arange(len(key))
+        late = np.flatnonzero(self.at[slot] != np.arange(len(key)))
+        self.late = late[np.argsort(key[late])]
+        self.late_keys = key[self.late]
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        out = self.at[key >> (np.uint64(64) - self.bits)]
+        miss = np.flatnonzero(self.key[out] != key)
+        if len(miss):
+            out[miss] = self.late[np.searchsorted(self.late_keys, key[miss])]
+        return out
+
+
+def _scores(texts: DataFrame, answers: DataFrame, keep: list[str], languages: tuple[str, ...]) -> DataFrame:
+    """The kept columns, counts, number of grams, log-perplexity and the language whose model was used."""
+    names = [*keep, *[x.split()[0] for x in COUNTS.split(", ")]]
+    schema = T.StructType([*texts.select(*names).schema.fields, *T._parse_datatype_string("n_grams bigint, log_ppl double, model_lang string").fields])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        langs = lang_index(a["lang"], languages)
+        n, total = np.zeros(a.num_rows, np.int64), np.zeros(a.num_rows)
+        if b.num_rows and a.num_rows:
+            lang, first, last, count, logp, alone = unpack_all(b, SCORED)
+            table = Lookup(key_hash(lang, first, last))
+            for lo, hi, part in _slices(a["packed"], a["n_bytes"].to_numpy()):
+                first, last, start = grams(part)
+                n[lo:hi] = np.diff(start)
+                key, row = key_hash(np.repeat(langs[lo:hi], n[lo:hi]), first, last), np.repeat(np.arange(hi - lo), n[lo:hi])
+                _, at, own = np.unique(mix64(key + row.astype(np.uint64)), return_index=True, return_counts=True)  # a text's grams
+                x = table.find(key[at])
+                total[lo:hi] = np.bincount(row[at], weights=own * np.where(own == count[x], alone[x], logp[x]).astype(np.float64), minlength=hi - lo)
+        ppl = np.where(n > 0, -total / np.maximum(n, 1), np.nan)
+        return pa.table([*(a[c] for c in names), pa.array(n), pa.array(ppl, from_pandas=True), pa.array([(*languages, OTHER)[i] for i in langs], pa.string())], names=schema.names)
+
+    return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, schema)
+
+
+def _counted(col: pa.Array) -> list[pa.Array]:
+    got = [np.concatenate(x) for x in zip(*(repeat_counts(data, offs) for _, _, data, offs in text_slices(col)), strict=True)] or [np.zeros(0)] * 5
+    return [pa.array(x, pa.int64()) for x in got]
+
+
 def row_sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(values)])[start[1:]] - np.concatenate([[0], np.cumsum(values)])[start[:-1]]
 
@@ -193,57 +304,42 @@ def repeat_counts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return n_words, chars, symbols, dup, repeat
 
 
-def score_quality(df: DataFrame, keep: list[str], text_col: str, lang_col: str, models: dict[int, KneserNey], languages: tuple[str, ...] = LANGUAGES) -> tuple[DataFrame, str]:
-    """The kept columns and a struct of counts and log-perplexity (the struct's name is returned too)."""
-    name = free_name(df, "quality")
-    shared = df.sparkSession.sparkContext.broadcast(models)
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(name), F.col(f"`{lang_col}`").cast("string").alias(name + "_lang"))
-    schema = T.StructType([*df.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField(name, T._parse_datatype_string(STATS))])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {i: m.logp(np.arange(GRAMS)).astype(np.float32) for i, m in shared.value.items()}
-        fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "log_ppl", "model_lang"]
-        for b in batches:
-            texts, langs = b.column(len(keep)), lang_index(b.column(len(keep) + 1), languages)
-            got: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for lo, hi, data, offs in text_slices(texts):
-                key, start = class_grams(data, offs)
-                n = np.diff(start)
-                which = np.repeat(langs[lo:hi], n)
-                lp = np.zeros(len(key))
-                for i in np.unique(which):
-                    lp[which == i] = tables[i][key[which == i]]
-                ppl = np.where(n > 0, -row_sums(lp, start) / np.maximum(n, 1), np.nan)
-                for out, x in zip(got, (*repeat_counts(data, offs), n, ppl), strict=True):
-                    out.append(x)
-            cols = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.float64() if i == 6 else pa.int64(), from_pandas=True) for i, x in enumerate(got)]
-            cols.append(pa.array([(*languages, OTHER)[i] for i in langs], pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.StructArray.from_arrays(cols, fields)], [*keep, name])
-
-    return src.mapInArrow(score, schema), name
+def quality_scores(df: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """kept_0, ..., the counts, n_grams, log_ppl (null for texts of fewer than ORDER characters) and model_lang."""
+    groups = group_count(text_bytes(df, text_col))
+    buckets = -(-groups // MERGED)
+    with Scratch(df.sparkSession) as scratch:
+        texts = scratch.save(packed_texts(df, keep, text_col, {"lang": F.col(f"`{lang_col}`").cast("string")}, COUNTS, _counted), "texts", "grp", groups)
+        parts = scratch.save(count_grams(texts.select("grp", "lang", "n_bytes", "packed"), languages, buckets), "grams")
+        model = kneser_ney(scratch.save(merge_grams(parts, buckets), "counts"), scratch.save)
+        answers = scratch.save(_answers(parts, scratch.save(model, "model"), buckets), "answers")
+        return materialize(_scores(texts, answers, kept_names(keep), languages), "quality")
+
+
+def language_bands(scored: DataFrame) -> dict[str, tuple[float, float]]:
+    """Median log-perplexity of each language, and its spread over the longer half of the texts (one row a language)."""
+    stat = scored.select("model_lang", "n_grams", F.col("log_ppl").alias("x")).filter(F.col("x").isNotNull())
+    mid = {r["model_lang"]: (r["x"], r["n"]) for r in stat.groupBy("model_lang").agg(F.percentile_approx("x", 0.5, 10000).alias("x"), F.percentile_approx("n_grams", 0.5, 10000).alias("n")).collect()}
+    if not mid:
+        return {}
+    least = F.element_at(F.create_map(*[F.lit(v) for k, (_, n) in sorted(mid.items()) for v in (k, n)]), F.col("model_lang"))
+    ends = stat.filter(F.col("n_grams") >= least).groupBy("model_lang").agg(F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.75)), 10000).alias("p")).collect()
+    return {r["model_lang"]: (mid[r["model_lang"]][0], (r["p"][1] - r["p"][0]) / 1.349) for r in ends}
 
 
 def quality_rules(df: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, width: float = WIDTH, short: float = SHORT) -> DataFrame:
     """The kept columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl, base_failed, kept.
 
     A null text counts as empty; an empty text has no perplexity and fails by its word count. A null or unlisted
-    language uses the model of the rest. Repeated rows get the same values. An empty table gives no rows. Kept
-    columns that clash with a result column are not allowed and raise.
+    language uses the model of the rest. Repeated rows get the same values. An empty table gives no rows. A result
+    column whose name a kept one has gets underscores.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "base_failed", "kept"]
-    if clash := {c.lower() for c in keep} & set(added):
-        raise ValueError(f"columns clash with the result: {sorted(clash)}")
-    scored, q = score_quality(df, keep, text_col, lang_col, fit_models(count_grams(df, text_col, lang_col, languages), languages), languages)
-    scored = materialize(scored, "quality")
-    stat = scored.select(F.col(f"{q}.model_lang").alias("model_lang"), F.col(f"{q}.log_ppl").alias("x")).filter(F.col("x").isNotNull())
-    band = stat.groupBy("model_lang").agg(F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("p"))
-    band = band.select("model_lang", F.col("p")[1].alias("mid"), ((F.col("p")[2] - F.col("p")[0]) / 1.349).alias("spread"))
-    limits = {r["model_lang"]: (r["mid"], r["spread"]) for r in band.collect()}  # at most languages + 1 rows
-    ppl, lang, n = F.col(f"{q}.log_ppl"), F.col(f"{q}.model_lang"), F.col(f"{q}.n_grams")
+    scored = quality_scores(df, keep, text_col, lang_col, languages)
+    limits = language_bands(scored)
     inside = F.lit(True)
     for k, (mid, spread) in sorted(limits.items()):
-        room = width * F.sqrt(F.lit(spread * spread) + F.lit(short * short) / F.greatest(n, F.lit(1)))
-        inside = F.when((lang == k) & ppl.isNotNull(), F.abs(ppl - mid) <= room).otherwise(inside)
-    words, repeat = F.col(f"{q}.n_words"), F.col(f"{q}.n_repeat_words")
-    failed = (words < 10) | (100 * repeat > 20 * words)
-    return scored.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"{q}.{c}").alias(c) for c in added[:6]], failed.alias("base_failed"), (~failed & inside).alias("kept"))
+        room = width * F.sqrt(F.lit(spread * spread) + F.lit(short * short) / F.greatest("n_grams", F.lit(1)))
+        inside = F.when((F.col("model_lang") == k) & F.col("log_ppl").isNotNull(), F.abs(F.col("log_ppl") - mid) <= room).otherwise(inside)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    out = scored.select(*kept_names(keep), *ADDED[:6], failed.alias("base_failed"), (~failed & inside).alias("kept"))
+    return restored(out, keep, ADDED)

@@ -266,15 +266,56 @@ def test_quality_counts(spark, corpus, empty):
     assert quality_rules(empty, ["doc_id"]).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark, corpus):
-    from aerolith.llm.quality import BITS, count_grams, fit_models
+def kneser_ney_by_hand(rows, languages=("en", "de", "fr", "es")):
+    """Log-perplexities of (text, lang) rows from dictionaries: every gram's own occurrence is taken out before it is
+    scored, and all of them if no other text has the gram."""
+    plain = lambda t: "".join("0" if c.isdigit() else " " if c.isspace() else c.lower() if len(c.lower()) == 1 else c for c in t)
+    out: dict[int, float | None] = {}
+    for lang in {x if x in languages else None for _, x in rows}:
+        mine = [(i, plain(t or "")) for i, (t, x) in enumerate(rows) if (x if x in languages else None) == lang]
+        counts = {5: Counter(t[j : j + 5] for _, t in mine for j in range(len(t) - 4))}
+        for k in (4, 3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        cut = {}
+        for k, c in counts.items():
+            n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+            raw = [(1 - 2 * y * n2 / n1 if n1 else 0.5, 1), (2 - 3 * y * n3 / n2 if n2 else 1.0, 2), (3 - 4 * y * n4 / n3 if n3 else 1.5, 3)]
+            cut[k] = [0.0, *(min(max(x, 0.05), m - 0.05) for x, m in raw)]
+        within = {k: {} for k in counts}
+        for k, c in counts.items():
+            for g, n in c.items():
+                within[k].setdefault(g[:-1], {})[g] = n
+
+        def logp(g, own):
+            left, p = {}, 1 / (len(counts[1]) + 1)
+            gone = own if own == counts[5][g] else 1
+            for k in (5, 4, 3, 2, 1):
+                left[k] = counts[k][g[-k:]] - gone
+                gone = int(gone > 0 and left[k] == 0)
+            for k in (1, 2, 3, 4, 5):
+                after = {**within[k][g[-k:-1]], g[-k:]: left[k]}
+                total = sum(after.values())
+                if total:
+                    p = max(left[k] - cut[k][min(left[k], 3)], 0) / total + sum(cut[k][min(n, 3)] for n in after.values()) / total * p
+            return np.log(p)
+
+        for i, t in mine:
+            own = Counter(t[j : j + 5] for j in range(len(t) - 4))
+            out[i] = -sum(n * logp(g, n) for g, n in own.items()) / own.total() if own else None
+    return out
+
+
+def test_perplexities_against_dictionaries(spark, corpus):
+    from aerolith.llm.quality import quality_rules
 
-    models = fit_models(count_grams(corpus[1], "text", "lang"))
-    assert set(models) == {0, 1, 4}  # en, de, the rest
-    m = models[0]
-    for ctx in (m.contexts[3][0], m.contexts[3][-1], 12345):  # seen and unseen contexts
-        grams = (int(ctx) << BITS) + np.arange(1 << BITS)
-        assert np.exp(m.logp(grams)).sum() == pytest.approx(1, abs=1e-9)
+    rows = [t for t in corpus[0] if t is None or len(t) < 3000] + ["漢字かな交じり文 漢字かな交じり文", "Ünï 12 34\t5😀😀😀😀😀", "abcd", "abcde"]
+    df = docs(spark, rows)
+    langs = {r["doc_id"]: r["lang"] for r in df.collect()}
+    want = kneser_ney_by_hand([(t, langs[i]) for i, t in enumerate(rows)])
+    got = {r["doc_id"]: r["log_ppl"] for r in quality_rules(df, ["doc_id"]).collect()}
+    for i in range(len(rows)):
+        assert (got[i] is None) == (want[i] is None) and (want[i] is None or got[i] == pytest.approx(want[i], abs=1e-5)), i
 
 
 def test_quality_scores_under_the_own_language(spark):
@@ -467,13 +508,20 @@ def test_toxicity(spark, empty):
 
 # ------------------------------------------------------------------ queries and pipeline
 
+def test_clashing_columns_of_quality_rules(corpus):
+    from aerolith.llm.quality import quality_rules
+
+    df = corpus[1].withColumn("kept", F.lit(5)).withColumn("grp", F.lit("g")).withColumn("KEPT_0", F.lit(1))
+    got = quality_rules(df, ["kept", "grp", "KEPT_0", "doc_id"])
+    assert got.columns[:4] == ["kept", "grp", "KEPT_0", "doc_id"] and got.columns[-1] == "kept_" and got.filter("kept = 5 AND grp = 'g' AND KEPT_0 = 1").count() == df.count()
+
+
 def test_clashing_columns_raise(corpus):
     from aerolith.llm.licenses import license_scan
-    from aerolith.llm.quality import quality_rules
     from aerolith.llm.toxicity import Lexicon, score_toxicity
 
     df = corpus[1].withColumn("score", F.lit(1)).withColumn("kept", F.lit(1)).withColumn("places", F.lit(1))
-    for f in (lambda: license_scan(df, ["places"]), lambda: quality_rules(df, ["kept"]), lambda: score_toxicity(df, Lexicon({}, (), 1.0), ["score"])):
+    for f in (lambda: license_scan(df, ["places"]), lambda: score_toxicity(df, Lexicon({}, (), 1.0), ["score"])):
         with pytest.raises(ValueError, match="clash"):
             f()
 

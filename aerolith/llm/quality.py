@@ -1,6 +1,6 @@
 """Quality rules: repetition counts and n-gram perplexity under a modified Kneser-Ney model.
 
-The model is over the characters of a text (lower-cased, digits as one, white space as one) in 5-grams, one a language.
+The model is over the characters of a text (lower-cased, digits as one, white space as one) in 4-grams, one a language.
 Spark counts the grams of every whole text and derives the model from them by windows and joins; it grows with the corpus,
 and no task holds it whole: a group of texts gets the log-probabilities of the grams that stand in it, as sorted arrays,
 and looks them up by hash. Since the scored texts are those that were counted, every gram is scored as if its own occurrence
@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PART, SLICE_BYTES, SPACED, Scratch, by_bucket, deal, gram_hash, group_count, kept_names, materialize, mix64, pack, packed_texts, part_rows, prefix_hash, restored, span_hash, text_bytes, text_slices, unpack, unpack_all, word_spans
+from .common import PART, SLICE_BYTES, SPACED, Scratch, deal, gram_hash, group_count, kept_names, materialize, mix64, pack, packed_texts, part_rows, prefix_hash, restored, span_hash, text_bytes, text_slices, unpack, unpack_all, word_spans
 
-ORDER = 5
-#: bits of a character in a key; a gram is a pair of keys: its first two characters and its last three
+ORDER = 4
+#: bits of a character in a key; a gram is a pair of keys: its first character and its last three
 BITS = 21
 LANGUAGES = ("en", "de", "fr", "es")
 OTHER = "other"
 #: half-width of the band in spreads, and the spread that a text of one gram has besides
-WIDTH, SHORT = 5.0, 2.0
+WIDTH, SHORT = 5.0, 3.0
 #: groups of texts whose grams one bucket merges
 MERGED = 4
 GRAM = (np.uint8, np.int64, np.int64, np.uint32)  # language, first key, last key, count
@@ -61,9 +61,8 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.maximum(size - ORDER + 1, 0)
     start = np.concatenate([[0], np.cumsum(n)])
     at = np.arange(start[-1]) + np.repeat(np.cumsum(size) - size - start[:-1], n)
-    first = (c[:-1] << BITS) | c[1:] if len(c) else c
-    last = (first[:-1] << BITS) | c[2:] if len(c) > 2 else c[:0]
-    return first[at], last[at + 2], start
+    last = (c[:-2] << (2 * BITS)) | (c[1:-1] << BITS) | c[2:] if len(c) > 2 else c[:0]
+    return c[at], last[at + 1], start
 
 
 def key_hash(lang: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -112,19 +111,19 @@ def count_grams(texts: DataFrame, languages: tuple[str, ...], buckets: int) -> D
     return texts.groupBy("grp").applyInArrow(run, PART)
 
 
-def merge_grams(parts: DataFrame, buckets: int) -> DataFrame:
+def merge_grams(parts: DataFrame) -> DataFrame:
     """(bucket, lang, first, last, n) of each gram of the corpus."""
 
     def run(t: pa.Table) -> pa.Table:
         lang, first, last, n = distinct_grams(*unpack_all(t, GRAM))
         return pa.table({"bucket": pa.array(np.full(len(n), t["bucket"][0].as_py(), np.int64)), "lang": pa.array(lang.astype(np.int32)), "first": pa.array(first), "last": pa.array(last), "n": pa.array(n)})
 
-    return by_bucket(parts, buckets).applyInArrow(run, "bucket bigint, lang int, first bigint, last bigint, n bigint")
+    return parts.groupBy("bucket").applyInArrow(run, "bucket bigint, lang int, first bigint, last bigint, n bigint")
 
 
 # the keys of a gram's suffix in the next lower order, and what stands before its last character
-SUFFIX = {4: {"first": f"first & {(1 << BITS) - 1}", "last": "last"}, 3: {"last": "last"}, 2: {"last": f"last & {(1 << 2 * BITS) - 1}"}, 1: {"last": f"last & {(1 << BITS) - 1}"}}
-CONTEXT = {5: ["first", f"shiftright(last, {BITS})"], 4: ["first", f"shiftright(last, {BITS})"], 3: [f"shiftright(last, {BITS})"], 2: [f"shiftright(last, {BITS})"], 1: []}
+SUFFIX = {3: {"last": "last"}, 2: {"last": f"last & {(1 << 2 * BITS) - 1}"}, 1: {"last": f"last & {(1 << BITS) - 1}"}}
+CONTEXT = {4: ["first", f"shiftright(last, {BITS})"], 3: [f"shiftright(last, {BITS})"], 2: [f"shiftright(last, {BITS})"], 1: []}
 
 
 def _level(table: DataFrame, order: int) -> DataFrame:
@@ -191,7 +190,7 @@ def kneser_ney(counts: DataFrame, save) -> DataFrame:
     return lower.select("bucket", "lang", "first", "last", "n", logp[0].alias("logp"), logp[1].alias("logp_alone"))
 
 
-def _answers(parts: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
+def _answers(parts: DataFrame, model: DataFrame) -> DataFrame:
     """For each group and bucket its grams with their log-probabilities."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -202,9 +201,10 @@ def _answers(parts: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(key)
         key, n_all, logp, alone = key[order], *(b[c].to_numpy()[order] for c in ("n", "logp", "logp_alone"))
         for bucket, grp, n, blob in zip(*(a[c].to_pylist() for c in ("bucket", "grp", "n", "blob")), strict=True):
-            lang, first, last, _ = unpack(blob, n, GRAM)
+            lang, first, last, n_here = unpack(blob, n, GRAM)
             at = np.searchsorted(key, key_hash(lang, first, last))
-            for o, x in zip(out, (bucket, grp, n, pack(lang, first, last, np.minimum(n_all[at], 0xFFFFFFFF).astype(np.uint32), logp[at].astype(np.float32), alone[at].astype(np.float32))), strict=True):
+            own = n_here == n_all[at]  # where other groups have the gram too, no text has all its occurrences
+            for o, x in zip(out, (bucket, grp, n, pack(lang, first, last, np.where(own, n_here, 0).astype(np.uint32), logp[at].astype(np.float32), np.where(own, alone[at], 0).astype(np.float32))), strict=True):
                 o.append(x)
         return part_rows(*out)
 
@@ -310,9 +310,9 @@ def quality_scores(df: DataFrame, keep: list[str], text_col: str = "text", lang_
     buckets = -(-groups // MERGED)
     with Scratch(df.sparkSession) as scratch:
         texts = scratch.save(packed_texts(df, keep, text_col, {"lang": F.col(f"`{lang_col}`").cast("string")}, COUNTS, _counted), "texts", "grp", groups)
-        parts = scratch.save(count_grams(texts.select("grp", "lang", "n_bytes", "packed"), languages, buckets), "grams")
-        model = kneser_ney(scratch.save(merge_grams(parts, buckets), "counts"), scratch.save)
-        answers = scratch.save(_answers(parts, scratch.save(model, "model"), buckets), "answers")
+        parts = scratch.save(count_grams(texts.select("grp", "lang", "n_bytes", "packed"), languages, buckets).repartition(buckets, "bucket"), "grams", "bucket", buckets)
+        model = kneser_ney(scratch.save(merge_grams(parts), "counts"), scratch.save)
+        answers = _answers(parts, scratch.save(model, "model"))
         return materialize(_scores(texts, answers, kept_names(keep), languages), "quality")
 
 

@@ -266,15 +266,15 @@ def test_quality_counts(spark, corpus, empty):
     assert quality_rules(empty, ["doc_id"]).count() == 0
 
 
-def kneser_ney_by_hand(rows, languages=("en", "de", "fr", "es")):
+def kneser_ney_by_hand(rows, order, languages=("en", "de", "fr", "es")):
     """Log-perplexities of (text, lang) rows from dictionaries: every gram's own occurrence is taken out before it is
     scored, and all of them if no other text has the gram."""
     plain = lambda t: "".join("0" if c.isdigit() else " " if c.isspace() else c.lower() if len(c.lower()) == 1 else c for c in t)
     out: dict[int, float | None] = {}
     for lang in {x if x in languages else None for _, x in rows}:
         mine = [(i, plain(t or "")) for i, (t, x) in enumerate(rows) if (x if x in languages else None) == lang]
-        counts = {5: Counter(t[j : j + 5] for _, t in mine for j in range(len(t) - 4))}
-        for k in (4, 3, 2, 1):
+        counts = {order: Counter(t[j : j + order] for _, t in mine for j in range(len(t) - order + 1))}
+        for k in range(order - 1, 0, -1):
             counts[k] = Counter(g[1:] for g in counts[k + 1])
         cut = {}
         for k, c in counts.items():
@@ -289,11 +289,11 @@ def kneser_ney_by_hand(rows, languages=("en", "de", "fr", "es")):
 
         def logp(g, own):
             left, p = {}, 1 / (len(counts[1]) + 1)
-            gone = own if own == counts[5][g] else 1
-            for k in (5, 4, 3, 2, 1):
+            gone = own if own == counts[order][g] else 1
+            for k in range(order, 0, -1):
                 left[k] = counts[k][g[-k:]] - gone
                 gone = int(gone > 0 and left[k] == 0)
-            for k in (1, 2, 3, 4, 5):
+            for k in range(1, order + 1):
                 after = {**within[k][g[-k:-1]], g[-k:]: left[k]}
                 total = sum(after.values())
                 if total:
@@ -301,18 +301,18 @@ def kneser_ney_by_hand(rows, languages=("en", "de", "fr", "es")):
             return np.log(p)
 
         for i, t in mine:
-            own = Counter(t[j : j + 5] for j in range(len(t) - 4))
+            own = Counter(t[j : j + order] for j in range(len(t) - order + 1))
             out[i] = -sum(n * logp(g, n) for g, n in own.items()) / own.total() if own else None
     return out
 
 
 def test_perplexities_against_dictionaries(spark, corpus):
-    from aerolith.llm.quality import quality_rules
+    from aerolith.llm.quality import ORDER, quality_rules
 
-    rows = [t for t in corpus[0] if t is None or len(t) < 3000] + ["漢字かな交じり文 漢字かな交じり文", "Ünï 12 34\t5😀😀😀😀😀", "abcd", "abcde"]
+    rows = [t for t in corpus[0] if t is None or len(t) < 3000] + ["漢字かな交じり文 漢字かな交じり文", "Ünï 12 34\t5😀😀😀😀😀", "abc", "abcd", "abcde"]
     df = docs(spark, rows)
     langs = {r["doc_id"]: r["lang"] for r in df.collect()}
-    want = kneser_ney_by_hand([(t, langs[i]) for i, t in enumerate(rows)])
+    want = kneser_ney_by_hand([(t, langs[i]) for i, t in enumerate(rows)], ORDER)
     got = {r["doc_id"]: r["log_ppl"] for r in quality_rules(df, ["doc_id"]).collect()}
     for i in range(len(rows)):
         assert (got[i] is None) == (want[i] is None) and (want[i] is None or got[i] == pytest.approx(want[i], abs=1e-5)), i

@@ -1,7 +1,7 @@
 """SentencePiece segmentations: Gumbel top-k without replacement over the piece lattice, and decoding.
 
-A text's lattice is cut before spaces and around line ends, where no piece crosses, so that it is a chain of small
-lattices, and equal ones are solved once. The perturbed search walks the tree of choices (units in order, each from its
+A text's lattice is cut between characters that no piece of the model has next to each other, so that it is a chain of
+small lattices (units) without losing a segmentation, and equal ones are solved once. The perturbed search walks the tree of choices (units in order, each from its
 end): since the mass below every node is known, the best leaf of a set of branches is a truncated Gumbel of its mass,
 and the search opens exactly one set of branches for each further segmentation.
 """
@@ -18,18 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, mix64, powers, prefix_hash, span_hash, text_slices
+from .common import kept_columns, kept_names, mix64, powers, prefix_hash, restored, span_hash, text_slices
 
 SAMPLES = 2
 #: log weight of a piece: -RANK_COST * its rank, -PIECE_COST; of a fallback byte
 RANK_COST, PIECE_COST, BYTE_COST = 2e-4, 1.5, 8.0
-#: a unit is cut (between characters) when it gets longer
-LONGEST_UNIT = 40
 SLICE = 512 << 10
 #: branches of a path that are kept one by one; those behind them are one set until it is opened
 NEAR = 64
-#: pieces of more bytes don't take part; nodes that a worker's store of solved units holds
-LONGEST_PIECE, NODES = 16, 1_600_000
+#: nodes that a worker's store of solved units holds (more if a slice of text needs them)
+NODES = 1_500_000
+#: where so few units are left, because they are long, they are solved one node at a time
+FEW = 3
 MASK = (1 << 64) - 1
 FILTER_BITS = 17
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -48,11 +48,12 @@ def scrambled(key: int, *counters: int) -> int:
 
 def uniform(key: int, *counters: int) -> float:
     """A number in (0, 1)."""
-    return (scrambled(key, *counters) >> 11) * 2.0**-53 + 2.0**-54
+    return min((scrambled(key, *counters) >> 11) * 2.0**-53 + 2.0**-54, 1 - 2.0**-53)
 
 
 def uniforms(seeds: np.ndarray, counter: int = 0) -> np.ndarray:
-    return (mix64(seeds + np.uint64((counter + 1) * 0x9E3779B97F4A7C15 & MASK)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+    u = (mix64(seeds + np.uint64((counter + 1) * 0x9E3779B97F4A7C15 & MASK)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+    return np.minimum(u, 1 - 2.0**-53)
 
 
 def truncated_gumbel(loc: np.ndarray | float, bound: float, u: np.ndarray | float) -> np.ndarray:
@@ -88,15 +89,17 @@ class Pieces:
                 continue
             p = sp.id_to_piece(i).replace("▁", " ").encode()
             self.bytes.append(p)
-            if b" " in p[1:]:
-                continue  # runs of spaces: units begin at every space
             first = i if first is None else first
             by_length.setdefault(len(p), []).append((p, i, -RANK_COST * (i - first) - PIECE_COST))
         self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        #: whether some piece holds a character that ends with the one byte and, right behind, one that begins with the other
+        self.joined = np.zeros((256, 256), bool)
         self.score = np.full(sp.get_piece_size(), -BYTE_COST)
         for n, rows in by_length.items():
             flat = np.frombuffer(b"".join(p for p, _, _ in rows), np.uint8)
             at = np.arange(len(rows)) * n
+            inner = np.flatnonzero((np.arange(len(flat)) % n > 0) & ((flat & 0xC0) != 0x80))
+            self.joined[flat[inner - 1], flat[inner]] = True
             h = plain_hash(prefix_hash(flat), at, at + n)
             order = np.argsort(h)
             ids = np.array([i for _, i, _ in rows])
@@ -127,24 +130,21 @@ class Pieces:
 
 
 class Units:
-    """Solved units of a worker. Of each node (place in a unit): its log mass, and row k has the id of the last piece of
-    k + 1 bytes before it and the chance of a last piece of so many bytes at most. When the store is full it is emptied.
+    """Solved units of a worker. Each node (place in a unit) has its log mass and its choices: the pieces that can end
+    there, shortest first, with the chance of this one or a shorter one. When the store is full it is emptied.
     """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self._allot(NODES)
+        self.id, self.width, self.cum = (np.zeros(4 * NODES, t) for t in (np.int32, np.int32, np.float64))
         self.clear()
 
     def _allot(self, nodes: int) -> None:
-        self.cum = np.zeros((LONGEST_PIECE, nodes), np.float32)
-        kind = np.uint16 if len(self.pieces.bytes) < 1 << 16 else np.int32
-        self.none = np.iinfo(kind).max
-        self.ids = np.zeros((LONGEST_PIECE, nodes), kind)
-        self.mass = np.zeros(nodes)
+        self.mass, self.first, self.count = np.zeros(nodes), np.zeros(nodes, np.int64), np.zeros(nodes, np.int32)
 
     def clear(self) -> None:
-        self.used, self.keys, self.ends = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.used, self.choices, self.keys, self.ends = 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The end node of each unit, or -1."""
@@ -175,39 +175,79 @@ class Units:
         nodes = int(base[-1])
         at = np.repeat(start - base[:-1], n + 1) + np.arange(nodes)  # byte of each node
         pos = np.arange(nodes) - np.repeat(base[:-1], n + 1)
-        longest = int(n.max())
-        width = min(longest, LONGEST_PIECE)
+        raw = np.flatnonzero((pos >= 1) & ~known_bytes(self.pieces, data, prefix, start, n))
+        ends, widths, ids = [raw], [np.ones(len(raw), np.int64)], [self.pieces.byte_id[data[at[raw] - 1]]]
+        long_enough = np.flatnonzero(pos >= 1)
+        for k in sorted(self.pieces.tables):
+            long_enough = long_enough[pos[long_enough] >= k]
+            if not len(long_enough):
+                break
+            i = self.pieces.find(plain_hash(prefix, at[long_enough] - k, at[long_enough]), k)
+            hit = np.flatnonzero(i >= 0)
+            ends.append(long_enough[hit])
+            widths.append(np.full(len(hit), k))
+            ids.append(i[hit])
+        end, width, piece = np.concatenate(ends), np.concatenate(widths), np.concatenate(ids)
+        by_pos = np.argsort(pos, kind="stable")
+        turn = np.empty(nodes, np.int64)
+        turn[by_pos] = np.arange(nodes)
+        order = np.lexsort((width, turn[end]))
+        end, width, piece = end[order], width[order], piece[order]
+        score = self.pieces.score[piece]
         here = slice(self.used, self.used + nodes)
-        ids, cum = self.ids[:, here], self.cum[:, here]
-        cum[:] = 0
-        ids[:] = self.none
-        score = np.full((width, nodes), -np.inf)
-        known = known_bytes(self.pieces, data, prefix, start, n)
-        for k in range(1, width + 1):
-            e = np.flatnonzero(pos >= k)
-            i = self.pieces.find(plain_hash(prefix, at[e] - k, at[e]), k)
-            hit = i >= 0
-            ids[k - 1, e[hit]], score[k - 1, e[hit]] = i[hit], self.pieces.score[i[hit]]
-        raw = np.flatnonzero((pos >= 1) & ~known)
-        ids[0, raw], score[0, raw] = self.pieces.byte_id[data[at[raw] - 1]], -BYTE_COST
-        mass = self.mass[here]
+        mass, first, count = self.mass[here], self.first[here], self.count[here]
         mass[:] = np.where(pos == 0, 0.0, -np.inf)
-        order = np.argsort(pos, kind="stable")
-        bounds = np.searchsorted(pos[order], np.arange(longest + 2))
-        for j in range(1, longest + 1):
-            e = order[bounds[j] : bounds[j + 1]]
-            w = np.stack([mass[e - k] + score[k - 1, e] for k in range(1, min(j, width) + 1)])
-            top = w.max(axis=0)
+        count[:] = np.bincount(end, minlength=nodes)
+        begin = np.concatenate([[0], np.cumsum(count[by_pos])])  # of the choices of each node, in order of places
+        first[by_pos] = begin[:-1] + self.choices
+        cum = np.zeros(len(end))
+        longest = int(n.max())
+        bounds = np.searchsorted(pos[by_pos], np.arange(longest + 2))
+        few = int(np.argmax(np.append(np.diff(bounds)[1:] <= FEW, True))) + 1  # from this place on
+        for j in range(1, few):
+            e = by_pos[bounds[j] : bounds[j + 1]]
+            e = e[count[e] > 0]
+            if not len(e):
+                continue
+            lo, hi = begin[bounds[j]], begin[bounds[j + 1]]
+            seg = first[e] - self.choices - lo
+            w = mass[end[lo:hi] - width[lo:hi]] + score[lo:hi]
+            top = np.maximum.reduceat(w, seg)
             live = np.isfinite(top)
-            x = np.exp(w - np.where(live, top, 0))
-            c = np.cumsum(x, axis=0)
-            total = np.maximum(c[-1], 1e-300)
-            mass[e] = np.where(live, top + np.log(total), -np.inf)
-            cum[: len(c), e] = c / total
-            cum[len(c) :, e] = np.where(live, 1, 0)
-        self.used += nodes
+            x = np.exp(w - np.repeat(np.where(live, top, 0), count[e]))
+            c = np.cumsum(x)
+            c -= np.repeat((c - x)[seg], count[e])
+            total = c[seg + count[e] - 1]
+            mass[e] = np.where(live, top + np.log(np.where(live, total, 1)), -np.inf)
+            cum[lo:hi] = c / np.repeat(np.where(live, total, 1), count[e])
+        if few <= longest:
+            self._solve_few(by_pos[bounds[few] :], begin[bounds[few] :], end, width, score, mass, cum)
+        size = self.choices + len(end)
+        if size > len(self.id):
+            self.id, self.width, self.cum = (np.resize(x, 2 * size) for x in (self.id, self.width, self.cum))
+        self.id[self.choices : size], self.width[self.choices : size], self.cum[self.choices : size] = piece, width, cum
+        self.used, self.choices = self.used + nodes, size
         return self.used - nodes + base[:-1] + n
 
+    @staticmethod
+    def _solve_few(nodes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: np.ndarray, score: np.ndarray, mass: np.ndarray, cum: np.ndarray) -> None:
+        """The same for the given nodes in order of their places, one after the other."""
+        lo = int(begin[0])
+        source, cost = (end[lo:] - width[lo:]).tolist(), score[lo:].tolist()
+        known: dict[int, float] = {}
+        for node, i, j in zip(nodes.tolist(), (begin[:-1] - lo).tolist(), (begin[1:] - lo).tolist(), strict=True):
+            w = [(known[s] if s in known else float(mass[s])) + c for s, c in zip(source[i:j], cost[i:j], strict=True)]
+            top = max(w, default=-math.inf)
+            known[node] = -math.inf
+            if top > -math.inf:
+                run, sums = 0.0, []
+                for x in w:
+                    run += math.exp(x - top)
+                    sums.append(run)
+                known[node] = top + math.log(run)
+                cum[lo + i : lo + j] = [x / run for x in sums]
+        mass[list(known)] = list(known.values())
+
 
 def known_bytes(pieces: Pieces, data: np.ndarray, prefix: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each node of the units whether the character that ends there (or reaches over it) is a piece."""
@@ -246,19 +286,11 @@ class Lattice:
         some = size > 0
         data = np.insert(data, offs[:-1][some], 32)  # the space before each text
         offs = np.concatenate([[0], np.cumsum(size + some)])
-        cut = (data == 32) | (data == 10)
-        cut[1:] |= data[:-1] == 10
+        cut = np.zeros(len(data), bool)
+        cut[1:] = ((data[1:] & 0xC0) != 0x80) & ~solved.pieces.joined[data[:-1], data[1:]]
         cut[offs[:-1][some]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        if len(start) and (end - start).max() > LONGEST_UNIT:
-            for s, e in zip(start[end - start > LONGEST_UNIT], end[end - start > LONGEST_UNIT], strict=True):
-                at = np.arange(s + LONGEST_UNIT, e, LONGEST_UNIT)
-                while len(move := np.flatnonzero((at < e) & ((data[np.minimum(at, e - 1)] & 0xC0) == 0x80))):
-                    at[move] += 1
-                cut[at[at < e]] = True
-            start = np.flatnonzero(cut)
-            end = np.append(start[1:], len(data))
         self.first = np.searchsorted(start, offs)  # of each row's units
         self.solved = solved
         self.length = end - start
@@ -270,47 +302,44 @@ class Lattice:
         self.end_node = solved.solve(keys, data, prefix, start[one], self.length[one])[inv]
 
     def logp(self, node: np.ndarray | int, pick: np.ndarray) -> np.ndarray:
-        """Log chance of a last piece of pick + 1 bytes before the node."""
+        """Log chances of the choices at their nodes."""
         s = self.solved
-        return s.mass[node - pick - 1] + s.pieces.score[s.ids[pick, node]] - s.mass[node]
+        return s.mass[node - s.width[pick]] + s.pieces.score[s.id[pick]] - s.mass[node]
 
     def chances(self, node: int) -> np.ndarray:
-        ids = self.solved.ids[:, node]
-        out = np.zeros(len(ids))
-        some = np.flatnonzero(ids != self.solved.none)
-        out[some] = np.exp(self.logp(node, some))
-        return out
+        """Of the node's choices, in their order."""
+        s = self.solved
+        return np.exp(self.logp(node, np.arange(s.first[node], s.first[node] + s.count[node])))
 
     def walk(self, key: np.ndarray, turn: int) -> Walk:
         """One segmentation of every unit, each piece drawn by its probability; key: of each unit's row."""
-        units = len(self.end_node)
+        s, units = self.solved, len(self.end_node)
         index = np.arange(units) - np.repeat(self.first[:-1], np.diff(self.first))
         seed = mix64(key ^ mix64(index.astype(np.uint64) + np.uint64(turn << 48)))
         node, left, live = self.end_node.copy(), self.length.copy(), np.arange(units)
         steps = []
         while len(live):
-            u = uniforms(seed[live], len(steps)).astype(np.float32) * np.float32(1 - 1e-6)
-            at, k = node[live], np.zeros(len(live), np.int64)
-            todo = np.arange(len(live))
-            for row in self.solved.cum:  # shortest pieces first; few nodes are left after some rows
-                todo = todo[row[at[todo]] <= u[todo]]
-                if not len(todo):
-                    break
-                k[todo] += 1
-            steps.append((live, node[live], k))
-            node[live] -= k + 1
-            left[live] -= k + 1
+            u = uniforms(seed[live], len(steps))
+            at = node[live]
+            pick = s.first[at]
+            todo = np.flatnonzero(s.cum[pick] <= u)
+            while len(todo):
+                pick[todo] += 1
+                todo = todo[s.cum[pick[todo]] <= u[todo]]
+            steps.append((live, at, pick))
+            node[live] -= s.width[pick]
+            left[live] -= s.width[pick]
             live = live[left[live] > 0]
         count = np.zeros(units, np.int64)
         for live, _, _ in steps:
             count[live] += 1
         off = np.concatenate([[0], np.cumsum(count)])
-        at_node, pick = np.zeros(off[-1], np.int64), np.zeros(off[-1], np.int64)
+        at_node, picks = np.zeros(off[-1], np.int64), np.zeros(off[-1], np.int64)
         ids = np.zeros(off[-1], np.int64)
         for i, (live, nd, k) in enumerate(steps):
-            at_node[off[live] + i], pick[off[live] + i] = nd, k
-            ids[off[live + 1] - 1 - i] = self.solved.ids[k, nd]
-        return Walk(off, at_node, pick, self.logp(at_node, pick), ids)
+            at_node[off[live] + i], picks[off[live] + i] = nd, k
+            ids[off[live + 1] - 1 - i] = s.id[k]
+        return Walk(off, at_node, picks, self.logp(at_node, picks), ids)
 
 
 class Walk:
@@ -398,7 +427,8 @@ def search(lat: Lattice, walks: list[Walk], row: int, key: int, samples: int) ->
         t = branches[best].open()
         off, node, pick, logp, ids = paths[best]
         turn = len(paths)
-        gone = taken.setdefault((best, t), [int(pick[t])])
+        s, begin_at = lat.solved, int(lat.solved.first[node[t]])
+        gone = taken.setdefault((best, t), [int(pick[t]) - begin_at])
         p = lat.chances(int(node[t]))
         p[gone] = 0
         k = int(min(np.searchsorted(np.cumsum(p), uniform(key, 3, turn) * p.sum(), side="right"), np.flatnonzero(p)[-1]))
@@ -409,13 +439,13 @@ def search(lat: Lattice, walks: list[Walk], row: int, key: int, samples: int) ->
         unit = int(np.searchsorted(off, t, side="right")) - 1
         # the rest of the unit behind the branch
         nd, begin = int(node[t]), int(lat.end_node[lo + unit] - lat.length[lo + unit])
-        nodes, picks = [nd], [k]
-        nd -= k + 1
+        nodes, picks = [nd], [begin_at + k]
+        nd -= int(s.width[picks[-1]])
         while nd > begin:
-            k = int(np.searchsorted(lat.solved.cum[:, nd], np.float32(uniform(key, 5, turn, nd - begin) * (1 - 1e-6)), side="right"))
+            i = int(s.first[nd])
             nodes.append(nd)
-            picks.append(k)
-            nd -= k + 1
+            picks.append(i + int(np.searchsorted(s.cum[i : i + int(s.count[nd])], uniform(key, 5, turn, nd - begin), side="right")))
+            nd -= int(s.width[picks[-1]])
         w_off, w_node, w_pick, w_logp, w_ids = walks[turn].rows(lo + unit + 1, hi)
         mid_node, mid_pick = np.concatenate([node[off[unit] : t], nodes]), np.concatenate([pick[off[unit] : t], picks])
         head = off[unit]
@@ -424,7 +454,7 @@ def search(lat: Lattice, walks: list[Walk], row: int, key: int, samples: int) ->
             np.concatenate([node[:head], mid_node, w_node]),
             np.concatenate([pick[:head], mid_pick, w_pick]),
             np.concatenate([logp[:head], lat.logp(mid_node, mid_pick), w_logp]),
-            np.concatenate([ids[:head], lat.solved.ids[mid_pick, mid_node][::-1], w_ids]),
+            np.concatenate([ids[:head], s.id[mid_pick][::-1], w_ids]),
         )
         add(new, t + 1, value)
 
@@ -442,11 +472,9 @@ def sample_pieces(df: DataFrame, keep: list[str], model_path: str, key: Column,
 
     Distinct segmentations of a text, best perturbed value first; fewer if its lattice has fewer. key seeds a row: rows
     of equal key and text get equal results. Null and empty texts have one empty segmentation. text_back is what the
-    ids decode to. An empty table gives no rows. Kept columns that clash raise.
+    ids decode to. An empty table gives no rows. A result column whose name a kept one has gets underscores.
     """
     added = "sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, text_back string"
-    if clash := {c.lower() for c in keep} & {x.split()[0] for x in added.split(", ")}:
-        raise ValueError(f"columns clash with the result: {sorted(clash)}")
     return _sampled(df, keep, model_path, key, text_col, samples, added, _full)
 
 
@@ -466,8 +494,7 @@ def _digest(pieces: Pieces, ids: np.ndarray, text: bytes) -> tuple:
 
 def _sampled(df: DataFrame, keep: list[str], model_path: str, key: Column, text_col: str, samples: int, added: str, result) -> DataFrame:
     n = len(keep)
-    name = free_name(df, "sampled_text")
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(name), F.xxhash64(key).alias(name + "_key"))
+    src = df.select(*kept_columns(keep), F.col(f"`{text_col}`").cast("string").alias("sampled_text"), F.xxhash64(key).alias("text_key"))
     extra = T._parse_datatype_string(added).fields
     schema = T.StructType([*src.schema.fields[:n], *extra])
     names = [f.name for f in extra]
@@ -497,4 +524,42 @@ def _sampled(df: DataFrame, keep: list[str], model_path: str, key: Column, text_
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns[:n]], *[pa.array(cols[x], types.get(x, pa.int64())) for x in names]], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return restored(src.mapInArrow(run, schema), keep, names)
+
+
+def encode_pieces(df: DataFrame, keep: list[str], model_path: str, text_col: str = "text") -> DataFrame:
+    """The kept columns with ids, the model's own (best) segmentation of the whole text by the sentencepiece library.
+
+    Null and empty texts have no ids. Repeated rows get equal ids, an empty table gives no rows. A result column whose
+    name a kept one has gets underscores.
+    """
+    return _by_model(df, keep, model_path, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), T.StructField("ids", T.ArrayType(T.IntegerType())), pa.list_(pa.int32()), lambda sp, x: sp.encode(x))
+
+
+def decode_pieces(df: DataFrame, keep: list[str], model_path: str, ids_col: str = "ids") -> DataFrame:
+    """The kept columns with text, what the ids (of encode_pieces or sample_pieces) stand for; null ids give an empty text."""
+
+    def decode(sp, rows: list[list[int]]) -> list[str]:
+        if model_path not in _PIECES:
+            _PIECES.clear()
+            _PIECES[model_path] = Pieces(model_path)
+        return [_PIECES[model_path].decode(np.array(x or [], np.int64)).decode(errors="replace") for x in rows]
+
+    return _by_model(df, keep, model_path, F.col(f"`{ids_col}`").cast("array<int>"), T.StructField("text", T.StringType()), pa.string(), decode)
+
+
+_PIECES: dict[str, Pieces] = {}
+
+
+def _by_model(df: DataFrame, keep: list[str], model_path: str, source: Column, field: T.StructField, kind: pa.DataType, apply) -> DataFrame:
+    src = df.select(*kept_columns(keep), source.alias("source"))
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(apply(sp, b.column(n).to_pylist()), kind)], [*kept_names(keep), field.name])
+
+    return restored(src.mapInArrow(run, T.StructType([*src.schema.fields[:n], field])), keep, [field.name])

@@ -352,6 +352,91 @@ def test_segmentations(spark, empty):
     assert sample_pieces(empty, ["doc_id"], path, F.col("doc_id")).count() == 0
 
 
+def every_segmentation(pieces, text):
+    """{ids: log weight} of all ways to write a space and the text as pieces; characters that are no piece as bytes."""
+    at = {b: i for i, b in enumerate(pieces.bytes) if b and i not in set(pieces.byte_id.tolist())}
+    data = b" " + text.encode()
+    chars = {c for c in (" " + text) if c.encode() not in at}
+    spans, k = [], 0
+    for c in " " + text:
+        n = len(c.encode())
+        spans += [c in chars] * n
+        k += n
+
+    def go(i):
+        if i == len(data):
+            return {(): 0.0}
+        out = {}
+        for j in range(i + 1, len(data) + 1):
+            b = data[i:j]
+            if b in at:
+                out |= {(at[b], *r): w + pieces.score[at[b]] for r, w in go(j).items()}
+            elif len(b) == 1 and spans[i]:
+                out |= {(int(pieces.byte_id[b[0]]), *r): w + pieces.score[pieces.byte_id[b[0]]] for r, w in go(j).items()}
+        return out
+
+    return go(0)
+
+
+@pytest.mark.parametrize("text", ["a  b", "the\n x", "é漢1", "\t\t=  1.", "ab"])
+def test_all_segmentations(spark, text):
+    """Asked for more than there are, the search gives each segmentation once, with its probability among all of them."""
+    from aerolith.llm.pieces import Pieces, sample_pieces
+
+    path = P.path("piece_bpe_32k.model")
+    want = every_segmentation(Pieces(path), text)
+    total = np.logaddexp.reduce(list(want.values()))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = sample_pieces(df, ["doc_id"], path, F.col("doc_id"), samples=len(want) + 3).collect()
+    assert {tuple(r["ids"]): pytest.approx(r["log_prob"], abs=1e-9) for r in got} == {k: w - total for k, w in want.items()}
+
+
+def test_long_units_and_long_pieces():
+    """Units of any length hold every piece: the mass is that of a plain forward pass over the whole text, however it is solved."""
+    from aerolith.llm import pieces as m
+
+    p = m.Pieces(P.path("piece_bpe_32k.model"))
+    table = {b: i for i, b in enumerate(p.bytes) if b and i not in set(p.byte_id.tolist())}
+    widest = max(map(len, table))
+    assert widest > 16
+    rng = random.Random(3)
+    texts = ["Становништвоминистратив", "IllegalArgumentExceptionHandler" * 4, "                    x" * 3, "".join(rng.choice("abcxyzé漢") for _ in range(400)), "http://" + "a1b2-c3_" * 30]
+    for few in (0, 3):
+        m.FEW = few
+        try:
+            for t in texts:
+                data = np.frombuffer(t.encode(), np.uint8)
+                lat = m.Lattice(m.Units(p), data, np.array([0, len(data)]))
+                whole = b" " + t.encode()
+                known = {c for c in " " + t if c.encode() in table}
+                raw = [c not in known for c in " " + t for _ in c.encode()]
+                mass = [0.0] + [-np.inf] * len(whole)
+                for e in range(1, len(whole) + 1):
+                    w = [mass[e - k] + p.score[table[whole[e - k : e]]] for k in range(1, min(e, widest) + 1) if whole[e - k : e] in table]
+                    if raw[e - 1]:
+                        w.append(mass[e - 1] + p.score[p.byte_id[whole[e - 1]]])
+                    mass[e] = np.logaddexp.reduce(w) if w else -np.inf
+                assert lat.solved.mass[lat.end_node].sum() == pytest.approx(mass[-1], abs=1e-6)
+        finally:
+            m.FEW = 3
+
+
+def test_encode_and_decode(spark, corpus, empty):
+    import sentencepiece
+
+    from aerolith.llm.pieces import decode_pieces, encode_pieces
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    df = corpus[1].withColumn("ids", F.lit("mine"))
+    made = encode_pieces(df, ["doc_id", "ids"], path)
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert made.columns == ["doc_id", "ids", "ids_"] and all(got[i]["ids_"] == sp.encode(t or "") and got[i]["ids"] == "mine" for i, t in enumerate(corpus[0]))
+    back = {r["doc_id"]: r["text"] for r in decode_pieces(made, ["doc_id"], path, "ids_").collect()}
+    assert all(back[i] == sp.decode(got[i]["ids_"]) for i in range(len(corpus[0])))
+    assert encode_pieces(empty, ["doc_id"], path).count() == 0
+
+
 def test_segmentations_follow_their_probabilities():
     from aerolith.llm.common import mix64
     from aerolith.llm.pieces import Lattice, Pieces, Units, search

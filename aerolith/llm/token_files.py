@@ -80,7 +80,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: strings that the library takes out of a text before it looks at words
+        self.whole = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[int, bytes] = {}
@@ -114,6 +115,12 @@ class Encoder:
         for r in np.flatnonzero(np.diff(offs) > 0):
             lo, hi = offs[r], offs[r + 1]
             plain[r] = bad[hi] == bad[lo] or not joined_space(data[lo:hi]).any()
+        raw = data.tobytes()
+        for token in self.whole:  # a text that holds one is encoded as it is
+            at = raw.find(token)
+            while at >= 0:
+                plain[np.searchsorted(offs, at, side="right") - 1] = False
+                at = raw.find(token, at + 1)
         cut = np.zeros(len(data), bool)
         cut[offs[:-1][np.diff(offs) > 0]] = True
         cut |= (data == 32) | (data == 10)
@@ -131,7 +138,6 @@ class Encoder:
         pieces = [known.get(k) or older.get(k) for k in names]
         new = [i for i, x in enumerate(pieces) if x is None]
         if new:
-            raw = data.tobytes()
             lo, hi = starts[first].tolist(), ends[first].tolist()
             for i, x in zip(new, self._encode_pieces([raw[lo[i] : hi[i]] for i in new]), strict=True):
                 pieces[i] = x
@@ -209,7 +215,8 @@ def train_codec(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
 def write_tokens(df: DataFrame, path: str, codec: Codec, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append the end id, and write shards in ascending order of id_col (nulls first)."""
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    src = src.repartitionByRange("doc").sortWithinPartitions("doc", F.xxhash64("t"))
+    order = ["doc", F.xxhash64("t")]  # one id's rows may spread over partitions
+    src = src.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, comp, part, shard = worker_encoder(tokenizer_path), codec.compressor(), TaskContext.get().partitionId(), 0

@@ -228,9 +228,9 @@ def test_token_files(spark, corpus, empty, tmp_path):
     from aerolith.llm.token_files import read_document, read_tokens, token_files
 
     rows, _ = corpus
-    rows = [*rows, "a  b", "tab\tand\r\nline", "end ", "don't <|endoftext|> 漢字　x", "\n\n\n", "é.è,“q”"]
+    rows = [*rows, "a  b", "tab\tand\r\nline", "end ", "don't <|endoftext|> 漢字　x", "\n\n\n", "é.è,“q”", "x <|endoftext|> y", "<|endoftext|>", "<|endof", "text|> a.b"]
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    assert 50256 in t.encode("x <|endoftext|> y", add_special_tokens=False).ids
     path, codec = token_files(docs(spark, rows), P.path("byte_bpe_50k.json"), path=str(tmp_path / "tokens"))
     got = {r["doc_id"]: r for r in read_tokens(spark, path, codec).collect()}
     at = 0
@@ -244,6 +244,18 @@ def test_token_files(spark, corpus, empty, tmp_path):
     assert read_tokens(spark, path, codec).count() == 0
 
 
+def test_token_files_of_repeated_and_null_ids(spark):
+    """Rows of one id stay apart, null ids come first; the starts follow the order of the files."""
+    from aerolith.llm.token_files import read_tokens, token_files
+
+    rows = [(None, "b c"), (5, "one"), (5, "two words"), (5, "one"), (2, None), (None, "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    path, codec = token_files(df, P.path("byte_bpe_50k.json"))
+    got = read_tokens(spark, path, codec).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 2, 5, 5, 5] and got[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 # ------------------------------------------------------------------ 5
 
 def test_quality_counts(spark, corpus, empty):

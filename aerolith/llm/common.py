@@ -48,7 +48,7 @@ class Scratch:
 
     def save(self, df: DataFrame, tag: str, bucket_by: str | None = None, buckets: int = 1) -> DataFrame:
         """df as a table, read back; with bucket_by joins on that column need no shuffle of it."""
-        name = f"{self.name}.{tag}_{uuid.uuid4().hex[:8]}"
+        name = f"{self.name}.{tag.replace('-', '_')}_{uuid.uuid4().hex[:8]}"
         w = df.write.format("parquet")
         (w.bucketBy(buckets, bucket_by) if bucket_by else w).saveAsTable(name)
         return self.spark.table(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,22 +14,23 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, save: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """(node, root) for every node of an edge, from edges (a, b); the root is the smallest node of its component.
 
     Each round hangs neighbours on their smallest neighbour, first the larger ones, then the smaller ones, by
-    aggregates and joins alone, until nothing changes. Loops, repeated edges and both directions may occur.
+    aggregates and joins alone, until nothing changes. Loops, repeated edges and both directions may occur; edges with a
+    null end are left out, and an empty table gives no rows. `save` keeps intermediate tables.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = materialize(large, "edges")
+        large = save(large, "edges")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now = save(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         before, state = state, _state(now)
         if state == before:
             break

@@ -10,23 +10,23 @@ link between components is lost.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACED, free_name, gram_hash, materialize, mix64, prefix_hash, span_hash, text_slices, word_spans
+from .common import LOWER, SPACED, Scratch, gram_hash, kept_columns, kept_names, materialize, mix64, prefix_hash, restored, span_hash, text_slices, word_spans
 from .graph import connected_components
 
 BUCKET_BITS = 9
 BUCKETS = 1 << BUCKET_BITS
-#: bits of a register: leading zeros and mantissa; bands use more mantissa bits than the stored registers
-ZEROS, MANTISSA, BAND_MANTISSA = 4, 4, 10
+#: bits of a register: leading zeros and mantissa
+ZEROS, MANTISSA = 4, 4
 EMPTY = 0xFF
 #: chance, at most, that a pair at the threshold shares no band
 MISS = 1e-7
@@ -38,7 +38,7 @@ SMALL, BLOCK = 8, 1500
 ROUNDS, PAIRS_A_NODE = 4, 500
 
 _ODD = mix64(np.arange(1, BUCKETS + 1, dtype=np.uint64)) | np.uint64(1)
-SIGNATURE = "set_key binary, n_shingles bigint, registers binary, bands array<bigint>"
+SIGNATURE = "set_key binary, n_shingles bigint, registers binary, bands array<bigint>, packed binary"
 
 
 def band_plan(threshold: float) -> tuple[int, int]:
@@ -95,13 +95,13 @@ def registers(low: np.ndarray) -> np.ndarray:
 
 
 def band_hashes(low: np.ndarray, h: np.ndarray, start: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    """Hash of each band. An empty bucket takes the smallest hash under an order of its own, as if it had its own permutation."""
+    """Hash of each band of registers. For an empty bucket a register of the set's smallest hash under an order of its own stands in."""
     used = rows * bands
     empty = low[:, :used] == np.iinfo(np.uint64).max
-    v = compressed(low[:, :used], BAND_MANTISSA, 63)
+    v = registers(low[:, :used]).astype(np.uint64)
     for r in np.flatnonzero(empty.any(axis=1) & (np.diff(start) > 0)):
         e = np.flatnonzero(empty[r])
-        v[r, e] = (h[start[r] : start[r + 1], None] * _ODD[None, e]).min(axis=0) | np.uint64(1 << 63)
+        v[r, e] = registers((h[start[r] : start[r + 1], None] * _ODD[None, e]).min(axis=0) >> np.uint64(BUCKET_BITS))
     v = mix64(v).reshape(len(low), bands, rows)
     out = np.zeros((len(low), bands), np.uint64)
     for i in range(rows):
@@ -117,13 +117,15 @@ def set_keys(h: np.ndarray, start: np.ndarray) -> list[bytes | None]:
     return [both[16 * i : 16 * i + 16] if start[i + 1] > start[i] else None for i in range(len(start) - 1)]
 
 
-def signatures(df: DataFrame, keep: list[str], text_col: str, k: int, threshold: float) -> DataFrame:
+def signatures(df: DataFrame, kept: list[Column], ident: Column, text: Column, k: int, threshold: float) -> DataFrame:
+    """The kept columns, the id, and of each text's set a key, the size, registers, bands, and the packed text."""
     rows, bands = band_plan(threshold)
-    n_keep = len(keep)
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(free_name(df, "shingled")))
+    n_keep = len(kept) + 1
+    src = df.select(*kept, ident.alias("id"), text.alias("text_to_shingle"))
     schema = T.StructType([*src.schema.fields[:n_keep], *T._parse_datatype_string(SIGNATURE).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comp = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for lo, hi, data, offs in text_slices(b.column(n_keep)):
                 h, start = shingle_sets(data, offs, k)
@@ -131,8 +133,9 @@ def signatures(df: DataFrame, keep: list[str], text_col: str, k: int, threshold:
                 band = band_hashes(low, h, start, rows, bands).view(np.int64)
                 n = np.diff(start)
                 at = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
+                packed = pa.array([comp.compress(data[offs[i] : offs[i + 1]].tobytes()) if n[i] else None for i in range(hi - lo)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(lo, hi - lo) for c in b.columns[:n_keep]], pa.array(set_keys(h, start), pa.binary()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in registers(low)], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(band[n > 0].ravel()))],
+                    [*[c.slice(lo, hi - lo) for c in b.columns[:n_keep]], pa.array(set_keys(h, start), pa.binary()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in registers(low)], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(band[n > 0].ravel())), packed],
                     schema.names,
                 )
 
@@ -171,24 +174,6 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _texts(need: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, packed text) of the needed nodes; texts travel compressed."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comp = zstandard.ZstdCompressor(level=3)
-        for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([comp.compress(t.encode()) for t in x.column(1).to_pylist()], pa.binary())], ["id", "packed"])
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:  # ids may repeat with other texts
-            ok = [a == b for (h, s), b in zip(_unpacked(x.column("packed"), k), x.column("set_key").to_pylist(), strict=True) for a in set_keys(h, s)]
-            yield x.select(["node", "packed"]).filter(pa.array(ok, pa.bool_()))
-
-    named = need.join(nodes.select("node", "id", "set_key"), "node")
-    packed = docs.filter(F.col("text").isNotNull()).mapInArrow(pack, "id bigint, packed binary")
-    return packed.join(named, packed["id"].eqNullSafe(named["id"])).select("node", "set_key", "packed").mapInArrow(own, "node bigint, packed binary").dropDuplicates(["node"])
-
-
 def _unpacked(col: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     dec = zstandard.ZstdDecompressor()
     for p in col.to_pylist():
@@ -297,35 +282,36 @@ def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text
 
     Texts of fewer than k words are one shingle. Null and empty texts, and those without words, have no shingles and
     are linked with nothing. Rows of equal sets are linked, repeated ids and rows too; a null id is never a component's
-    id unless all its ids are null, and then it is null and the rows are kept. Kept columns that clash raise.
-    An empty table gives no rows.
+    id unless all its ids are null, and then it is null and the rows are kept. A result column whose name a kept one has
+    gets underscores. An empty table gives no rows.
     """
-    if clash := {c.lower() for c in keep} & {"n_shingles", "component_id", "kept", "id", "set_key"}:
-        raise ValueError(f"columns clash with the result: {sorted(clash)}")
-    ident = F.col(f"`{id_col}`").cast("long")
-    named = df.select(*[F.col(f"`{c}`") for c in keep], ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text_to_shingle"))
-    every = materialize(signatures(named, [*keep, "id"], "text_to_shingle", k, threshold), "signatures")
-    nodes = every.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    sig = materialize(every.select(*[F.col(f"`{c}`") for c in keep], "id", "set_key", "n_shingles"), "documents")
+    with Scratch(df.sparkSession) as scratch:
+        return restored(materialize(_near_duplicates(df, keep, id_col, text_col, k, threshold, scratch.save), "near-duplicates"), keep, ["n_shingles", "component_id", "kept"])
 
-    docs = df.select(ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+def _near_duplicates(df: DataFrame, keep: list[str], id_col: str, text_col: str, k: int, threshold: float, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    ident = F.col(f"`{id_col}`").cast("long")
+    every = save(signatures(df, kept_columns(keep), ident, F.col(f"`{text_col}`").cast("string"), k, threshold), "signatures")
+    nodes = every.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "registers", "bands", "packed")])
+    nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sig = every.select(*kept_names(keep), "id", "set_key", "n_shingles")
+    packed = nodes.select("node", "packed")
 
     band = nodes.select("node", F.explode("bands").alias("band"))
     low = band.groupBy("band").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    members = materialize(band.join(low, "band"), "band-members")
+    members = save(band.join(low, "band"), "band-members")
     pairs = members.filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = materialize(_estimated(pairs, nodes, threshold), "pairs")
+    pairs = save(_estimated(pairs, nodes, threshold), "pairs")
     ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-    texts = materialize(_texts(ends(pairs), docs, nodes, k), "texts")
-    links = materialize(_verified(pairs, texts, k, threshold), "links")
+    texts = save(packed.join(ends(pairs), "node", "left_semi"), "texts")
+    links = save(_verified(pairs, texts, k, threshold), "links")
     members = members.drop("rep")
     n_nodes = nodes.count()
-    comps = materialize(connected_components(links), "components")
+    comps = save(connected_components(links, save), "components")
     for turn in range(ROUNDS + 1):
         now = members.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
         per = now.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("inner"))
-        sizes = materialize(per.withColumn("cross", (F.col("m") * F.col("m") - F.col("inner")) / 2).filter("cross > 0"), "band-sizes")
+        sizes = save(per.withColumn("cross", (F.col("m") * F.col("m") - F.col("inner")) / 2).filter("cross > 0"), "band-sizes")
         left = sizes.agg(F.sum("cross")).first()[0] or 0
         if not left:
             break
@@ -334,21 +320,21 @@ def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text
         dealt = None
         if last:
             pairs = _small_pairs(now, sizes, nodes, threshold)
-            dealt = materialize(_block_nodes(now, sizes, nodes, threshold), "block-nodes")
+            dealt = save(_block_nodes(now, sizes, nodes, threshold), "block-nodes")
         else:  # another representative of each bucket, for nodes of other components
             rep = now.groupBy("band").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("root").alias("rb")), F.xxhash64("node", F.lit(turn))).alias("r"))
             pairs = now.join(rep, "band").filter(F.col("root") != F.col("r.rb")).select(F.col("node").alias("a"), F.col("r.b").alias("b")).distinct()
             pairs = _estimated(pairs, nodes, threshold)
-        pairs = materialize(pairs, "pairs")
+        pairs = save(pairs, "pairs")
         need = ends(pairs) if dealt is None else ends(pairs).unionByName(dealt.select("node")).distinct()
-        new = materialize(need.join(texts.select("node"), "node", "left_anti"), "new-nodes")
+        new = save(need.join(texts.select("node"), "node", "left_anti"), "new-nodes")
         if not new.isEmpty():
-            texts = texts.unionByName(materialize(_texts(new, docs, nodes, k), "texts"))
+            texts = texts.unionByName(save(packed.join(new, "node", "left_semi"), "texts"))
         more = _verified(pairs, texts, k, threshold)
-        more = materialize(more if dealt is None else more.unionByName(_block_links(dealt, texts, k, threshold)), "links")
+        more = save(more if dealt is None else more.unionByName(_block_links(dealt, texts, k, threshold)), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
-            comps = materialize(connected_components(links), "components")
+            comps = save(connected_components(links, save), "components")
         if last:
             break
 
@@ -356,4 +342,4 @@ def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text
     rooted = comps.join(low_id, "root").select("node", "component_id")
     by_set = nodes.select("node", "set_key", F.col("id").alias("lowest")).join(rooted, "node", "left").select("set_key", F.coalesce("component_id", "lowest").alias("component_id"))
     out = sig.join(by_set, "set_key", "left").withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    return out.select(*[F.col(f"`{c}`") for c in keep], "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(*kept_names(keep), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

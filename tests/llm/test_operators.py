@@ -177,10 +177,19 @@ def test_near_duplicates_odd_rows(spark, empty):
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 1, None, True), (4, 0, 4, True), (4, 2, 4, True)], key=str)
 
 
+def test_near_duplicates_beside_clashing_columns(corpus):
+    from aerolith.llm.near_dup import near_duplicates
+
+    names = ["registers", "bands", "text_to_shingle", "id", "kept", "set_key"]
+    df = corpus[1].select("doc_id", "text", *[F.col("doc_id").alias(n) for n in names])
+    got = near_duplicates(df, ["doc_id", *names])
+    assert got.columns == ["doc_id", *names, "n_shingles", "component_id", "kept_"] and got.filter("registers <> doc_id OR kept <> doc_id OR (kept_ AND component_id <> doc_id)").count() == 0
+
+
 def test_components(spark):
     from aerolith.llm.graph import connected_components
 
-    chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7)]
+    chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (None, 5), (6, None)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
 

@@ -199,7 +199,7 @@ def gram_hash(words: np.ndarray, k: int) -> np.ndarray:
 # ---------------------------------------------------------------- groups of texts, and columns packed into binaries
 
 #: bytes of text of a group of rows
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: what groups and buckets send each other: rows of packed columns
 PART = "bucket bigint, grp bigint, n int, blob binary"
 
@@ -212,7 +212,7 @@ def group_count(total: int) -> int:
     return min(20_000, max(1, -(-total // GROUP_BYTES)))
 
 
-def packed_texts(df: DataFrame, keep: list[str], text_col: str, extra: dict[str, Column], fields: str, measure: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+def packed_texts(df: DataFrame, keep: list[str], text_col: str, extra: dict[str, Column], fields: str, measure: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
     """The kept columns (kept_0, ...), the extra ones, row_no, grp, n_bytes, what `measure` says of the texts, and the
     packed text; a group holds about GROUP_BYTES of neighbouring rows' texts, a null text is empty."""
     n = len(keep) + len(extra) + 1
@@ -222,13 +222,13 @@ def packed_texts(df: DataFrame, keep: list[str], text_col: str, extra: dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comp, done, part = zstandard.ZstdCompressor(level=3), 0, TaskContext.get().partitionId() << 32
         for b in batches:
-            texts = [t.encode() for t in b.column(n).to_pylist()]
-            size = np.array([len(t) for t in texts], np.int64)
-            grp = part + (done + np.cumsum(size)) // GROUP_BYTES
-            done += int(size.sum())
-            packed = pa.array([comp.compress(t) for t in texts], pa.binary())
-            del texts
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(grp), pa.array(size), *measure(b.column(n)), packed], schema.names)
+            for lo, hi, data, offs in text_slices(b.column(n)):
+                size = np.diff(offs)
+                grp = part + (done + np.cumsum(size)) // GROUP_BYTES
+                done += int(offs[-1])
+                packed = pa.array([comp.compress(data[i:j].data) for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())
+                some = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*some.columns[:n], pa.array(grp), pa.array(size), *measure(data, offs), packed], schema.names)
 
     return src.mapInArrow(run, schema)
 

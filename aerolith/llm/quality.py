@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PART, SLICE_BYTES, SPACED, Scratch, deal, gram_hash, group_count, kept_names, materialize, mix64, pack, packed_texts, part_rows, prefix_hash, restored, span_hash, text_bytes, text_slices, unpack, unpack_all, word_spans
+from .common import PART, SPACED, Scratch, deal, gram_hash, group_count, kept_names, materialize, mix64, pack, packed_texts, part_rows, prefix_hash, restored, span_hash, text_bytes, unpack, unpack_all, word_spans
 
 ORDER = 4
 #: bits of a character in a key; a gram is a pair of keys: its first character and its last three
@@ -28,8 +28,8 @@ LANGUAGES = ("en", "de", "fr", "es")
 OTHER = "other"
 #: half-width of the band in spreads, and the spread that a text of one gram has besides
 WIDTH, SHORT = 5.0, 3.0
-#: groups of texts whose grams one bucket merges
-MERGED = 4
+#: groups of texts whose grams one bucket merges; bytes of text whose grams are sorted at a time
+MERGED, SLICE = 8, 512 << 10
 GRAM = (np.uint8, np.int64, np.int64, np.uint32)  # language, first key, last key, count
 SCORED = (np.uint8, np.int64, np.int64, np.uint32, np.float32, np.float32)  # ..., log-probability without one occurrence, without any
 
@@ -85,10 +85,10 @@ def lang_index(col: pa.Array, languages: tuple[str, ...]) -> np.ndarray:
 
 
 def _slices(packed: pa.ChunkedArray, size: np.ndarray) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(first text, text after the last, texts) of about SLICE_BYTES each."""
+    """(first text, text after the last, texts) of about SLICE each."""
     dec, lo, end = zstandard.ZstdDecompressor(), 0, np.cumsum(size)
     while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + SLICE, side="right")))
         yield lo, hi, [dec.decompress(packed[i].as_py()) for i in range(lo, hi)]
         lo = hi
 
@@ -217,8 +217,8 @@ class Lookup:
     def __init__(self, key: np.ndarray):
         self.bits = np.uint64(max(10, int(len(key)).bit_length() + 2))
         slot = key >> (np.uint64(64) - self.bits)
-        self.key, self.at = key, np.zeros(1 << int(self.bits), np.int64)
-        self.at[slot] = np.arange(len(key))
+        self.key, self.at = key, np.zeros(1 << int(self.bits), np.int32)
+        self.at[slot] = np.arange(len(key), dtype=np.int32)
         late = np.flatnonzero(self.at[slot] != np.arange(len(key)))
         self.late = late[np.argsort(key[late])]
         self.late_keys = key[self.late]
@@ -255,9 +255,8 @@ def _scores(texts: DataFrame, answers: DataFrame, keep: list[str], languages: tu
     return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, schema)
 
 
-def _counted(col: pa.Array) -> list[pa.Array]:
-    got = [np.concatenate(x) for x in zip(*(repeat_counts(data, offs) for _, _, data, offs in text_slices(col)), strict=True)] or [np.zeros(0)] * 5
-    return [pa.array(x, pa.int64()) for x in got]
+def _counted(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+    return [pa.array(x, pa.int64()) for x in repeat_counts(data, offs)]
 
 
 def row_sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:

@@ -81,8 +81,8 @@ class Group:
         return np.concatenate(out)
 
 
-def _hashes(col: pa.Array) -> list[pa.Array]:
-    return [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in col.to_pylist()], pa.string())]
+def _hashes(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+    return [pa.array([hashlib.sha256(data[i:j].data).hexdigest() for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.string())]
 
 
 def _later_copies(texts: DataFrame, length: int) -> DataFrame:

@@ -118,10 +118,10 @@ def set_keys(h: np.ndarray, start: np.ndarray) -> list[bytes | None]:
 
 
 def signatures(df: DataFrame, kept: list[Column], ident: Column, text: Column, k: int, threshold: float) -> DataFrame:
-    """The kept columns, the id, and of each text's set a key, the size, registers, bands, and the packed text."""
+    """The kept columns, a row number, the id, and of each text's set a key, the size, registers, bands, and the packed text."""
     rows, bands = band_plan(threshold)
-    n_keep = len(kept) + 1
-    src = df.select(*kept, ident.alias("id"), text.alias("text_to_shingle"))
+    n_keep = len(kept) + 2
+    src = df.select(*kept, F.monotonically_increasing_id().alias("row"), ident.alias("id"), text.alias("text_to_shingle"))
     schema = T.StructType([*src.schema.fields[:n_keep], *T._parse_datatype_string(SIGNATURE).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +292,14 @@ def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text
 def _near_duplicates(df: DataFrame, keep: list[str], id_col: str, text_col: str, k: int, threshold: float, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     ident = F.col(f"`{id_col}`").cast("long")
     every = save(signatures(df, kept_columns(keep), ident, F.col(f"`{text_col}`").cast("string"), k, threshold), "signatures")
-    nodes = every.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "registers", "bands", "packed")])
+    nodes = every.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("id"), F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n_shingles", "registers", "bands")])
     nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     sig = every.select(*kept_names(keep), "id", "set_key", "n_shingles")
-    packed = nodes.select("node", "packed")
+
+    def packed(need: DataFrame) -> DataFrame:
+        """Of each needed node the text of one of its rows."""
+        rows = nodes.select("node", "row").join(need, "node", "left_semi")
+        return every.select("row", "packed").join(rows, "row").select("node", "packed")
 
     band = nodes.select("node", F.explode("bands").alias("band"))
     low = band.groupBy("band").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
@@ -303,7 +307,7 @@ def _near_duplicates(df: DataFrame, keep: list[str], id_col: str, text_col: str,
     pairs = members.filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = save(_estimated(pairs, nodes, threshold), "pairs")
     ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-    texts = save(packed.join(ends(pairs), "node", "left_semi"), "texts")
+    texts = save(packed(ends(pairs)), "texts")
     links = save(_verified(pairs, texts, k, threshold), "links")
     members = members.drop("rep")
     n_nodes = nodes.count()
@@ -329,7 +333,7 @@ def _near_duplicates(df: DataFrame, keep: list[str], id_col: str, text_col: str,
         need = ends(pairs) if dealt is None else ends(pairs).unionByName(dealt.select("node")).distinct()
         new = save(need.join(texts.select("node"), "node", "left_anti"), "new-nodes")
         if not new.isEmpty():
-            texts = texts.unionByName(save(packed.join(new, "node", "left_semi"), "texts"))
+            texts = texts.unionByName(save(packed(new), "texts"))
         more = _verified(pairs, texts, k, threshold)
         more = save(more if dealt is None else more.unionByName(_block_links(dealt, texts, k, threshold)), "links")
         if not more.isEmpty():

@@ -23,31 +23,37 @@ def rolling_baseline_keyed(df: DataFrame, keys: Sequence[str], value: str = "val
     return low.withColumn("baseline", at("_low", F.avg("_low").over(w))).drop("_us", "_low")
 
 
-def rolling_baseline(df: DataFrame, value: str = "value", ts: str = "ts", window_us: int = 86_400_000_000, q: float = 0.01, min_periods: int = 1, bucket_us: int | None = None) -> DataFrame:
-    """(ts, value, baseline) of one long series: buckets of time with a halo of one window on both sides."""
+class _Bounds(pd.api.indexers.BaseIndexer):
+    """Windows by the places of their first row and of the row behind their last."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.lo, self.hi
+
+
+def rolling_baseline(df: DataFrame, value: str = "value", ts: str = "ts", window_us: int = 86_400_000_000, q: float = 0.01, min_periods: int = 1, bucket_us: int | None = None, center: bool = True) -> DataFrame:
+    """(ts, value, baseline) of one long series: quantile and then mean over (t - w/2, t + w/2] or, not centred, (t - w, t].
+
+    Buckets of time come with a halo: one window on both sides, or two before them.
+    """
     size = bucket_us or 4 * window_us
-    if size < window_us:
-        raise ValueError("a bucket must hold a window")
+    before, behind = (window_us, window_us) if center else (2 * window_us, 0)
+    if size < before:
+        raise ValueError("a bucket must hold what its first row looks back on")
     us = df.select(ts, value, timeops.micros(ts).alias("_us"))
     home = F.floor(F.col("_us") / size)
-    near = F.array_distinct(F.array(home, F.floor((F.col("_us") - window_us) / size), F.floor((F.col("_us") + window_us) / size)))
+    near = F.array_distinct(F.array(home, F.floor((F.col("_us") - behind) / size), F.floor((F.col("_us") + before) / size)))
     dealt = us.withColumn("_home", home).withColumn("_bucket", F.explode(near))
-    half = window_us // 2
+    back, ahead = (window_us // 2, window_us // 2) if center else (window_us, 0)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("_us", kind="stable")
-        t, v = p["_us"].to_numpy(), p[value].to_numpy(dtype=float, na_value=np.nan)
-        lo, hi = np.searchsorted(t, t - half, side="right"), np.searchsorted(t, t + half, side="right")
-        low = np.full(len(t), np.nan)
-        for i, (a, b) in enumerate(zip(lo, hi, strict=True)):
-            x = v[a:b]
-            x = x[~np.isnan(x)]
-            if len(x) >= min_periods:
-                low[i] = np.quantile(x, q)
-        ok = ~np.isnan(low)
+        t = p["_us"].to_numpy()
+        windows = _Bounds(lo=np.searchsorted(t, t - back, side="right"), hi=np.searchsorted(t, t + ahead, side="right"))
+        low = p[value].astype(float).rolling(windows, min_periods=max(1, min_periods)).quantile(q)
+        ok = low.notna().to_numpy()
         total, count = np.concatenate([[0], np.cumsum(np.where(ok, low, 0))]), np.concatenate([[0], np.cumsum(ok)])
-        n = count[hi] - count[lo]
-        out = p[[ts, value]].assign(baseline=np.where(n >= max(1, min_periods), (total[hi] - total[lo]) / np.maximum(n, 1), np.nan))
+        n = count[windows.hi] - count[windows.lo]
+        out = p[[ts, value]].assign(baseline=np.where(n >= max(1, min_periods), (total[windows.hi] - total[windows.lo]) / np.maximum(n, 1), np.nan))
         out["baseline"] = out["baseline"].astype(object).where(out["baseline"].notna(), None)
         return out[(p["_home"] == p["_bucket"]).to_numpy()]
 

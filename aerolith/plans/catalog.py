@@ -183,6 +183,14 @@ def _(spark, d):
     return series.rolling_baseline(table(spark, d, "events")).select("ts", "value", F.round(F.col("baseline") + 1e-11, 9).alias("baseline"))
 
 
+@query("w1_baseline_trailing", """
+WITH u AS (SELECT ts, value, epoch_us(ts) AS us FROM events),
+ l AS (SELECT *, quantile_cont(value, 0.01) OVER (ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS low FROM u)
+SELECT ts, value, round(avg(low) OVER (ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) + 1e-11, 9) AS baseline FROM l""")
+def _(spark, d):
+    return series.rolling_baseline(table(spark, d, "events"), center=False).select("ts", "value", F.round(F.col("baseline") + 1e-11, 9).alias("baseline"))
+
+
 _HOURS = "h AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS v FROM events GROUP BY 1)"
 _RUNS = f"""{_HOURS},
  f AS (SELECT ts, coalesce(v > 50, false) AS flag FROM h),

@@ -30,7 +30,8 @@ def bounds(centres: DataFrame, col: str) -> DataFrame:
     p, n = F.lag(col).over(w), F.lead(col).over(w)
     c = F.col(col)
     lo, hi = F.coalesce((p + c) / 2, c - (n - c) / 2), F.coalesce((n + c) / 2, c + (c - p) / 2)
-    return centres.select(col).distinct().select(col, lo.alias("lo"), hi.alias("hi"))
+    once = centres.select(col).distinct()  # repeated centres would make cells without width
+    return once.select(col, lo.alias("lo"), hi.alias("hi"))
 
 
 def cell_key(col: str, digits: int = 4):
@@ -135,3 +136,22 @@ def scale_by_month(annual: DataFrame, factors: DataFrame, cells: Sequence[str] =
 def combine_first(first: DataFrame, second: DataFrame, coords: Sequence[str], value: str = "value") -> DataFrame:
     b = second.withColumnRenamed(value, "_other")
     return first.join(b, list(coords), "full_outer").select(*coords, F.coalesce(value, "_other").alias(value))
+
+
+def round_positions(grid: DataFrame, lat_digits: int, lon_digits: int, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Coordinates rounded half to even, so that equal cells of two grids can be joined."""
+    return grid.withColumns({c: F.rint(F.col(c) * 10.0**n) / 10.0**n for c, n in ((lat, lat_digits), (lon, lon_digits))})
+
+
+def without_sectors(grid: DataFrame, sectors: list[str], sector: str = "sector") -> DataFrame:
+    """Leaves out sectors that are sums of others; rows without a sector stay."""
+    return grid.filter(F.coalesce(~F.col(sector).isin(*sectors), F.lit(True)))
+
+
+def replicate_factors(factors: DataFrame, year: int, until: int, time: str = "time") -> DataFrame:
+    """Monthly factors of one year, repeated at the same months of each later year up to `until`."""
+    of_year = factors.filter(F.year(time) == year)
+    if until <= year:
+        return of_year
+    later = of_year.select("*", F.explode(F.sequence(F.lit(1), F.lit(until - year))).alias("_years")).withColumn(time, F.col(time) + F.make_ym_interval(F.col("_years"), F.lit(0))).drop("_years")
+    return of_year.unionByName(later)

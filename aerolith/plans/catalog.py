@@ -457,6 +457,40 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- names, flags, sentinels
 
+@query("s5_estimate_files", """
+WITH f AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'AK' ELSE 'US' END || '.' || CASE WHEN p_size % 5 = 0 THEN 'total' ELSE 'onroad' END || '.' || CASE WHEN p_size % 2 = 0 THEN 'mn' ELSE 'lo' END || CASE WHEN p_size % 7 = 0 THEN '.2015.d001' ELSE '' END || '.nc4' AS file FROM part)
+SELECT p_partkey, file FROM f WHERE file NOT LIKE '%total%' AND file LIKE '%US%' AND (file LIKE '%mn.nc4' OR file LIKE '%mn.2015.d001.nc4')""")
+def _(spark, d):
+    n = F.col("p_size")
+    file = F.concat(F.when(n % 3 == 0, "AK").otherwise("US"), F.lit("."), F.when(n % 5 == 0, "total").otherwise("onroad"), F.lit("."), F.when(n % 2 == 0, "mn").otherwise("lo"), F.when(n % 7 == 0, ".2015.d001").otherwise(""), F.lit(".nc4"))
+    return table(spark, d, "part").select("p_partkey", file.alias("file")).filter(names.estimate_file("file"))
+
+
+@query("i7_standard_name", "SELECT p_partkey, lower(p_brand) || '_' || p_type || '_emissions' AS name FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", names.standard_name("p_brand", "p_type").alias("name"))
+
+
+@query("s9_without_sum", "SELECT o_orderkey, o_orderpriority AS sector FROM orders WHERE o_orderpriority <> '1-URGENT'")
+def _(spark, d):
+    return grid.without_sectors(table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("sector")), ["1-URGENT"])
+
+
+@query("g11_round_positions", "SELECT c_custkey, round_even(c_acctbal / 64 * 10.0::DOUBLE, 0) / 10.0::DOUBLE AS lat, round_even(c_acctbal / 32 * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS lon FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 64).alias("lat"), (F.col("c_acctbal") / 32).alias("lon"))
+    return grid.round_positions(c, 1, 2)
+
+
+@query("i3_replicate_factors", """
+WITH f AS (SELECT date_trunc('month', o_orderdate) AS time, o_orderpriority AS sector, count(*) AS factor FROM orders GROUP BY 1, 2),
+ y AS (SELECT * FROM f WHERE year(time) = 1998)
+SELECT CAST(time + to_years(CAST(n AS INTEGER)) AS TIMESTAMP) AS time, sector, factor FROM y, (SELECT unnest(range(0, 4)) AS n)""")
+def _(spark, d):
+    f = table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("time"), F.col("o_orderpriority").alias("sector")).agg(F.count(F.lit(1)).alias("factor"))
+    return grid.replicate_factors(f, 1998, 2001)
+
+
 @query("i6_names", r"""SELECT p_partkey, translate(regexp_replace(p_type || ' (a & b), c-d', '[\s(&-]', '_', 'g'), '),', '') AS sector,
  CAST(2000 + p_size AS BIGINT) AS year, 'v7_' || CAST(2000 + p_size AS VARCHAR) || '_ENE.0.1x0.1.nc' AS file FROM part""")
 def _(spark, d):

@@ -66,3 +66,17 @@ def sounding_dates(spark: SparkSession, start: dt.datetime, end: dt.datetime, mo
 
 def flux_file_name(template: str, **parts: str) -> str:
     return template.format(**parts)
+
+
+def standard_name(time_step: Column | str, pollutant: Column | str) -> Column:
+    return F.concat(F.lower(_c(time_step)), F.lit("_"), _c(pollutant), F.lit("_emissions"))
+
+
+# Marks of the estimates in file names.
+ESTIMATES = {"central": "mn", "lower": "lo", "upper": "hi"}
+
+
+def estimate_file(file: Column | str, estimate: str = "central", region: str = "US") -> Column:
+    """Whether a file holds this estimate of the region's sectors (not the total); the mark ends the name or its first part."""
+    name = F.substring_index(_c(file), "/", -1)
+    return name.rlike(ESTIMATES[estimate] + r"(\.[^.]*\.[^.]*)?\.nc4$") & ~name.contains("total") & name.contains(region)

@@ -100,6 +100,45 @@ def test_mixing_odd_rows(spark, empty, corpus):
     assert got.count() == df.count() and names["slot"] == "slot_"
 
 
+def test_mixing_keeps_given_weights(spark):
+    """Against the weights themselves: one of a half beside many small ones; documents longer than a block."""
+    from aerolith.llm.mixing import mix_sources
+
+    w = {"big": 0.5} | {f"s{i:03}": 0.5 / 300 for i in range(300)}
+    rows = [(i, "x", "big") for i in range(1200)] + [(2000 + 5 * i + j, "x", f"s{i:03}") for i in range(300) for j in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got, names = mix_sources(df, ["source"], weights=w, block_chars=1)
+    mix = got.filter(names["in_mix"]).orderBy(names["slot"]).toPandas()
+    assert mix[names["slot"]].tolist() == list(range(len(mix))) and len(mix) > 1800
+    seen = Counter()
+    for t, s in enumerate(mix["source"], 1):
+        seen[s] += 1
+        assert all(abs(seen[k] - w[k] * t) < 1 + 1e-5 for k in (s, "big", "s007", "s299"))  # weights are whole parts of 2**30
+    long = spark.createDataFrame([(i, "x" * (35 if i == 3 else 10), "ab"[i % 2]) for i in range(40)], "doc_id bigint, text string, source string")
+    got, names = mix_sources(long, ["doc_id", "source"], weights={"a": 1.0, "b": 1.0}, block_chars=10)
+    for r in got.collect():
+        assert (r[names["last_slot"]] - r[names["slot"]]) // 2 in ((3, 4) if r["doc_id"] == 3 else (0, 1))
+
+
+def test_mixing_stretches_agree_at_borders(spark, monkeypatch):
+    """Stretches planned apart give every slot one block, every source its blocks in order, and never stray a block."""
+    from aerolith.llm import mixing
+
+    monkeypatch.setattr(mixing, "STRETCH", 1)
+    for w in ({"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 3.1, "b": 2.3, "c": 1.9, "d": 1.7, "e": 0.6}, {f"s{i}": 1 + (i * 7 % 5) / 3 for i in range(12)}):
+        totals = spark.createDataFrame([("s" + k, int(x * 60)) for k, x in w.items()], "src string, chars bigint")
+        plan = mixing.plan_sources(totals, w, mixing.RESOLUTION, 1)
+        h, stretch, d = plan.select("h", "stretch", "d").first()
+        assert h > 2 * stretch
+        got = mixing.schedule(plan, h, stretch, d).orderBy("slot").collect()
+        assert [r["slot"] for r in got] == list(range(h))
+        seen: Counter = Counter()
+        for t, r in enumerate(got, 1):
+            assert seen[r["src"]] == r["block"]
+            seen[r["src"]] += 1
+            assert all(abs(seen["s" + k] - x / sum(w.values()) * t) < 1 + 1e-5 for k, x in w.items())
+
+
 def test_pipeline_mix_outlives_small_sources(spark):
     """A source of one short document and a null source end no mix; the others keep their shares among each other."""
     import corpus_pipeline as cp

@@ -3,7 +3,9 @@
 A template's block is 2n words of a text, one beginning each n words (n: the template's words), so that any n
 words in a row lie in one block. A block matches if it holds at least `threshold` of the template's distinct words.
 Words are ordered by their frequency in the whole corpus; a matching block must hold one of the template's
-rarest words (its prefix), which gives the candidates. The templates and their words are a fixed, small set.
+rarest words (its prefix), which gives the candidates. A candidate needs as many known words as the match (length), and
+as many distinct ones from its first shared word on, in that order (place): a block's later words bound what the two can
+still share. The templates and their words are a fixed, small set.
 """
 
 from __future__ import annotations
@@ -53,6 +55,39 @@ TEMPLATES = (
         "conditions are met",
         "bsd",
     ),
+    (
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including "
+        "but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "bsd",
+    ),
+    (
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties "
+        "of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders "
+        "be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of "
+        "or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+        "basis without warranties or conditions of any kind either express or implied",
+        "apache",
+    ),
+    (
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty "
+        "of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "gpl",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+        "that the above copyright notice and this permission notice appear in all copies",
+        "isc",
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
+        "with this file you can obtain one at",
+        "mpl",
+    ),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 THRESHOLD = 0.8
 
@@ -116,18 +151,19 @@ class Index:
         rank[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
         self.rank = rank
         self.prefix: dict[int, list[tuple[int, int]]] = {}  # word -> (template, its place in the ordered template)
-        self.need = []
+        self.need, self.ordered = [], []
         for k, (words, _, _) in enumerate(vocab.templates):
             need = math.ceil(threshold * len(words) - 1e-9)
             self.need.append(need)
-            for i, w in enumerate(sorted(words, key=lambda x: rank[x])[: len(words) - need + 1]):
+            self.ordered.append(sorted(words, key=lambda x: rank[x]))
+            for i, w in enumerate(self.ordered[k][: len(words) - need + 1]):
                 self.prefix.setdefault(w, []).append((k, i))
         self.is_prefix = np.zeros(len(counts), bool)
         self.is_prefix[list(self.prefix)] = True
 
 
-def block_matches(ids: np.ndarray, vocab: Vocabulary, index: Index) -> list[tuple[str, int, int, int, float]]:
-    """The matching blocks of one row: (label, template, first word, end, containment), neighbours as found."""
+def prefix_blocks(ids: np.ndarray, vocab: Vocabulary, index: Index) -> dict[tuple[int, int], int]:
+    """The blocks of one row that hold a prefix word: (template, block) and the first such word's place in the template."""
     hits = np.flatnonzero((ids >= 0) & index.is_prefix[np.maximum(ids, 0)])
     best: dict[tuple[int, int], int] = {}
     for p in hits.tolist():
@@ -135,13 +171,29 @@ def block_matches(ids: np.ndarray, vocab: Vocabulary, index: Index) -> list[tupl
             n = vocab.templates[k][1]
             for block in {p // n, p // n - 1} if p >= n else {0}:
                 best[k, block] = min(place, best.get((k, block), place))
+    return best
+
+
+def can_match(held: np.ndarray, k: int, place: int, index: Index) -> bool:
+    """Whether a block with these known words (distinct ids) can share enough with template k from the word at `place` on."""
+    need = index.need[k]
+    if len(held) < need:  # by length
+        return False
+    behind = int(np.count_nonzero(index.rank[held] >= index.rank[index.ordered[k][place]]))
+    return min(behind, len(index.ordered[k]) - place) >= need  # by place, in the block and in the template
+
+
+def block_matches(ids: np.ndarray, vocab: Vocabulary, index: Index) -> list[tuple[str, int, int, int, float]]:
+    """The matching blocks of one row: (label, template, first word, end, containment), neighbours as found."""
     out = []
-    for (k, block), place in sorted(best.items()):
+    for (k, block), place in sorted(prefix_blocks(ids, vocab, index).items()):
         words, n, label = vocab.templates[k]
         lo, hi = block * n, min(len(ids), block * n + 2 * n)
-        if hi - lo < index.need[k] or len(words) - place < index.need[k]:  # by length; by the place of the first shared word
+        held = np.unique(ids[lo:hi])
+        held = held[held >= 0]
+        if not can_match(held, k, place, index):
             continue
-        got = len(np.intersect1d(ids[lo:hi], words))
+        got = len(np.intersect1d(held, words, assume_unique=True))
         if got >= index.need[k]:
             out.append((label, k, lo, hi, got / len(words)))
     return out

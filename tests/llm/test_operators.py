@@ -684,3 +684,48 @@ def test_pipeline(spark, corpus):
     assert kept == sorted(kept, reverse=True) and kept[-1] > 0
     last = cp.STAGES[-1][1](spark, df, "")
     assert last.filter("NOT round_trip").count() == 0 and last.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
+
+
+def test_license_place_filter_prunes_and_loses_nothing(spark):
+    """Blocks by a plain count of shared words; the filters turn down candidates that hold a prefix word, and no match."""
+    from aerolith.llm import licenses as L
+
+    vocab = L.Vocabulary(L.PHRASES, L.TEMPLATES)
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 1000, len(vocab.words))
+    index = L.Index(vocab, counts, L.THRESHOLD)
+    candidates = places = matches = 0
+    for case in range(60):
+        parts = []
+        for _ in range(6):
+            words = L.TEMPLATES[rng.integers(len(L.TEMPLATES))][0].split()
+            known = [w for w in words if rng.random() > (0.1, 0.5)[case % 2]]
+            parts += known + ["filler"] * int(rng.integers(0, 30))
+        at = {w: i for i, w in enumerate(vocab.words)}
+        ids = np.array([at.get(w, -1) for w in parts], np.int32)
+        want = []
+        for k, (words, n, label) in enumerate(vocab.templates):
+            for block in range(max(1, -(-len(ids) // n))):
+                held = set(ids[block * n : block * n + 2 * n].tolist())
+                got = len(held & set(words))
+                if got >= index.need[k]:
+                    want.append((label, k, block * n, min(len(ids), block * n + 2 * n), got / len(words)))
+        assert sorted(L.block_matches(ids, vocab, index)) == sorted(want)
+        matches += len(want)
+        for (k, block), place in L.prefix_blocks(ids, vocab, index).items():
+            n = vocab.templates[k][1]
+            held = np.unique(ids[block * n : block * n + 2 * n])
+            held = held[held >= 0]
+            candidates += 1
+            places += len(held) >= index.need[k] and not L.can_match(held, k, place, index)
+    assert matches > 50 and places > candidates / 50
+
+
+def test_toxic_fit_takes_one_text_an_id(spark):
+    from aerolith.llm.toxicity import fit_lexicon
+
+    rows = [(i, f"plain text {i} vile" if i % 3 == 0 else f"plain text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id bigint, toxic int")
+    once, more = fit_lexicon(df, labels), fit_lexicon(df.union(df).union(df), labels)
+    assert once == more and " vile " in once.weights

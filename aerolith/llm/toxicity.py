@@ -129,7 +129,8 @@ def fit_lexicon(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     key = F.col(f"`{id_col}`")
     known = labels.select(key.cast("long").alias("k"), F.col(f"`{label_col}`").cast("int").alias("y")).filter(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
     known = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(fit_rows)
-    fit = df.select(key.cast("long").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t")).filter(F.col("t").isNotNull()).join(F.broadcast(known), "k").select("t", "y")  # known: at most fit_rows pairs
+    fit = df.select(key.cast("long").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t")).filter(F.col("t").isNotNull()).join(F.broadcast(known), "k")  # known: at most fit_rows pairs
+    fit = fit.groupBy("k", "y").agg(F.min("t").alias("t")).select("t", "y")  # repeated ids: one text each, so at most fit_rows rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0
 # WGS84 half-axes in km.
 WGS84_A, WGS84_B = 6378.137, 6356.752314245
+WGS84_E = math.sqrt(1 - (WGS84_B / WGS84_A) ** 2)
 
 
 def _c(x: Column | str | float) -> Column:
@@ -67,33 +68,52 @@ def cell_area(lat, dlat: float, dlon: float, radius_km: float | None = None) ->
 
 @dataclass(frozen=True)
 class Lambert:
-    """Lambert conformal conic projection of a sphere, tangent or secant."""
+    """Lambert conformal conic projection, tangent or secant, of a sphere or (with an eccentricity) an ellipsoid."""
 
     lat1: float = 38.5
     lat2: float = 38.5
     lat0: float = 38.5
     lon0: float = 262.5
     radius: float = 6371229.0
+    e: float = 0.0
+
+    def _conformal(self, lat: float) -> float:
+        """tan of half the conformal colatitude."""
+        s = self.e * math.sin(lat)
+        return math.tan(math.pi / 4 - lat / 2) * ((1 + s) / (1 - s)) ** (self.e / 2)
 
     def _cone(self) -> tuple[float, float, float]:
         p1, p2, p0 = (math.radians(x) for x in (self.lat1, self.lat2, self.lat0))
-        t = lambda p: math.tan(math.pi / 4 + p / 2)
-        n = math.sin(p1) if abs(p1 - p2) < 1e-12 else math.log(math.cos(p1) / math.cos(p2)) / math.log(t(p2) / t(p1))
-        f = math.cos(p1) * t(p1) ** n / n
-        return n, f, self.radius * f / t(p0) ** n
+        m = lambda p: math.cos(p) / math.sqrt(1 - (self.e * math.sin(p)) ** 2)
+        t1, t2 = self._conformal(p1), self._conformal(p2)
+        n = math.sin(p1) if abs(p1 - p2) < 1e-12 else math.log(m(p1) / m(p2)) / math.log(t1 / t2)
+        f = m(p1) / (n * t1**n)
+        return n, f, self.radius * f * self._conformal(p0) ** n
 
     def forward(self, lat, lon) -> tuple[Column, Column]:
         n, f, rho0 = self._cone()
-        rho = self.radius * f / F.pow(F.tan(math.pi / 4 + F.radians(_c(lat)) / 2), F.lit(n))
+        phi = F.radians(_c(lat))
+        t = F.tan(math.pi / 4 - phi / 2)
+        if self.e:
+            s = self.e * F.sin(phi)
+            t = t * F.pow((1 + s) / (1 - s), F.lit(self.e / 2))
+        rho = self.radius * f * F.pow(t, F.lit(n))
         a = n * F.radians(wrap_lon(_c(lon) - self.lon0))
         return rho * F.sin(a), rho0 - rho * F.cos(a)
 
     def inverse(self, x, y) -> tuple[Column, Column]:
+        """The latitude by the series of the conformal one up to e^8: right to some 1e-9 degrees."""
         n, f, rho0 = self._cone()
         dy = rho0 - _c(y)
         rho = math.copysign(1, n) * F.sqrt(_c(x) ** 2 + dy**2)
-        lat = F.degrees(2 * F.atan(F.pow(self.radius * f / rho, F.lit(1 / n))) - math.pi / 2)
-        return lat, wrap_lon(self.lon0 + F.degrees(F.atan2(_c(x), dy)) / n)
+        lat = math.pi / 2 - 2 * F.atan(F.pow(rho / (self.radius * f), F.lit(1 / n)))
+        if self.e:
+            e2, e4, e6, e8 = (self.e**i for i in (2, 4, 6, 8))
+            terms = (e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360, 7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520, 7 * e6 / 120 + 81 * e8 / 1120, 4279 * e8 / 161280)
+            chi = lat
+            for i, c in enumerate(terms):
+                lat = lat + c * F.sin(2 * (i + 1) * chi)
+        return F.degrees(lat), wrap_lon(self.lon0 + F.degrees(F.atan2(_c(x), dy)) / n)
 
 
 def inside_polygon(x, y, ring: list[tuple[float, float]]) -> Column:

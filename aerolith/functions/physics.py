@@ -8,8 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # SI units.
-NA = 6.022e23
-KB = 1.381e-23
+NA = 6.02214076e23
+KB = 1.380649e-23
+RHO_WATER = 997.0
+GAMMA_DRY = 9.8e-3
+C_LIQUID = 4186.0
+CV = 718.0
+L_FUSION = 3.337e5
+L_VAPOR = 2.501e6
+L_SUBLIMATION = L_VAPOR + L_FUSION
+PLANCK = 6.62607015e-34
+EARTH_RADIUS = 6.371e6
+LIGHT = 299792458.0
+STEFAN_BOLTZMANN = 5.67e-8
 RD = 287.05
 RV = 461.5
 G = 9.81

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,20 @@ def statistics(col: str, names: str | Sequence[str]) -> list[Column]:
     return [STATISTICS[n](F.col(col)).alias(f"{col}_{n}") for n in ([names] if isinstance(names, str) else names)]
 
 
+def by_callable(df: DataFrame, keys: Sequence[str], value: str, statistic: Callable[[pd.Series], float], name: str) -> DataFrame:
+    """Any function of a group's values (a pandas Series) to a number, as value_name.
+
+    A group is held by one task: only for groups that are small by nature. Built-in statistics have no such bound.
+    """
+
+    @F.pandas_udf("double")
+    def of(v: pd.Series) -> float:
+        out = statistic(v)
+        return None if out is None or pd.isna(out) else float(out)
+
+    return df.groupBy(*keys).agg(of(F.col(value).cast("double")).alias(f"{value}_{name}"))
+
+
 def diurnal(df: DataFrame, values: Sequence[str], ts: str = "ts", freq_us: int = 3_600_000_000, statistic: str | Sequence[str] = "mean", method: str = "floor", keys: Sequence[str] = (), min_count: int | None = None) -> DataFrame:
     """Statistics by time of day; with min_count, those of fewer values are null."""
     binned = df.withColumn("time", timeops.time_of_day(timeops.rounded_micros(ts, freq_us, method)))

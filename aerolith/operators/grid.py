@@ -73,7 +73,8 @@ def _overlaps(src: DataFrame, dst: DataFrame, col: str, cell: float, sine: bool)
 def regrid(grid: DataFrame, lats: DataFrame, lons: DataFrame, method: str = "conservative", coords: Sequence[str] = ("time",), value: str = "value") -> DataFrame:
     """Values on the cells of new centres. lats and lons: (lat, lo, hi) and (lon, lo, hi) of the new cells.
 
-    conservative: area means, null-propagating; conservative_normed: over cells with values; nearest: the nearest source.
+    conservative: area means, null-propagating; conservative_normed: over cells with values; nearest: the nearest source;
+    nearest_d2s: each source goes to its nearest new cell, whose value is their sum (cells without a source have no row).
     """
     src_lat, src_lon = bounds(grid.select("lat").distinct(), "lat"), bounds(grid.select("lon").distinct(), "lon")
     if method == "nearest":
@@ -82,6 +83,8 @@ def regrid(grid: DataFrame, lats: DataFrame, lons: DataFrame, method: str = "con
         a = nearest_value(lats.select("lat"), src_lat, "lat", "lat", "lat").select(F.col("lat").alias("new_lat"), F.col("nearest_value").alias("lat"))
         b = nearest_value(lons.select("lon"), src_lon, "lon", "lon", "lon").select(F.col("lon").alias("new_lon"), F.col("nearest_value").alias("lon"))
         return grid.join(a, "lat").join(b, "lon").select(*coords, F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon"), value)
+    if method == "nearest_d2s":
+        return _nearest_d2s(grid, src_lat, src_lon, lats, lons, coords, value)
     if method == "bilinear":
         return _bilinear(grid, lats, lons, coords, value)
     if method not in ("conservative", "conservative_normed"):
@@ -95,6 +98,15 @@ def regrid(grid: DataFrame, lats: DataFrame, lons: DataFrame, method: str = "con
     return agg.select(*coords, F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon"), out.alias(value))
 
 
+def _nearest_d2s(grid, src_lat, src_lon, lats, lons, coords, value) -> DataFrame:
+    from .series import nearest_value
+
+    a = nearest_value(src_lat.select("lat"), lats, "lat", "lat", "lat").select("lat", F.col("nearest_value").alias("new_lat"))
+    b = nearest_value(src_lon.select("lon"), lons, "lon", "lon", "lon").select("lon", F.col("nearest_value").alias("new_lon"))
+    each = grid.join(a, "lat").join(b, "lon").groupBy(*coords, "new_lat", "new_lon").agg(F.sum(value).alias(value))
+    return each.select(*coords, F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon"), value)
+
+
 def _bilinear(grid: DataFrame, lats: DataFrame, lons: DataFrame, coords: Sequence[str], value: str) -> DataFrame:
     def brackets(new: DataFrame, old: DataFrame, col: str) -> DataFrame:
         """(old, new, weight) of the two old centres around each new one; none outside."""

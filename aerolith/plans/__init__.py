@@ -1 +1,3 @@
 """aerolith.plans"""
+
+from . import catalog, products  # noqa: F401  (products adds its queries to the catalogue)

@@ -30,7 +30,7 @@ def _grid(df: DataFrame) -> DataFrame:
 
 
 @query("s3_edgar_v7", f"""WITH {_RAW} SELECT o_orderkey, make_timestamp(y, 1, 1, 0, 0, 0) AS time, round(round_even(lat * 100, 0) / 100, 6) AS lat,
- round(round_even((CASE WHEN lon >= 180 THEN lon - 360 ELSE lon END) * 100, 0) / 100, 6) AS lon, s AS sector, round(v, 6) AS value,
+ round(round_even(((lon + 180) % 360 - 180) * 100, 0) / 100, 6) AS lon, s AS sector, round(v, 6) AS value,
  'v7.0_FT_CH4_' || y || '_' || s || '.0.1x0.1.nc' AS file FROM r WHERE i NOT IN (4, 5)""")
 def _(spark, d):
     totals, other = F.when(F.col("i") == 4, "TOTALS_").otherwise(""), F.when(F.col("i") == 5, ".txt").otherwise("")

@@ -200,7 +200,12 @@ def _search(index: DataFrame, queries: DataFrame, hashing: Hashing, blocks: int,
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _near(a, b, top + 1)
 
-    hits = shelf.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(near, HITS)
+    # a hot bucket fills its block far beyond the share: its entries are dealt to parts, and its queries go to each part
+    full = shelf.groupBy("block").count().filter(F.col("count") > 2 * BLOCK).select("block", F.ceil(F.col("count") / BLOCK).alias("parts"))
+    full = materialize(full, "full-blocks")
+    shelf = shelf.join(full, "block", "left").withColumn("part", F.pmod(F.xxhash64("k"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    asked = asked.join(full, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    hits = shelf.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(near, HITS)
     got = materialize(_ranked(hits, top), "neighbours")
     total = index.agg(F.sum(F.size("ids"))).first()[0] or 0
     short = queries.join(got.filter(F.size("all") >= min(top + 1, total)).select(F.col("qk").alias("k")), "k", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import hashlib
 import random
 import re
@@ -567,6 +568,45 @@ def test_neighbours(spark):
     assert hits / 400 >= 0.9
 
 
+def test_neighbours_in_hot_buckets(spark, monkeypatch):
+    """A third of all rows are slightly differing copies: their blocks are split, and nothing in them is lost."""
+    from aerolith.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "LEAST_BLOCKS", 4)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(360, 16))
+    x[120:240] = x[120] + rng.normal(scale=1e-4, size=(120, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got, hits = ann.nearest(df, F.col("vec_id") % 20 == 0).toPandas(), 0
+    assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == 18
+    for q, p in got.groupby("query_id"):
+        score = (x * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(360), -score)) if i != q][:20]
+        p = p.sort_values("rank")
+        assert (p["score"].to_numpy() == score[p["vec_id"]]).all()
+        if 120 <= q < 240:
+            assert p["vec_id"].tolist() == order  # the copies share all buckets
+        hits += len(set(order) & set(p["vec_id"]))
+    assert hits / 360 >= 0.9
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_of_the_query(spark):
+    """op8_nearest against all pairs, on a whole table."""
+    from aerolith.llm.queries import op8_nearest
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float)
+    got, hits = op8_nearest(spark, "/root/testdata/sf0.01").toPandas(), 0
+    asked = ids[ids % 20 == 0]
+    assert set(got["query_id"]) == set(asked)
+    for q, p in got.groupby("query_id"):
+        order = [ids[i] for i in np.lexsort((ids, -(x * x[ids == q][0]).sum(axis=1))) if ids[i] != q][:20]
+        hits += len(set(order) & set(p["vec_id"]))
+    assert hits / (20 * len(asked)) >= 0.9
+
+
 def test_neighbours_of_few(spark):
     from aerolith.llm.ann import nearest
 

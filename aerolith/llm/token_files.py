@@ -88,7 +88,7 @@ class Encoder:
         self.older: dict[int, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Pieces that don't hold a line end are joined by line ends, which always stand alone, and told apart again."""
@@ -96,7 +96,7 @@ class Encoder:
         joined = [i for i, p in enumerate(pieces) if b"\n" not in p]
         for lo in range(0, len(joined), JOIN):
             run = joined[lo : lo + JOIN]
-            ids = np.array(self.tokenizer.encode(b"\n".join([*(pieces[i] for i in run), b""]).decode(), add_special_tokens=False).ids, self.dtype)
+            ids = np.frombuffer(self._encode([b"\n".join([*(pieces[i] for i in run), b""]).decode()])[0], self.dtype)
             ends = np.flatnonzero(ids == self.line_end)
             at = 0
             for i, e in zip(run, ends.tolist(), strict=True):

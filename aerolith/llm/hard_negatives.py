@@ -52,9 +52,14 @@ def valid_rows(df: DataFrame, is_anchor: Column, label: Column, id_col: str, vec
 
 
 def fit_pivots(x: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
-    """Means of groups of the sampled vectors (some rounds of nearest means, from vectors spread over the sample)."""
-    at = np.unique(np.linspace(0, len(x) - 1, pivots).astype(int))
-    centres = x[at].astype(np.float64)
+    """Means of groups of the sampled vectors: each begins at the vector furthest from those before, then some rounds of
+    nearest means."""
+    x = x.astype(np.float64)
+    at, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(at) < pivots and far.max() > 0:
+        at.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(axis=1))
+    centres = x[at]
     for _ in range(FITS):
         own = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
         centres = np.stack([x[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])

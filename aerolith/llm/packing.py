@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,17 +87,17 @@ def curve_keys(points: np.ndarray) -> np.ndarray:
 
 
 def _tokens(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, curve, n, ids): the ids of each whole text with the end id, as bytes of the encoder's type."""
+    """(doc, curve, n, ids): the ids of each whole text with the end id, as compressed bytes of the encoder's type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = worker_encoder(tokenizer_path)
+        enc, comp = worker_encoder(tokenizer_path), zstandard.ZstdCompressor(level=1)
         hashed, matrix, end = buckets_of(1 << 16 if enc.dtype.itemsize == 2 else enc.tokenizer.get_vocab_size()), projection(), np.array([end_id], enc.dtype)
         for b in batches:
             for lo, hi, data, offs in text_slices(b.column(1)):
                 ids = [np.concatenate([x, end]) for x in enc.encode(data, offs)]
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 keys = curve_keys(document_points(hashed[np.concatenate(ids)], n, matrix))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(keys), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc", "curve", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(keys), pa.array(n), pa.array([comp.compress(x.data) for x in ids], pa.binary())], ["doc", "curve", "n", "ids"])
 
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("t"))
     return src.mapInArrow(run, TOKENS)
@@ -170,10 +171,10 @@ def pack_documents(df: DataFrame, tokenizer_path: str, length: int = 1024, end_i
     dtype = worker_encoder(tokenizer_path).dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, held = Stream(length, TaskContext.get().partitionId()), 0
+        stream, held, dec = Stream(length, TaskContext.get().partitionId()), 0, zstandard.ZstdDecompressor()
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                some = np.frombuffer(ids.as_buffer(), dtype)
+                some = np.frombuffer(dec.decompress(ids.as_buffer()), dtype)
                 stream.add(doc, some)
                 held += len(some)
                 if held >= BATCH_IDS and stream.out:
@@ -186,7 +187,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, length: int = 1024, end_i
     with Scratch(spark) as scratch:
         tokens = scratch.save(_tokens(df, tokenizer_path, end_id, id_col, text_col), "tokens")
         order = ["curve", "doc", F.crc32("ids")]  # equal rows may stand in any order
-        tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "ids").mapInArrow(run, SEQUENCES).write.parquet(path)
+        tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "ids").mapInArrow(run, SEQUENCES).write.option("compression", "zstd").parquet(path)
     return path
 
 

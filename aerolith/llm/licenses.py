@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, free_name, prefix_hash, span_hash, text_slices, word_spans
+from .common import ALNUM, LOWER, kept_columns, prefix_hash, restored, span_hash, text_slices, word_spans
 
 # Phrases and notices with their labels.
 PHRASES = (
@@ -203,14 +203,12 @@ def license_scan(df: DataFrame, keep: list[str], text_col: str = "text", phrases
     """The kept columns with n_words, places (each place of a phrase) and matches (each matching block).
 
     A null or empty text has no words, places or matches. Repeated rows each get their own result, an empty table
-    gives no rows. Kept columns that clash with a result column raise.
+    gives no rows. A kept column named like a result column keeps its name, and the result's gets an underscore.
     """
-    if clash := {c.lower() for c in keep} & {"n_words", "places", "matches"}:
-        raise ValueError(f"columns clash with the result: {sorted(clash)}")
     vocab = Vocabulary(phrases, templates)
     index = Index(vocab, count_words(df, text_col, vocab), threshold)
     n_keep = len(keep)
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(free_name(df, "scan_text")))
+    src = df.select(*kept_columns(keep), F.col(f"`{text_col}`").cast("string").alias("scan_text"))
     schema = T.StructType([*src.schema.fields[:n_keep], *T._parse_datatype_string(f"n_words bigint, places {PLACE}, matches {MATCH}").fields])
     place_t = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
     match_t = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("containment", pa.float64())]))
@@ -241,4 +239,4 @@ def license_scan(df: DataFrame, keep: list[str], text_col: str = "text", phrases
             n = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:n_keep], n, pa.array(places, place_t), pa.array(matches, match_t)], schema.names)
 
-    return src.mapInArrow(scan, schema)
+    return restored(src.mapInArrow(scan, schema), keep, ["n_words", "places", "matches"])

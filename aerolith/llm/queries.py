@@ -47,7 +47,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, token_files
 
     path, codec = token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(spark, path, codec).drop("ids")
+    return read_tokens(spark, path, codec, with_ids=False)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def secret_scan(df: DataFrame, keep: list[str], text_col: str = "text", owner: C
     one repository. An empty table gives no rows; other columns pass through under their names.
     """
     name = free_name(df, "spans")
-    row, own, rep = (free_name(df, x) for x in ("row_key", "owner_key", "repo_key"))
+    row, own, rep, rated_spans = (free_name(df, x) for x in ("row_key", "owner_key", "repo_key", "rated_spans"))
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", F.col("source"), F.col("lang")) if repo is None else repo
     cols = [F.col(f"`{c}`") for c in keep]
@@ -74,8 +74,8 @@ def secret_scan(df: DataFrame, keep: list[str], text_col: str = "text", owner: C
     some = scan.filter(F.size(name) > 0)
     each = some.select(F.col(row).alias("row"), F.col(own).alias("owner"), F.col(rep).alias("repo"), F.explode(name).alias("s"))
     rated = ownership(each.select("s.secret", "owner", "repo")).select("secret", (F.col("n_owners") < widely).alias("live"))
-    spans = each.select("row", "s.*").join(rated, "secret").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "secret", "live"))).alias("rated"))
-    with_spans = some.join(spans, some[row] == spans["row"]).select(*cols, F.col("rated").alias(name))
+    spans = each.select("row", "s.*").join(rated, "secret").groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "secret", "live"))).alias(rated_spans))
+    with_spans = some.join(spans, row).select(*cols, F.col(rated_spans).alias(name))
     none = scan.filter(F.size(name) == 0).select(*cols, F.array().cast("array<struct<start:int,kind:int,end:int,secret:string,live:boolean>>").alias(name))
     return none.unionByName(with_spans), name
 

@@ -1,8 +1,8 @@
 """Token-id files: every document's ids compressed on their own with a shared zstandard dictionary.
 
 A file is a Parquet table of shards. A shard holds the frames of neighbouring documents in one binary, the offset of
-each frame, the documents' ids and token counts, and the hash of the dictionary, so that one short document can be
-read without the rest. Shards stand in ascending document order: (part, shard).
+each frame, the documents' ids (the least and the largest in columns of their own) and token counts, and the hash of the
+dictionary, so that one short document can be read without the rest. Shards stand in ascending document order: (part, shard).
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ REMEMBERED = 200_000
 JOIN = 2000
 LEVEL = 3
 
-SHARD = "part int, shard int, dict_sha256 string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, frames binary"
+SHARD = "part int, shard int, dict_sha256 string, first_doc bigint, last_doc bigint, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, frames binary"
 
 # White space beyond ' ' and '\n' that a byte-level pre-tokenizer may join with its neighbours: fixed values (UTF-8).
 ODD = np.zeros(256, bool)
@@ -223,12 +223,14 @@ def write_tokens(df: DataFrame, path: str, codec: Codec, tokenizer_path: str, id
         docs: list = []
         counts: list[int] = []
         offsets, frames = [0], []
-        schema = ["part", "shard", "dict_sha256", "doc_ids", "n_tokens", "offsets", "frames"]
+        schema = ["part", "shard", "dict_sha256", "first_doc", "last_doc", "doc_ids", "n_tokens", "offsets", "frames"]
         end = np.array([codec.end_id], codec.width)
 
         def flush() -> pa.RecordBatch:
+            named = [d for d in docs if d is not None]  # in ascending order
+            ends = named[:1] + named[-1:] or [None, None]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([codec.sha256]), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int64())), pa.array([b"".join(frames)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([codec.sha256]), *(pa.array([x], pa.int64()) for x in ends), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int64())), pa.array([b"".join(frames)], pa.binary())],
                 schema,
             )
 
@@ -264,8 +266,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return shards.join(base.select("part", "shard", (F.col("first") + F.col("before")).alias("base")), ["part", "shard"])
 
 
-def read_tokens(spark: SparkSession, path: str, codec: Codec) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (array) of every document, from the files."""
+def read_tokens(spark: SparkSession, path: str, codec: Codec, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and (unless they aren't wanted) ids (array) of every document, from the files."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = codec.decompressor()
@@ -273,20 +275,24 @@ def read_tokens(spark: SparkSession, path: str, codec: Codec) -> DataFrame:
             for s in b.to_pylist():
                 if s["dict_sha256"] != codec.sha256:
                     raise ValueError("the shard was written with another dictionary")
-                ids = [np.frombuffer(dec.decompress(s["frames"][i:j]), codec.width).astype("<u4") for i, j in zip(s["offsets"], s["offsets"][1:], strict=False)]
-                n = np.array([len(x) for x in ids], np.int64)
-                crc = np.array([zlib.crc32(x.tobytes()) for x in ids], np.int64)
+                raw = [dec.decompress(s["frames"][i:j]) for i, j in zip(s["offsets"], s["offsets"][1:], strict=False)]
+                wide = [np.frombuffer(x, codec.width).astype("<u4") for x in raw]
+                n = np.array([len(x) for x in wide], np.int64)
+                crc = np.array([zlib.crc32(x.data) for x in wide], np.int64)
                 start = s["base"] + np.concatenate([[0], np.cumsum(n)[:-1]])
-                flat = np.concatenate(ids).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(s["doc_ids"], pa.int64()), pa.array(start), pa.array(n), pa.array(crc), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                out = [pa.array(s["doc_ids"], pa.int64()), pa.array(start), pa.array(n), pa.array(crc)]
+                if with_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(wide).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return read_shards(spark, path).select("dict_sha256", "doc_ids", "offsets", "frames", "base").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return read_shards(spark, path).select("dict_sha256", "doc_ids", "offsets", "frames", "base").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def read_document(spark: SparkSession, path: str, codec: Codec, doc_id: int) -> list[int] | None:
     """The ids of one document: only its shard is read, only its frame decompressed."""
     at = F.array_position("doc_ids", F.lit(doc_id)).cast("int")
-    row = spark.read.schema(SHARD).parquet(path).filter(F.array_contains("doc_ids", F.lit(doc_id)))
+    held = (F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)  # pushed down: other shards' frames aren't read
+    row = spark.read.schema(SHARD).parquet(path).filter(held & F.array_contains("doc_ids", F.lit(doc_id)))
     place = row.select("frames", F.element_at("offsets", at).cast("int").alias("lo"), F.element_at("offsets", at + 1).cast("int").alias("hi"))
     found = place.select(F.substring("frames", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("frame")).limit(1).collect()
     return np.frombuffer(codec.decompressor().decompress(bytes(found[0]["frame"])), codec.width).tolist() if found else None

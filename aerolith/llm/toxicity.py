@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import kept_columns, restored
 
 #: bound of the labelled rows that the lexicon is fitted on: those of smallest key hash
 FIT_ROWS = 20_000
@@ -192,11 +192,10 @@ def score_toxicity(df: DataFrame, lexicon: Lexicon, keep: list[str], text_col: s
     """The kept columns with score (0 to 1) and predicted (1 from 0.5 on).
 
     A null or empty text scores 0. Repeated rows get equal scores, an empty table gives no rows. Without toxic
-    labels the lexicon is empty and all score 0. Kept columns named score or predicted raise.
+    labels the lexicon is empty and all score 0. A kept column named like a result column keeps its name, and the
+    result's gets an underscore.
     """
-    if clash := {c.lower() for c in keep} & {"score", "predicted"}:
-        raise ValueError(f"columns clash with the result: {sorted(clash)}")
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(free_name(df, "scored_text")))
+    src = df.select(*kept_columns(keep), F.col(f"`{text_col}`").cast("string").alias("scored_text"))
     schema = T.StructType([*src.schema.fields[: len(keep)], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,4 +204,4 @@ def score_toxicity(df: DataFrame, lexicon: Lexicon, keep: list[str], text_col: s
             s = np.array([lexicon.score(lexicon.density(t, a)) if t and a else 0.0 for t in b.column(len(keep)).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return restored(src.mapInArrow(run, schema), keep, ["score", "predicted"])

@@ -288,6 +288,10 @@ def test_token_files(spark, corpus, empty, tmp_path):
         assert got[i]["ids"] == ids.tolist() and got[i]["start"] == at and got[i]["n_tokens"] == len(ids)
         assert got[i]["ids_crc32"] == zlib.crc32(ids.tobytes())
         at += len(ids)
+    brief = {r["doc_id"]: r for r in read_tokens(spark, path, codec, with_ids=False).collect()}
+    assert all({**brief[i].asDict(), "ids": r["ids"]} == r.asDict() for i, r in got.items())
+    held = spark.read.parquet(path).filter("first_doc <= 5 AND last_doc >= 5")
+    assert "GreaterThanOrEqual(last_doc,5)" in held._jdf.queryExecution().toString()
     assert read_document(spark, path, codec, 5) == got[5]["ids"] and read_document(spark, path, codec, 999) is None
     path, codec = token_files(empty, P.path("byte_bpe_50k.json"))
     assert read_tokens(spark, path, codec).count() == 0
@@ -701,14 +705,16 @@ def test_clashing_columns_of_quality_rules(corpus):
     assert got.columns[:4] == ["kept", "grp", "KEPT_0", "doc_id"] and got.columns[-1] == "kept_" and got.filter("kept = 5 AND grp = 'g' AND KEPT_0 = 1").count() == df.count()
 
 
-def test_clashing_columns_raise(corpus):
+def test_clashing_columns_of_licenses_toxicity_and_secrets(corpus):
     from aerolith.llm.licenses import license_scan
+    from aerolith.llm.secrets import secret_scan
     from aerolith.llm.toxicity import Lexicon, score_toxicity
 
-    df = corpus[1].withColumn("score", F.lit(1)).withColumn("kept", F.lit(1)).withColumn("places", F.lit(1))
-    for f in (lambda: license_scan(df, ["places"]), lambda: score_toxicity(df, Lexicon({}, (), 1.0), ["score"])):
-        with pytest.raises(ValueError, match="clash"):
-            f()
+    taken = ["score", "predicted", "places", "n_words", "matches", "row", "rated", "spans", "row_key", "owner", "repo", "secret", "live", "scan_text", "kept_0"]
+    df = corpus[1].withColumns({c: F.lit(7) for c in taken})
+    for out, added in ((license_scan(df, df.columns), ["n_words_", "places_", "matches_"]), (score_toxicity(df, Lexicon({}, (), 1.0), df.columns), ["score_", "predicted_"]), (secret_scan(df, df.columns)[0], ["spans_"])):
+        assert out.columns == [*df.columns, *added]
+        assert out.filter(" AND ".join(f"{c} = 7" for c in taken)).count() == df.count()
 
 
 def test_pipeline(spark, corpus):

@@ -1,3 +1,3 @@
 """aerolith.plans"""
 
-from . import catalog, products  # noqa: F401  (products adds its queries to the catalogue)
+from . import catalog, files, products  # noqa: F401  (files and products add their queries to the catalogue)

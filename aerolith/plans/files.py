@@ -1,4 +1,4 @@
-"""Registered queries over files that the tables are written to first: NetCDF grids and chunk stores, with their SQL."""
+"""Registered queries over files that the tables are written to first (NetCDF grids, chunk stores) and in planes, with SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources import netcdf, shared
+from ..functions import physics
+from ..operators import nearest, overlap
+from ..sources import chunks, inventories, names, netcdf, shared
 from .catalog import query, table
 
 
@@ -79,3 +81,74 @@ def _(spark, d):
     times = day(netcdf.read_netcdf(spark, f"{path}/times", ["time_components"], schema="file string, time int, calendar_component int, time_components int")).withColumnRenamed("time_components", "value")
     whole = netcdf.with_component_time(values, times, ["day", "time"], "calendar_component", "when")
     return whole.join(levels, "level").select(F.col("when").alias("time"), F.col("event_type").alias("level"), "ch4")
+
+
+# ---------------------------------------------------------------- chunk stores
+
+@query("s29_chunk_points", """
+WITH g AS (SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS hour, CAST(l_partkey % 150 AS INTEGER) AS iy, CAST(l_suppkey % 90 AS INTEGER) AS ix, sum(CAST(l_quantity AS BIGINT))::DOUBLE AS value FROM lineitem GROUP BY ALL),
+ p AS (SELECT c_custkey, TIMESTAMP '1995-01-01' + to_months(CAST(c_nationkey AS INTEGER)) AS hour, 30 + (c_custkey % 997) * 0.0173 AS lat, -115 + (c_custkey % 1009) * 0.0091 AS lon FROM customer),
+ q AS (SELECT *, CAST(greatest(0, least(149, floor((lat - 31) / 0.1 + 0.5))) AS INTEGER) AS iy, CAST(greatest(0, least(89, floor((lon + 114) / 0.1 + 0.5))) AS INTEGER) AS ix FROM p)
+SELECT c_custkey, hour, value FROM q LEFT JOIN g USING (hour, iy, ix)""")
+def _(spark, d):
+    """Monthly fields of sums in chunks of 32 * 32, read at the customers' places and months."""
+    field = table(spark, d, "lineitem").groupBy(F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("hour"), (F.col("l_partkey") % 150).cast("int").alias("iy"), (F.col("l_suppkey") % 90).cast("int").alias("ix")).agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("value"))
+    grid = chunks.ChunkGrid(-114.0, 0.1, 90, 31.0, 0.1, 150, size=32)
+    address = names.zarr_address("hour", "sfc", F.lit("surface"), F.lit("QTY"), "anl", F.col("_chunk"))
+    path = folder(spark, "chunks")
+    chunks.write_chunks(chunks.to_chunks(field, grid, address), path)
+    months = F.make_ym_interval(F.lit(0), F.col("c_nationkey").cast("int"))
+    points = table(spark, d, "customer").select("c_custkey", (F.lit("1995-01-01").cast("timestamp_ntz") + months).alias("hour"), (30 + (F.col("c_custkey") % 997) * F.lit(0.0173)).alias("lat"), (-115 + (F.col("c_custkey") % 1009) * F.lit(0.0091)).alias("lon"))
+    return chunks.read_points(spark.read.parquet(path), points, grid, address).select("c_custkey", "hour", F.get("values", F.lit(0)).alias("value"))
+
+
+@query("s29_point_winds", """
+WITH g AS (SELECT CAST(hour(ts) // 6 * 6 AS INTEGER) AS h, CAST(user_id % 40 AS INTEGER) AS iy, CAST(event_id % 40 AS INTEGER) AS ix, max(CAST(event_id % 17 AS DOUBLE) - 8) AS u, max(CAST(event_id % 13 AS DOUBLE) - 6) AS v FROM events GROUP BY ALL),
+ s AS (SELECT s_suppkey, CAST(s_suppkey % 4 * 6 AS INTEGER) AS h, CAST(s_suppkey % 40 AS INTEGER) AS iy, CAST(s_nationkey AS INTEGER) AS ix, -110 + s_nationkey * 0.25 AS lon FROM supplier),
+ k AS (SELECT s.*, u, v, 0.622515::DOUBLE * (lon + 97.5) * 0.017453 AS a FROM s LEFT JOIN g USING (h, iy, ix))
+SELECT s_suppkey, round(cos(a) * u + sin(a) * v, 6) AS u, round(-sin(a) * u + cos(a) * v, 6) AS v FROM k""")
+def _(spark, d):
+    """Wind components of six-hourly fields at the suppliers' places, turned from the grid to the earth."""
+    ev = table(spark, d, "events").select(F.date_trunc("day", F.lit("2023-01-01").cast("timestamp_ntz")).cast("timestamp_ntz").alias("day"), (F.floor(F.hour("ts") / 6) * 6).cast("int").alias("h"), (F.col("user_id") % 40).cast("int").alias("iy"), (F.col("event_id") % 40).cast("int").alias("ix"), (F.col("event_id") % 17 - 8).cast("double").alias("UGRD"), (F.col("event_id") % 13 - 6).cast("double").alias("VGRD"))
+    field = ev.groupBy("day", "h", "iy", "ix").agg(F.max("UGRD").alias("UGRD"), F.max("VGRD").alias("VGRD")).unpivot(["day", "h", "iy", "ix"], ["UGRD", "VGRD"], "variable", "value")
+    hour = lambda df: df.withColumn("hour", F.col("day") + F.make_dt_interval(F.lit(0), F.col("h"), F.lit(0), F.lit(0)))
+    grid = chunks.ChunkGrid(-110.0, 0.25, 40, 35.0, 0.25, 40, size=10)
+    address = names.zarr_address("hour", "sfc", F.lit("10m_above_ground"), "variable", "anl", F.col("_chunk"))
+    path = folder(spark, "chunks")
+    chunks.write_chunks(chunks.to_chunks(hour(field), grid, address), path)
+    at = table(spark, d, "supplier").select("s_suppkey", F.lit("2023-01-01").cast("timestamp_ntz").alias("day"), (F.col("s_suppkey") % 4 * 6).cast("int").alias("h"), (35 + F.col("s_suppkey") % 40 * 0.25).alias("lat"), (-110 + F.col("s_nationkey") * 0.25).alias("lon"))
+    asked = names.zarr_requests(hour(at), [("10m_above_ground", "UGRD"), ("10m_above_ground", "VGRD")])
+    got = chunks.read_points(spark.read.parquet(path), asked, grid, address).withColumn("value", F.get("values", F.lit(0)))
+    wind = got.groupBy("s_suppkey", "lon").agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in ("UGRD", "VGRD")])
+    u, v = physics.rotate_to_earth("UGRD", "VGRD", "lon")
+    return wind.select("s_suppkey", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
+
+
+# ---------------------------------------------------------------- the plane
+
+@query("j3_nearest_in_plane", """
+WITH s AS (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) AS x, CAST(s_suppkey * 37 % 1000 AS DOUBLE) * 10 AS y FROM supplier),
+ c AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS x, CAST(c_custkey * 53 % 1000 AS DOUBLE) * 10 AS y FROM customer)
+SELECT c_custkey, s_suppkey AS nearest_key, round(sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)), 6) AS distance
+FROM c, s QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y), s_suppkey) = 1""")
+def _(spark, d):
+    place = lambda t, key, x, k: table(spark, d, t).select(key, F.col(x).cast("double").alias("x"), ((F.col(key) * k % 1000).cast("double") * 10).alias("y"))
+    out = nearest.nearest_in_plane(place("customer", "c_custkey", "c_acctbal", 53), place("supplier", "s_suppkey", "s_acctbal", 37), "x", "y", "x", "y", "s_suppkey")
+    return out.select("c_custkey", "nearest_key", F.round("distance", 6).alias("distance"))
+
+
+@query("g15_reproject_conservative", """
+WITH o AS (SELECT o_orderpriority AS sector, 20000.0::DOUBLE * (o_orderkey % 50) - 500000 AS x, 20000.0::DOUBLE * (o_custkey % 50) - 500000 AS y, sum(o_totalprice) AS v FROM orders GROUP BY ALL),
+ k AS (SELECT sin(radians(38.5::DOUBLE)) AS n, tan(pi() / 4 + radians(38.5::DOUBLE) / 2) AS t0, cos(radians(38.5::DOUBLE)) AS c, 6371229.0::DOUBLE AS r),
+ q AS (SELECT *, c * power(t0, n) / n AS f, r * (c * power(t0, n) / n) / power(t0, n) AS rho0 FROM k),
+ e AS (SELECT sector, x, y, v, i, x + CASE WHEN i IN (0, 3) THEN -10000 ELSE 10000 END AS cx, y + CASE WHEN i < 2 THEN -10000 ELSE 10000 END AS cy FROM o, (SELECT unnest(range(4)) AS i)),
+ l AS (SELECT sector, x, y, v, i, degrees(2 * atan(power(r * f / sqrt(cx * cx + (rho0 - cy) * (rho0 - cy)), 1 / n)) - pi() / 2) AS lat, 262.5 - 360 + degrees(atan2(cx, rho0 - cy)) / n AS lon FROM e, q),
+ m AS (SELECT sector, x, y, v, max(lon) FILTER (i = 0) AS a0, max(lon) FILTER (i = 1) AS a1, max(lon) FILTER (i = 2) AS a2, max(lon) FILTER (i = 3) AS a3,
+  max(sin(radians(lat))) FILTER (i = 0) AS s0, max(sin(radians(lat))) FILTER (i = 1) AS s1, max(sin(radians(lat))) FILTER (i = 2) AS s2, max(sin(radians(lat))) FILTER (i = 3) AS s3 FROM l GROUP BY ALL)
+SELECT sector, round(sum(v * abs((a2 - a0) * (s3 - s1) - (a3 - a1) * (s2 - s0)) / 2) / 1000, 4) AS amount FROM m GROUP BY 1""")
+def _(spark, d):
+    """Amounts by sector after conservative reprojection to cells finer than the projected ones, against the outlines' own."""
+    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("sector"), (20000.0 * (F.col("o_orderkey") % 50) - 500000).alias("x"), (20000.0 * (F.col("o_custkey") % 50) - 500000).alias("y")).agg(F.sum("o_totalprice").alias("value"))
+    out = overlap.reproject_conservative(o, inventories.projection("forecast_lambert"), 20000.0, 20000.0, 0.15, ["sector"], "conservative")
+    full = 0.15 * (F.sin(F.radians(F.col("lat") + 0.075)) - F.sin(F.radians(F.col("lat") - 0.075)))
+    return out.groupBy("sector").agg(F.round(F.sum(F.col("value") * full) / 1000, 4).alias("amount"))

@@ -87,8 +87,8 @@ def _(spark, d):
 
 @query("s29_chunk_points", """
 WITH g AS (SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS hour, CAST(l_partkey % 150 AS INTEGER) AS iy, CAST(l_suppkey % 90 AS INTEGER) AS ix, sum(CAST(l_quantity AS BIGINT))::DOUBLE AS value FROM lineitem GROUP BY ALL),
- p AS (SELECT c_custkey, TIMESTAMP '1995-01-01' + to_months(CAST(c_nationkey AS INTEGER)) AS hour, 30 + (c_custkey % 997) * 0.0173 AS lat, -115 + (c_custkey % 1009) * 0.0091 AS lon FROM customer),
- q AS (SELECT *, CAST(greatest(0, least(149, floor((lat - 31) / 0.1 + 0.5))) AS INTEGER) AS iy, CAST(greatest(0, least(89, floor((lon + 114) / 0.1 + 0.5))) AS INTEGER) AS ix FROM p)
+ p AS (SELECT c_custkey, TIMESTAMP '1995-01-01' + to_months(CAST(c_nationkey AS INTEGER)) AS hour, 30 + (c_custkey % 997) * 0.0173::DOUBLE AS lat, -115 + (c_custkey % 1009) * 0.0091::DOUBLE AS lon FROM customer),
+ q AS (SELECT *, CAST(greatest(0, least(149, floor((lat - 31) / 0.1::DOUBLE + 0.5::DOUBLE))) AS INTEGER) AS iy, CAST(greatest(0, least(89, floor((lon + 114) / 0.1::DOUBLE + 0.5::DOUBLE))) AS INTEGER) AS ix FROM p)
 SELECT c_custkey, hour, value FROM q LEFT JOIN g USING (hour, iy, ix)""")
 def _(spark, d):
     """Monthly fields of sums in chunks of 32 * 32, read at the customers' places and months."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics, timeops
+from . import intervals, ordered
 
 
 def rolling_baseline_keyed(df: DataFrame, keys: Sequence[str], value: str = "value", ts: str = "ts", window_us: int = 86_400_000_000, q: float = 0.01, min_periods: int = 1, center: bool = True) -> DataFrame:
@@ -118,7 +119,12 @@ def thoning(df: DataFrame, keys: Sequence[str], value: str = "value", ts: str =
 
 
 def runs(df: DataFrame, flag: Column, ts: str = "ts", keys: Sequence[str] = (), min_periods: int = 3, tail: str = "INTERVAL '11:59:59' HOUR TO SECOND") -> DataFrame:
-    """(event_id, start, end) of at least min_periods flagged rows in a row; a null flag is false."""
+    """(event_id, start, end) of at least min_periods flagged rows in a row; a null flag is false. Without keys the series
+    is scanned by ranges of time."""
+    if not keys:
+        long = ordered.flagged_runs(df, flag, ts).filter(F.col("n") >= min_periods)
+        found = ordered.numbered(long.select("start", (F.col("last") + F.expr(tail)).alias("end")), "start", "event_id")
+        return found.select("event_id", "start", "end")
     w = Window.partitionBy(*keys).orderBy(ts)
     on = df.withColumn("_on", F.coalesce(flag, F.lit(False)))
     turn = on.withColumn("_turn", F.coalesce((F.col("_on") != F.lag("_on").over(w)).cast("int"), F.lit(0)))
@@ -129,14 +135,20 @@ def runs(df: DataFrame, flag: Column, ts: str = "ts", keys: Sequence[str] = (),
 
 
 def filter_events(df: DataFrame, events: DataFrame, ts: str = "ts", keep: str = "outside") -> DataFrame:
-    """Rows outside (or inside) all [start, end]; intervals are spread over days, so that the join is by day."""
-    days = events.select("start", "end", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("_day"))
-    at = (F.to_date(F.col(ts)) == days["_day"]) & F.col(ts).between(days["start"], days["end"])
-    return df.join(days, at, {"outside": "left_anti", "inside": "left_semi"}[keep])
+    """Rows outside (or inside) all [start, end], whatever their lengths; rows without a time lie outside."""
+    return intervals.within(df, events, ts, {"outside": False, "inside": True}[keep])
 
 
 def asof(left: DataFrame, right: DataFrame, on: str, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """left with the latest values of right at or before `on` (of each key): one union and one window."""
+    """left with the latest values of right at or before `on` (of each key): one union and one window.
+
+    Without keys distinct places of left are looked up by ranges; rows without a place get nulls."""
+    if not keys:
+        spots = left.select(F.col(on).alias("_at")).filter("_at IS NOT NULL").distinct().withColumn("_side", F.lit(1))
+        known = right.filter(F.col(on).isNotNull()).select(F.col(on).alias("_at"), F.struct(*values).alias("_v"), F.lit(0).alias("_side"))
+        both = spots.unionByName(known, allowMissingColumns=True)
+        got = ordered.carried_last(both, ["_at", "_side"], F.col("_v"), "_found").filter("_side = 1").select("_at", "_found")
+        return left.join(got, F.col(on) == F.col("_at"), "left").select(*[left[c] for c in left.columns], *[F.col(f"_found.{v}").alias(v) for v in values])
     a = left.withColumn("_side", F.lit(1))
     b = right.select(*keys, on, F.struct(*values).alias("_v"), F.lit(0).alias("_side"))
     w = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
@@ -147,18 +159,21 @@ def asof(left: DataFrame, right: DataFrame, on: str, values: Sequence[str], keys
 def nearest_value(left: DataFrame, right: DataFrame, on: str, right_on: str, right_key: str) -> DataFrame:
     """left with the key and value of right that is nearest along one axis (ties to the smaller key).
 
-    The nearest below and above come from two ordered windows over the union, not from all pairs.
+    The nearest below and above come from two ordered scans by ranges over the distinct places of both, not from all
+    pairs. Rows without a place get nulls, and so do all if right has none.
     """
-    a = left.withColumn("_x", F.col(on)).withColumn("_side", F.lit(1))
-    b = right.groupBy(F.col(right_on).alias("_x")).agg(F.min(right_key).alias("_k")).withColumn("_side", F.lit(0))
+    a = left.select(F.col(on).alias("_x")).filter("_x IS NOT NULL").distinct().withColumn("_side", F.lit(1))
+    b = right.filter(F.col(right_on).isNotNull()).groupBy(F.col(right_on).alias("_x")).agg(F.min(right_key).alias("_k")).withColumn("_side", F.lit(0))
     both = a.unionByName(b, allowMissingColumns=True)
     pair = F.when(F.col("_side") == 0, F.struct(F.col("_x").alias("x"), F.col("_k").alias("k")))
-    down, up = Window.orderBy("_x", "_side"), Window.orderBy(F.desc("_x"), "_side")
-    seen = both.withColumn("_lo", F.last(pair, True).over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.last(pair, True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    at = ordered.range_of(both, "_x")
+    seen = ordered.carried_last(both, ["_x", "_side"], pair, "_lo", at=at)
+    seen = ordered.carried_last(seen, ["_x", "_side"], pair, "_hi", down=True, at=at)
     dist = lambda c: F.abs(F.col(f"{c}.x") - F.col("_x"))
     low = F.col("_hi").isNull() | (dist("_lo") < dist("_hi")) | ((dist("_lo") == dist("_hi")) & (F.col("_lo.k") <= F.col("_hi.k")))
     best = F.when(F.col("_lo").isNotNull() & low, F.col("_lo")).otherwise(F.col("_hi"))
-    return seen.filter("_side = 1").withColumn("_b", best).select(*left.columns, F.col("_b.k").alias("nearest_key"), F.col("_b.x").alias("nearest_value"))
+    found = seen.filter("_side = 1").select("_x", best.alias("_b"))
+    return left.join(found, F.col(on) == F.col("_x"), "left").select(*[left[c] for c in left.columns], F.col("_b.k").alias("nearest_key"), F.col("_b.x").alias("nearest_value"))
 
 
 def interpolate_profiles(df: DataFrame, keys: Sequence[str], values: Sequence[str], height: str = "height", start: float = 1289, stop: float = 5000, interval: float = 10) -> DataFrame:

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import timeops
 
-#: microseconds of the finest stretch, how much wider each level is, and levels: the coarsest is some 500 years
-FINEST, WIDER, LEVELS = 60_000_000, 16, 8
+#: microseconds of the finest stretch, how much wider each level is, and levels: the coarsest is some 30 years
+FINEST, WIDER, LEVELS = 60_000_000, 64, 5
 
 
 def pieces(intervals: DataFrame, start: str = "start", end: str = "end") -> tuple[list[DataFrame], DataFrame]:
     """([(stretch) of each level that an interval covers wholly], (stretch, lo, hi) of the ends), both ends included.
 
-    Intervals with a null bound, or that end before they start, have no pieces.
+    Intervals with a null bound, or that end before they start, have no pieces. Exact up to the year 2255 (2^53 microseconds).
     """
     src = intervals.select(timeops.micros(start).alias("lo"), timeops.micros(end).alias("hi")).filter("hi >= lo").distinct()
     out = []
@@ -35,7 +35,7 @@ def pieces(intervals: DataFrame, start: str = "start", end: str = "end") -> tupl
             left, right = F.when(up < down, up * WIDER).otherwise(stop), F.when(up < down, down * WIDER).otherwise(stop)
         run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
         covered = F.concat(run(first, F.least(stop, left)), run(F.greatest(first, right), stop))
-        out.append(src.select(F.explode(covered).alias("stretch")).distinct())
+        out.append(src.select(F.explode(covered).alias("stretch")))
     ends = src.select("lo", "hi", F.explode(F.array_distinct(F.array(F.floor(F.col("lo") / FINEST), F.floor(F.col("hi") / FINEST)))).alias("stretch"))
     return out, ends
 

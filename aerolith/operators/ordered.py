@@ -11,22 +11,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ranges, at most
 PARTS = 256
 
 
-def range_of(df: DataFrame, on: str, parts: int | None = None) -> Column:
-    """The range (0, 1, ...) of a value of `on`, by approximate quantiles: one job, with `parts` values for the driver.
-    Nulls are in the first range."""
+def cuts_of(df: DataFrame, on: str, parts: int | None = None) -> list:
+    """Where the ranges of `on` begin but the first, by approximate quantiles: one job, with a few values for the driver."""
     n = min(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), PARTS)
     shares = [(i + 1) / n for i in range(n - 1)]
-    found = df.agg(F.percentile_approx(on, shares, 100 * n).alias("s")).first()["s"] if shares else None
-    cuts = sorted(set(found or []))
-    if not cuts:
-        return F.lit(0)
-    kind = df.schema[on].dataType
-    return F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= F.col(on)))
+    return sorted(set(df.agg(F.percentile_approx(on, shares, 100 * n).alias("s")).first()["s"] or [])) if shares else []
+
+
+def range_by(cuts: list, on: str, kind: T.DataType) -> Column:
+    """The range (0, 1, ...) of a value; nulls are in the first one."""
+    return F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= F.col(on))) if cuts else F.lit(0)
+
+
+def range_of(df: DataFrame, on: str, parts: int | None = None) -> Column:
+    return range_by(cuts_of(df, on, parts), on, df.schema[on].dataType)
 
 
 def carried_last(df: DataFrame, order: Sequence[str], value: Column, into: str, down: bool = False, at: Column | None = None) -> DataFrame:
@@ -52,21 +56,22 @@ def carried_last(df: DataFrame, order: Sequence[str], value: Column, into: str,
 def numbered(df: DataFrame, order: str, into: str, at: Column | None = None) -> DataFrame:
     """df with row numbers from 0 in the order."""
     src = df.withColumn("_range", at if at is not None else range_of(df, order))
-    sizes = src.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    local = src.withColumn("_no", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    # whole rows are asked for, so that both uses share one shuffle
+    sizes = local.groupBy("_range").agg(F.max(F.struct("_no", *df.columns))["_no"].alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return src.withColumn("_no", local).join(F.broadcast(offsets), "_range").select(*df.columns, (F.col("_before") + F.col("_no")).cast("bigint").alias(into))
+    return local.join(F.broadcast(offsets), "_range").select(*df.columns, (F.col("_before") + F.col("_no") - 1).cast("bigint").alias(into))
 
 
-def flagged_runs(df: DataFrame, flag: Column, ts: str) -> DataFrame:
+def flagged_runs(df: DataFrame, flag: Column, ts: str, cuts: list) -> DataFrame:
     """(n, start, last) of the runs of flagged rows in the order of ts; a null flag is false.
 
     Runs are found in each range. Only the first and last run of a range can go on in another one: these, two a range at
     most, are put together by one small scan.
     """
     src = df.select(F.col(ts).alias("_ts"), F.coalesce(flag, F.lit(False)).alias("_on"))
-    src = src.withColumn("_range", range_of(src, "_ts"))
+    src = src.withColumn("_range", range_by(cuts, "_ts", df.schema[ts].dataType))
     w = Window.partitionBy("_range").orderBy("_ts")
     turn = src.withColumn("_turn", F.coalesce((F.col("_on") != F.lag("_on").over(w)).cast("int"), F.lit(0)))
     numbered_runs = turn.withColumn("_run", F.sum("_turn").over(w))

@@ -122,8 +122,10 @@ def runs(df: DataFrame, flag: Column, ts: str = "ts", keys: Sequence[str] = (),
     """(event_id, start, end) of at least min_periods flagged rows in a row; a null flag is false. Without keys the series
     is scanned by ranges of time."""
     if not keys:
-        long = ordered.flagged_runs(df, flag, ts).filter(F.col("n") >= min_periods)
-        found = ordered.numbered(long.select("start", (F.col("last") + F.expr(tail)).alias("end")), "start", "event_id")
+        cuts = ordered.cuts_of(df, ts)
+        long = ordered.flagged_runs(df, flag, ts, cuts).filter(F.col("n") >= min_periods)
+        at = ordered.range_by(cuts, "start", df.schema[ts].dataType)
+        found = ordered.numbered(long.select("start", (F.col("last") + F.expr(tail)).alias("end")), "start", "event_id", at)
         return found.select("event_id", "start", "end")
     w = Window.partitionBy(*keys).orderBy(ts)
     on = df.withColumn("_on", F.coalesce(flag, F.lit(False)))

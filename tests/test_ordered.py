@@ -114,4 +114,4 @@ def test_pieces_grow_with_the_logarithm(spark):
         rows.append(sum(p.count() for p in levels))
         covered = sum(p.count() * intervals.FINEST * intervals.WIDER**k for k, p in enumerate(levels))
         assert 0 <= (days * 86_400 - 4) * 10**6 + 1 - covered < 2 * intervals.FINEST  # pieces don't overlap
-    assert rows[2] < 2 * 15 * intervals.LEVELS and rows[2] - rows[1] <= 60
+    assert rows[2] < 2 * intervals.WIDER * intervals.LEVELS and rows[2] - rows[1] <= 2 * intervals.WIDER

@@ -74,7 +74,8 @@ def regrid(grid: DataFrame, lats: DataFrame, lons: DataFrame, method: str = "con
     """Values on the cells of new centres. lats and lons: (lat, lo, hi) and (lon, lo, hi) of the new cells.
 
     conservative: area means, null-propagating; conservative_normed: over cells with values; nearest: the nearest source;
-    nearest_d2s: each source goes to its nearest new cell, whose value is their sum (cells without a source have no row).
+    nearest_d2s: each source goes to its nearest new cell, whose value is their sum (cells without a source have no row);
+    patch: second-degree fits around the four nearest centres, blended (null if one of their values is; see _patch).
     """
     src_lat, src_lon = bounds(grid.select("lat").distinct(), "lat"), bounds(grid.select("lon").distinct(), "lon")
     if method == "nearest":
@@ -87,6 +88,8 @@ def regrid(grid: DataFrame, lats: DataFrame, lons: DataFrame, method: str = "con
         return _nearest_d2s(grid, src_lat, src_lon, lats, lons, coords, value)
     if method == "bilinear":
         return _bilinear(grid, lats, lons, coords, value)
+    if method == "patch":
+        return _patch(grid, lats, lons, coords, value)
     if method not in ("conservative", "conservative_normed"):
         raise ValueError(f"unknown method {method}")
     wy = _overlaps(src_lat, lats, "lat", 1.0, True).select(F.col("s").alias("lat"), F.col("d").alias("new_lat"), F.col("w").alias("wy"), F.col("full").alias("fy"))
@@ -122,6 +125,45 @@ def _bilinear(grid: DataFrame, lats: DataFrame, lons: DataFrame, coords: Sequenc
     return each.groupBy(*coords, "new_lat", "new_lon").agg(F.sum(F.col("w_lat") * F.col("w_lon") * F.col(value)).alias(value)).select(*coords, F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon"), value)
 
 
+def _patch_axis(new: DataFrame, old: DataFrame, col: str) -> DataFrame:
+    """(new, old, t, a0, a1, a2): how three old centres around each of the two that bracket a new one share in the fits of
+    degree 0, 1 and 2 along this axis. At the ends the three centres are the outermost ones.
+
+    On three places the fit of degree 2 goes through all of them (Lagrange's weights), that of degree 0 is their mean and
+    that of degree 1 the line by moments; what the higher ones add is the weight of their degree.
+    """
+    ranked = old.select(F.col(col).alias("x")).distinct().withColumn("i", F.row_number().over(Window.orderBy("x")))
+    size = ranked.agg(F.max("i").alias("n"))  # one row
+    both = ranked.select("x", F.lit(0).alias("k"), "i").unionByName(new.select(F.col(col).alias("x"), F.lit(1).alias("k"), F.lit(None).cast("int").alias("i")).distinct())
+    down, up = Window.orderBy("x", "k"), Window.orderBy(F.desc("x"), "k")
+    at = F.when(F.col("k") == 0, F.struct("x", "i"))
+    span = both.withColumn("lo", F.last(at, True).over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.last(at, True).over(up.rowsBetween(Window.unboundedPreceding, 0))).filter("k = 1 AND lo IS NOT NULL AND hi IS NOT NULL")
+    share = F.coalesce(F.try_divide(F.col("x") - F.col("lo.x"), F.col("hi.x") - F.col("lo.x")), F.lit(0.0))
+    ends = F.explode(F.array(F.struct(F.col("lo.i").alias("i"), (1 - share).alias("t")), F.struct(F.col("hi.i").alias("i"), share.alias("t"))))
+    node = span.select(F.col("x").alias("p"), ends.alias("e")).filter("e.t > 0").crossJoin(F.broadcast(size)).filter("n > 2")
+    middle = F.greatest(F.lit(2), F.least(F.col("n") - 1, F.col("e.i")))
+    three = node.select("p", "e.t", F.col("e.i").alias("node"), F.explode(F.array(middle - 1, middle, middle + 1)).alias("i")).join(ranked, "i")
+    three = three.withColumn("xs", F.collect_list("x").over(Window.partitionBy("p", "node")))
+    mean = (F.get("xs", F.lit(0)) + F.get("xs", F.lit(1)) + F.get("xs", F.lit(2))) / 3
+    moment = F.aggregate("xs", F.lit(0.0), lambda a, x: a + (x - mean) ** 2)
+    lagrange = F.aggregate("xs", F.lit(1.0), lambda a, x: F.when(x == F.col("x"), a).otherwise(a * (F.col("p") - x) / (F.col("x") - x)))
+    a0, a1 = F.lit(1 / 3), (F.col("x") - mean) * (F.col("p") - mean) / moment
+    return three.select(F.col("p").alias(f"new_{col}"), F.col("x").alias(col), F.struct("t", a0.alias("a0"), a1.alias("a1"), (lagrange - a0 - a1).alias("a2")).alias(f"w_{col}"))
+
+
+def _patch(grid: DataFrame, lats: DataFrame, lons: DataFrame, coords: Sequence[str], value: str) -> DataFrame:
+    """Each of the four centres around a new one has a least-squares fit 1, x, y, x2, xy, y2 over the 3 * 3 centres around it;
+    the fits are blended as bilinear interpolation blends values. On a product of axes such a fit is a sum of products of
+    the axes' own fits. Needs three centres an axis; new centres beyond the outermost ones have no row."""
+    a, b = _patch_axis(lats, grid, "lat"), _patch_axis(lons, grid, "lon")
+    each = grid.join(a, "lat").join(b, "lon")
+    u, v = F.col("w_lat"), F.col("w_lon")
+    w = u["t"] * v["t"] * (u["a0"] * (v["a0"] + v["a1"] + v["a2"]) + u["a1"] * (v["a0"] + v["a1"]) + u["a2"] * v["a0"])
+    blend = u["t"] * v["t"] / 9  # adds up to 1 if all values are there
+    agg = each.groupBy(*coords, "new_lat", "new_lon").agg(F.sum(w * F.col(value)).alias("_s"), F.sum(F.when(F.col(value).isNotNull(), blend)).alias("_w"))
+    return agg.select(*coords, F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon"), F.when(F.col("_w") > 1 - 1e-9, F.col("_s")).alias(value))
+
+
 def resample(grid: DataFrame, resolution: float, method: str = "conservative", coords: Sequence[str] = ("time",)) -> DataFrame:
     """Regrid to square cells over the grid's outer bounds."""
     edges = [bounds(grid.select(c).distinct(), c).agg(F.min("lo"), F.max("hi")).first() for c in ("lon", "lat")]

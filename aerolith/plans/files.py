@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import nearest, overlap
+from ..operators import grid, nearest, overlap, polygons
 from ..sources import chunks, inventories, names, netcdf, shared
 from .catalog import query, table
 
@@ -152,3 +152,36 @@ def _(spark, d):
     out = overlap.reproject_conservative(o, inventories.projection("forecast_lambert"), 20000.0, 20000.0, 0.15, ["sector"], "conservative")
     full = 0.15 * (F.sin(F.radians(F.col("lat") + 0.075)) - F.sin(F.radians(F.col("lat") - 0.075)))
     return out.groupBy("sector").agg(F.round(F.sum(F.col("value") * full) / 1000, 4).alias("amount"))
+
+
+@query("g5_polygons", """
+WITH r AS (SELECT n_nationkey AS k, p, (n_nationkey % 5) * 2000.0::DOUBLE + 311 AS cx, (n_nationkey // 5) * 2000.0::DOUBLE + 713 AS cy, CASE p WHEN 0 THEN 1300.0::DOUBLE WHEN 1 THEN 600.0::DOUBLE ELSE 150.0::DOUBLE END AS s FROM nation, (SELECT unnest(range(3)) AS p)),
+ c AS (SELECT k, p, i, cx + s * CASE i WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN -0.875 ELSE 0.125 END::DOUBLE AS x, cy + s * CASE i WHEN 0 THEN 0.125 WHEN 1 THEN 1.0 WHEN 2 THEN -0.25 ELSE -0.75 END::DOUBLE AS y FROM r, (SELECT unnest(range(4)) AS i)),
+ e AS (SELECT a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM c a JOIN c b ON a.k = b.k AND a.p = b.p AND b.i = (a.i + 1) % 4),
+ q AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS lon, CAST(c_custkey * 53 % 1000 AS DOUBLE) * 10 AS lat FROM customer)
+SELECT c_custkey, k AS n_nationkey FROM q, e WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1""")
+def _(spark, d):
+    """Customers in the nations' areas, which overlap, with a hole each and an island in it."""
+    corners = ((1.0, 0.125), (0.25, 1.0), (-0.875, -0.25), (0.125, -0.75))
+    cx, cy = (F.col("n_nationkey") % 5) * 2000.0 + 311, F.floor(F.col("n_nationkey") / 5) * 2000.0 + 713
+    rings = F.array(*[F.array(*[F.struct((cx + s * a).alias("x"), (cy + s * b).alias("y")) for a, b in corners]) for s in (1300.0, 600.0, 150.0)])
+    areas = table(spark, d, "nation").select("n_nationkey", rings.alias("rings"))
+    places = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("lon"), ((F.col("c_custkey") * 53 % 1000).cast("double") * 10).alias("lat"))
+    return polygons.points_in_polygons(places, areas, "n_nationkey").select("c_custkey", "n_nationkey")
+
+
+@query("g13_regrid_patch", """
+WITH s AS (SELECT o_orderpriority AS sector, CAST(count(*) % 7 AS DOUBLE) AS a, CAST(count(*) % 5 AS DOUBLE) AS b FROM orders GROUP BY 1),
+ g AS (SELECT max(o_orderkey % 18)::DOUBLE AS y1, max(o_custkey % 36)::DOUBLE AS x1 FROM orders),
+ n AS (SELECT sector, a, b, 0.4::DOUBLE + i * 1.3::DOUBLE AS lat, 0.7::DOUBLE + j * 2.1::DOUBLE AS lon FROM s, (SELECT unnest(range(13)) AS i), (SELECT unnest(range(16)) AS j))
+SELECT sector, round(lat, 2) AS lat, round(lon, 2) AS lon, round(a + b * lat + 0.5::DOUBLE * lon * lat - 0.25::DOUBLE * lat * lat + a * lon * lon, 5) AS value FROM n, g WHERE lat <= y1 AND lon <= x1""")
+def _(spark, d):
+    """Fields of second degree over the orders' cells, whose factors follow from the number of orders: kept exactly."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("sector"), (F.col("o_orderkey") % 18).cast("double").alias("lat"), (F.col("o_custkey") % 36).cast("double").alias("lon"))
+    n = F.count(F.lit(1))
+    factors = o.groupBy("sector").agg((n % 7).cast("double").alias("a"), (n % 5).cast("double").alias("b"))
+    cells = o.select("lat").distinct().crossJoin(o.select("lon").distinct()).crossJoin(factors)  # the grid itself
+    field = cells.withColumn("value", F.col("a") + F.col("b") * F.col("lat") + 0.5 * F.col("lon") * F.col("lat") - 0.25 * F.col("lat") ** 2 + F.col("a") * F.col("lon") ** 2)
+    axis = lambda k, first, step, name: spark.range(k).select((first + F.col("id") * step).alias(name))
+    out = grid.regrid(field, axis(13, 0.4, 1.3, "lat"), axis(16, 0.7, 2.1, "lon"), "patch", ["sector"])
+    return out.select("sector", F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"), F.round("value", 5).alias("value"))

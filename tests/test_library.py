@@ -80,7 +80,7 @@ def test_regrid_keeps_the_integral(spark):
     line = grid.regrid(src, *cells, "bilinear", ()).filter("abs(lat) <= 75 AND abs(lon) <= 165").withColumn("want", F.col("lat") + F.col("lon") / 7 + 300)
     assert line.filter("abs(value - want) > 1e-9").count() == 0
     with pytest.raises(ValueError):
-        grid.regrid(src, *cells, "patch", ())
+        grid.regrid(src, *cells, "spline", ())
 
 
 def test_clip_is_idempotent_and_exclusive(spark):

@@ -185,3 +185,30 @@ def _(spark, d):
     axis = lambda k, first, step, name: spark.range(k).select((first + F.col("id") * step).alias(name))
     out = grid.regrid(field, axis(13, 0.4, 1.3, "lat"), axis(16, 0.7, 2.1, "lon"), "patch", ["sector"])
     return out.select("sector", F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"), F.round("value", 5).alias("value"))
+
+
+@query("w4_stream_runs", """
+WITH m AS (SELECT epoch_ms(max(ts)) * 1000 - 7200000000 AS now FROM events),
+ e AS (SELECT user_id, epoch_us(ts) AS t, bool_or(value > 50) AS flag FROM events, m WHERE epoch_us(ts) <= now GROUP BY ALL),
+ l AS (SELECT *, lag(t) OVER w AS before, lag(flag) OVER w AS held FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+ n AS (SELECT *, sum(CASE WHEN flag AND held AND t - before <= 604800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t) AS run FROM l),
+ r AS (SELECT user_id, run, min(t) AS a, max(t) AS b, count(*) AS n FROM n WHERE flag GROUP BY ALL),
+ c AS (SELECT r.*, now, (SELECT min(t) FROM e WHERE e.user_id = r.user_id AND e.t > r.b) AS next FROM r, m)
+SELECT user_id, make_timestamp(a) AS start, make_timestamp(b) + INTERVAL 43199 SECOND AS "end", n FROM c WHERE n >= 3 AND (next IS NOT NULL OR now - b > 604800000000)""")
+def _(spark, d):
+    """The users' runs of high values, found by a stream over the events and read from what it has written."""
+    from ..streaming import runs
+
+    one = table(spark, d, "events").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    path = folder(spark, "stream")
+    one.write.parquet(f"{path}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", runs.PROVIDER)
+    try:
+        stream = spark.readStream.schema(one.schema).parquet(f"{path}/in")
+        found = runs.stream_runs(stream, F.col("value") > 50, ["user_id"], gap="7 days")
+        q = found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(f"{path}/out").select("user_id", "start", "end", "n")

@@ -29,7 +29,7 @@ ROWS = 512
 BATCH_IDS = 1 << 20
 
 TOKENS = "doc bigint, curve bigint, n bigint, ids binary"
-SEQUENCES = "sequence_id bigint, length int, ids array<int>, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
+SEQUENCES = "sequence_id bigint, length int, ids binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
 
 
 def projection() -> np.ndarray:
@@ -150,7 +150,7 @@ class Stream:
 
     def take(self) -> pa.RecordBatch:
         out, self.out = self.out, []
-        ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for _, x, _ in out)]).astype(np.int32)), pa.array(np.concatenate([x for _, x, _ in out]).astype(np.int32)))
+        ids = pa.array([x.tobytes() for _, x, _ in out], pa.binary())
         flat = [p for *_, pieces in out for p in pieces]
         names = ["doc_id", "start", "length", "doc_tokens"]
         fields = pa.StructArray.from_arrays([pa.array([p[i] for p in flat], pa.int64()) for i in range(4)], names)
@@ -161,8 +161,8 @@ class Stream:
 def pack_documents(df: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
     """Write sequences of `length` ids (a power of two, or padding is needed at the ends) as Parquet; returns the path.
 
-    A row has sequence_id (ascending along the curve within a file, unique, with gaps between files), length, ids, and the
-    pieces of documents in it, which follow each other without gaps. A null text is a document of the end id alone.
+    A row has sequence_id (ascending along the curve within a file, unique, with gaps between files), length, ids (little-
+    endian bytes, of 2 or 4 a token by the size of the vocabulary; see sequence_ids), and the pieces of documents in it, which follow each other without gaps. A null text is a document of the end id alone.
     Null and repeated ids stay documents of their own. An empty table gives no sequences. Other columns are not read.
     The ids are written once before they are sorted, so that texts are encoded once; that table is dropped at the end.
     """
@@ -192,12 +192,32 @@ def pack_documents(df: DataFrame, tokenizer_path: str, length: int = 1024, end_i
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """sequence_id, length, ids and pieces of the packed sequences."""
+    """sequence_id, length, ids (bytes) and pieces of the packed sequences."""
     return spark.read.schema(SEQUENCES).parquet(path)
 
 
+def ids_of(column: pa.Array, length: np.ndarray) -> np.ndarray:
+    """The ids of a batch of sequences, one after the other; their width follows from the bytes."""
+    total = int(length.sum())
+    offs = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]] if total else np.zeros(0, np.uint8)
+    return raw.view("<u2" if len(raw) == 2 * total else "<u4")
+
+
+def sequence_ids(sequences: DataFrame) -> DataFrame:
+    """The sequences with their ids as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length = b.column(1).to_numpy()
+            arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ids_of(b.column(2), length).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), arrays, b.column(3)], b.schema.names)
+
+    return sequences.mapInArrow(run, SEQUENCES.replace("ids binary", "ids array<int>"))
+
+
 def padded(ids: str = "ids", to: int = 1024, pad_id: int = 0):
-    """The ids of a sequence, padded to a length unless there are a power of two."""
+    """The ids of a sequence (an array), padded to a length unless they are a power of two."""
     c, n = F.col(ids), F.size(ids)
     return F.when(F.bit_count(n) <= 1, c).otherwise(F.concat(c, F.array_repeat(F.lit(pad_id), F.lit(to) - n)))
 
@@ -208,8 +228,8 @@ def piece_digests(sequences: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, pieces = b.column(1), b.column(2)
-            flat, at = ids.flatten().to_numpy().astype("<u4"), np.diff(ids.offsets.to_numpy())
+            pieces, at = b.column(3), b.column(1).to_numpy().astype(np.int64)
+            flat = ids_of(b.column(2), at).astype("<u4")
             p = pieces.flatten()
             many = np.diff(pieces.offsets.to_numpy())
             size = p.field("length").to_numpy()
@@ -219,4 +239,4 @@ def piece_digests(sequences: DataFrame) -> DataFrame:
             crc = np.array([zlib.crc32(flat[i : i + k].data) for i, k in zip(before.tolist(), size.tolist(), strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays([p.field("doc_id"), p.field("start"), p.field("length"), pa.array(crc), p.field("doc_tokens"), b.column(0).take(pa.array(seq)), pa.array(before - first[seq])], names)
 
-    return sequences.select("sequence_id", "ids", "pieces").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return sequences.select("sequence_id", "length", "ids", "pieces").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

@@ -160,7 +160,7 @@ def encoded(rows):
 
 
 def test_packing(spark):
-    from aerolith.llm.packing import pack_documents, padded, piece_digests, read_sequences
+    from aerolith.llm.packing import pack_documents, padded, piece_digests, read_sequences, sequence_ids
 
     rng = np.random.default_rng(4)
     words = ["river", "stone", "Über", "cloud", "naïve", "x", "<|endoftext|>", "  ", "\n", "7"]
@@ -169,7 +169,7 @@ def test_packing(spark):
     path = pack_documents(df, P.path("byte_bpe_50k.json"))
     want = encoded(rows)
     check_pieces(piece_digests(read_sequences(spark, path)).collect(), want)
-    for r in read_sequences(spark, path).select("ids", padded().alias("all"), "pieces", "length").collect():
+    for r in sequence_ids(read_sequences(spark, path)).select("ids", padded().alias("all"), "pieces", "length").collect():
         assert len(r["ids"]) == r["length"] and r["all"][: r["length"]] == r["ids"]
         assert r["ids"] == [x for p in r["pieces"] for x in want[p["doc_id"]][p["start"] : p["start"] + p["length"]]]
     few = spark.createDataFrame([([1, 2, 3],), ([1, 2],)], "ids array<int>").select(padded(to=8).alias("p")).collect()

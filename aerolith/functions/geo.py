@@ -76,6 +76,8 @@ class Lambert:
     lon0: float = 262.5
     radius: float = 6371229.0
     e: float = 0.0
+    x0: float = 0.0
+    y0: float = 0.0
 
     def _conformal(self, lat: float) -> float:
         """tan of half the conformal colatitude."""
@@ -99,13 +101,14 @@ class Lambert:
             t = t * F.pow((1 + s) / (1 - s), F.lit(self.e / 2))
         rho = self.radius * f * F.pow(t, F.lit(n))
         a = n * F.radians(wrap_lon(_c(lon) - self.lon0))
-        return rho * F.sin(a), rho0 - rho * F.cos(a)
+        x, y = rho * F.sin(a), rho0 - rho * F.cos(a)
+        return (x + self.x0, y + self.y0) if self.x0 or self.y0 else (x, y)
 
     def inverse(self, x, y) -> tuple[Column, Column]:
         """The latitude by the series of the conformal one up to e^8: right to some 1e-9 degrees."""
         n, f, rho0 = self._cone()
-        dy = rho0 - _c(y)
-        rho = math.copysign(1, n) * F.sqrt(_c(x) ** 2 + dy**2)
+        x, dy = (_c(x) - self.x0, rho0 + self.y0 - _c(y)) if self.x0 or self.y0 else (_c(x), rho0 - _c(y))
+        rho = math.copysign(1, n) * F.sqrt(x**2 + dy**2)
         lat = math.pi / 2 - 2 * F.atan(F.pow(rho / (self.radius * f), F.lit(1 / n)))
         if self.e:
             e2, e4, e6, e8 = (self.e**i for i in (2, 4, 6, 8))
@@ -113,7 +116,7 @@ class Lambert:
             chi = lat
             for i, c in enumerate(terms):
                 lat = lat + c * F.sin(2 * (i + 1) * chi)
-        return F.degrees(lat), wrap_lon(self.lon0 + F.degrees(F.atan2(_c(x), dy)) / n)
+        return F.degrees(lat), wrap_lon(self.lon0 + F.degrees(F.atan2(x, dy)) / n)
 
 
 def inside_polygon(x, y, ring: list[tuple[float, float]]) -> Column:

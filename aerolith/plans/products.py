@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, physics, timeops
+from ..functions import geo, physics, projections, timeops
 from ..operators import aggregates, grid
 from ..sources import inventories, names
 from .catalog import query, r6, rounded, table
@@ -270,3 +270,36 @@ def _(spark, d):
 def _(spark, d):
     zone = timeops.convert_zone
     return table(spark, d, "events").select("event_id", zone("ts", "MST").alias("mst"), zone("ts", "UTC", "MST").alias("from_mst"), zone("ts", "America/Denver").alias("denver"), zone("ts", "UTC", "America/Denver").alias("from_denver"))
+
+
+@query("g2_projection_text", """
+WITH p AS (SELECT c_custkey, 100.0::DOUBLE * (c_custkey % 9973) - 300000 AS x, 50.0::DOUBLE * CAST(c_acctbal AS DOUBLE) AS y FROM customer),
+ k AS (SELECT sin(radians(38.5::DOUBLE)) AS n, tan(pi() / 4 + radians(38.5::DOUBLE) / 2) AS t0, cos(radians(38.5::DOUBLE)) AS c, 6371229.0::DOUBLE AS r),
+ q AS (SELECT *, c * power(t0, n) / n AS f, r * (c * power(t0, n) / n) / power(t0, n) AS rho0 FROM k)
+SELECT c_custkey, round(degrees(2 * atan(power(r * f / sqrt((x - 7000) * (x - 7000) + (rho0 - (y + 500)) * (rho0 - (y + 500))), 1 / n)) - pi() / 2), 6) AS lat,
+ round(262.5 - 360 + degrees(atan2(x - 7000, rho0 - (y + 500))) / n, 6) AS lon FROM p, q""")
+def _(spark, d):
+    """Places in a plane whose projection is given as text, and kept with the columns."""
+    text = "+proj=lcc +lat_1=38.5 +lat_2=38.5 +lat_0=38.5 +lon_0=262.5 +x_0=7000 +y_0=-500 +R=6371229 +units=m +no_defs"
+    at = table(spark, d, "customer").select("c_custkey", (F.lit(100.0) * (F.col("c_custkey") % 9973) - 300000).alias("x"), (50.0 * F.col("c_acctbal").cast("double")).alias("y"))
+    return rounded(projections.to_degrees(projections.with_projection(at, text)).select("c_custkey", "lat", "lon"), "lat", "lon")
+
+
+@query("k1_sounding_dates_of_events", """
+WITH r AS (SELECT date_trunc('day', min(ts)) AS a, max(ts) AS b FROM events)
+SELECT t AS time FROM (SELECT unnest(generate_series(a, b, INTERVAL 12 HOUR)) AS t FROM r) WHERE day(t) <> 31""")
+def _(spark, d):
+    """12-hourly times over the span of the events."""
+    first = table(spark, d, "events").agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("a"), F.max("ts").cast("timestamp_ntz").alias("b")).first()
+    return names.sounding_dates(spark, first["a"], first["b"]).filter("day(time) <> 31")
+
+
+@query("g10_grid_of_orders", """
+WITH b AS (SELECT floor(min(o_totalprice) / 1000)::DOUBLE AS x0, floor(max(o_totalprice) / 1000)::DOUBLE AS x1, min(o_custkey % 89)::DOUBLE AS y0, max(o_custkey % 89)::DOUBLE AS y1 FROM orders)
+SELECT round(y0 + 2.0::DOUBLE + 4.0::DOUBLE * i, 3) AS lat, round(x0 + 2.5::DOUBLE + 5.0::DOUBLE * j, 3) AS lon
+FROM b, (SELECT unnest(range(1000)) AS i), (SELECT unnest(range(1000)) AS j) WHERE i < ceil((y1 - y0) / 4 - 1e-9) AND j < ceil((x1 - x0) / 5 - 1e-9)""")
+def _(spark, d):
+    """Centres of a regular grid over the orders' box."""
+    y = F.col("o_custkey") % 89
+    b = table(spark, d, "orders").agg(F.floor(F.min("o_totalprice") / 1000).cast("double").alias("x0"), F.floor(F.max("o_totalprice") / 1000).cast("double").alias("x1"), F.min(y).cast("double").alias("y0"), F.max(y).cast("double").alias("y1")).first()
+    return rounded(grid.regular_grid(spark, (b["x0"], b["y0"], b["x1"], b["y1"]), 5.0, 4.0), "lat", "lon", places=3)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, physics, timeops
+from ..functions import geo, physics, projections, timeops
 from ..operators import aggregates, grid
 from . import names, readers
 
@@ -62,7 +62,9 @@ PROJECTIONS = {"epsg:4326": None, "co2_lambert": geo.Lambert(33.0, 45.0, 40.0, -
 
 
 def projection(name: str | int) -> geo.Lambert | None:
-    """The projection of a name, or of an EPSG number; None for plain latitudes and longitudes."""
+    """The projection of a name, an EPSG number, or proj4 or WKT text; None for plain latitudes and longitudes."""
+    if isinstance(name, str) and ("+proj" in name or "[" in name):
+        return projections.from_text(name)
     key = f"epsg:{name}" if isinstance(name, int) else name.lower()
     if key not in PROJECTIONS:
         raise ValueError(f"unknown projection {name!r}; known: {sorted(PROJECTIONS)}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..operators import grid, nearest, overlap, polygons
-from ..sources import chunks, inventories, names, netcdf, shared
+from ..sources import cache, chunks, inventories, names, netcdf, shared
 from .catalog import query, table
 
 
@@ -212,3 +212,20 @@ def _(spark, d):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.parquet(f"{path}/out").select("user_id", "start", "end", "n")
+
+
+@query("k7_cached_result", "SELECT user_id, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events WHERE value >= 10 GROUP BY 1")
+def _(spark, d):
+    """Sums by user, made once and then read: the second call must not make them again."""
+    results = cache.ResultCache(spark, folder(spark, "results"))
+    path = f"{d}/events.parquet"
+
+    def sums(least):
+        e = spark.read.parquet(path).filter(F.col("value") >= least)
+        return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+    def never(least):
+        raise AssertionError(f"the sums from {least} on were there")
+
+    results.get("sums", sums, {"least": 10}, [path])
+    return results.get("sums", never, {"least": 10}, [path])

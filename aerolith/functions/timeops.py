@@ -90,6 +90,14 @@ def interval_stop(start: Column | str, step: str) -> Column:
     return _c(start) + F.expr(STEPS[step])
 
 
+def in_interval(ts: Column | str, start: Column | str, stop: Column | str, closed: str = "left") -> Column:
+    """Whether a time lies between two others; closed: the ends that belong to it (left, right, both, neither)."""
+    if closed not in ("left", "right", "both", "neither"):
+        raise ValueError(f"closed can't be {closed!r}")
+    t, a, b = _c(ts), _c(start), _c(stop)
+    return (t >= a if closed in ("left", "both") else t > a) & (t <= b if closed in ("right", "both") else t < b)
+
+
 def spine(df: DataFrame, col: str, step: str, keys: list[str] | None = None) -> DataFrame:
     """All steps between the first and last value of col (of each key), so that empty bins stay."""
     keys = keys or []

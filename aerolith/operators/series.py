@@ -15,13 +15,20 @@ from . import intervals, ordered
 
 
 def rolling_baseline_keyed(df: DataFrame, keys: Sequence[str], value: str = "value", ts: str = "ts", window_us: int = 86_400_000_000, q: float = 0.01, min_periods: int = 1, center: bool = True) -> DataFrame:
-    """Quantile and then mean over (t - w/2, t + w/2] (centred) or (t - w, t] of each key, as windows."""
-    us = df.withColumn("_us", timeops.micros(ts))
+    """Quantile and then mean over (t - w/2, t + w/2] (centred) or (t - w, t] of each key, as windows.
+
+    NaN and infinite values count as missing, here as in `rolling_baseline`."""
+    us = df.withColumn("_us", timeops.micros(ts)).withColumn("_finite", _finite(value))
     lo, hi = (-(window_us // 2 - 1), window_us // 2) if center else (-(window_us - 1), 0)
     w = Window.partitionBy(*keys).orderBy("_us").rangeBetween(lo, hi)
     at = lambda c, agg: F.when(F.count(c).over(w) >= min_periods, agg)
-    low = us.withColumn("_low", at(value, F.percentile(value, F.lit(q)).over(w)))
-    return low.withColumn("baseline", at("_low", F.avg("_low").over(w))).drop("_us", "_low")
+    low = us.withColumn("_low", at("_finite", F.percentile("_finite", F.lit(q)).over(w)))
+    return low.withColumn("baseline", at("_low", F.avg("_low").over(w))).drop("_us", "_low", "_finite")
+
+
+def _finite(value: str) -> Column:
+    v = F.col(value).cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
 class _Bounds(pd.api.indexers.BaseIndexer):
@@ -50,7 +57,8 @@ def rolling_baseline(df: DataFrame, value: str = "value", ts: str = "ts", window
         p = p.sort_values("_us", kind="stable")
         t = p["_us"].to_numpy()
         windows = _Bounds(lo=np.searchsorted(t, t - back, side="right"), hi=np.searchsorted(t, t + ahead, side="right"))
-        low = p[value].astype(float).rolling(windows, min_periods=max(1, min_periods)).quantile(q)
+        v = p[value].astype(float)
+        low = v.where(np.isfinite(v)).rolling(windows, min_periods=max(1, min_periods)).quantile(q)
         ok = low.notna().to_numpy()
         total, count = np.concatenate([[0], np.cumsum(np.where(ok, low, 0))]), np.concatenate([[0], np.cumsum(ok)])
         n = count[windows.hi] - count[windows.lo]

@@ -22,8 +22,9 @@ def quality_flags(df: DataFrame, flags: tuple[str, ...] = (), col: str = "qcflag
     return df.filter(F.col(col).isin("...", *flags))
 
 
-def read_soundings(spark: SparkSession, folder: str, station: str, start=None, end=None) -> DataFrame:
-    """Profiles from STA_YYYYmmddHH.csv; times lie in (start, end]; station and time come from the name."""
+def read_soundings(spark: SparkSession, folder: str, station: str, start=None, end=None, months: tuple[int, ...] | None = None) -> DataFrame:
+    """Profiles from STA_YYYYmmddHH.csv; times lie in (start, end], in the given months; station and time come from the
+    name."""
     raw = spark.read.option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(f"{folder}/{station}_*.csv", header=True, inferSchema=False)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"([A-Z]+)_(\d{10})\.csv$", 2)
     time = F.try_to_timestamp(stem, F.lit("yyyyMMddHH")).cast("timestamp_ntz")
@@ -33,6 +34,8 @@ def read_soundings(spark: SparkSession, folder: str, station: str, start=None, e
         out = out.filter(F.col("time") > F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         out = out.filter(F.col("time") <= F.lit(end).cast("timestamp_ntz"))
+    if months is not None:
+        out = out.filter(F.month("time").isin(*months))
     return nan_to_null(out)
 
 

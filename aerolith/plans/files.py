@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import grid, nearest, overlap, polygons
+from ..operators import grid, nearest, network, overlap, polygons
 from ..sources import cache, chunks, inventories, names, netcdf, shared
 from .catalog import query, table
 
@@ -229,3 +229,48 @@ def _(spark, d):
 
     results.get("sums", sums, {"least": 10}, [path])
     return results.get("sums", never, {"least": 10}, [path])
+
+
+# ---------------------------------------------------------------- line networks
+
+_STROKES = """s AS (SELECT DISTINCT c_nationkey AS net, 4 * (c_custkey * 7919 % 2000) AS x0, 4 * (c_custkey * 104729 % 2000) AS y0,
+   4 * (c_custkey * 7919 % 2000 + CASE WHEN c_custkey % 4 <> 1 THEN 1 + c_custkey * 31 % 300 ELSE 0 END) AS x1,
+   4 * (c_custkey * 104729 % 2000 + CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 3 THEN -1 ELSE 1 END * (1 + c_custkey * 31 % 300)) AS y1 FROM customer),
+ p AS (SELECT a.*, b.x0 AS u0, b.y0 AS v0, b.x1 AS u1, b.y1 AS v1, a.x1 - a.x0 AS rx, a.y1 - a.y0 AS ry, b.x1 - b.x0 AS sx, b.y1 - b.y0 AS sy, b.x0 - a.x0 AS qx, b.y0 - a.y0 AS qy FROM s a JOIN s b ON a.net = b.net),
+ m AS (SELECT *, rx * sy - ry * sx AS d, qx * sy - qy * sx AS t, qx * ry - qy * rx AS u FROM p),
+ c AS (SELECT net, x0, y0, x1, y1, x0 + t * rx // d AS x, y0 + t * ry // d AS y FROM m WHERE (d > 0 AND t BETWEEN 0 AND d AND u BETWEEN 0 AND d) OR (d < 0 AND t BETWEEN d AND 0 AND u BETWEEN d AND 0)
+  UNION SELECT net, x0, y0, x1, y1, u0, v0 FROM m WHERE d = 0 AND u = 0 AND u0 BETWEEN x0 AND x1 AND v0 BETWEEN least(y0, y1) AND greatest(y0, y1)
+  UNION SELECT net, x0, y0, x1, y1, u1, v1 FROM m WHERE d = 0 AND u = 0 AND u1 BETWEEN x0 AND x1 AND v1 BETWEEN least(y0, y1) AND greatest(y0, y1)
+  UNION SELECT net, x0, y0, x1, y1, x0, y0 FROM s UNION SELECT net, x0, y0, x1, y1, x1, y1 FROM s),
+ l AS (SELECT net, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM c WINDOW w AS (PARTITION BY net, x0, y0, x1, y1 ORDER BY x, y)),
+ e AS (SELECT DISTINCT net, x::DOUBLE AS x0, y::DOUBLE AS y0, x2::DOUBLE AS x1, y2::DOUBLE AS y1 FROM l WHERE x2 IS NOT NULL)"""
+
+
+def strokes(spark, d):
+    """A stroke a customer, straight or diagonal; a nation is a network."""
+    key = F.col("c_custkey")
+    size, kind = 1 + key * 31 % 300, key % 4
+    x, y = key * 7919 % 2000, key * 104729 % 2000
+    ends = F.array(F.struct((4 * x).cast("double").alias("x"), (4 * y).cast("double").alias("y")), F.struct((4 * (x + F.when(kind != 1, size).otherwise(0))).cast("double").alias("x"), (4 * (y + F.when(kind == 0, 0).when(kind == 3, -size).otherwise(size))).cast("double").alias("y")))
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("net"), ends.alias("line"))
+
+
+@query("g22_split_lines", f"WITH {_STROKES} SELECT * FROM e")
+def _(spark, d):
+    """Lines split at all their crossings."""
+    return network.split_lines(strokes(spark, d), ["net"], places=0)
+
+
+@query("g22_network_parts", f"""WITH RECURSIVE {_STROKES},
+ n AS (SELECT net, x0 AS x, y0 AS y, x1 AS x2, y1 AS y2 FROM e UNION SELECT net, x1, y1, x0, y0 FROM e),
+ r AS (SELECT DISTINCT net, x, y, x AS px, y AS py FROM n UNION SELECT n.net, n.x2, n.y2, r.px, r.py FROM r JOIN n ON r.net = n.net AND r.x = n.x AND r.y = n.y)
+SELECT net, x, y, min((px, py))[1] AS part_x, min((px, py))[2] AS part_y FROM r GROUP BY net, x, y""")
+def _(spark, d):
+    """Every node with the smallest node of its connected part."""
+    return network.network_parts(network.split_lines(strokes(spark, d), ["net"], places=0), ["net"])
+
+
+@query("g22_spaced_points")
+def _(spark, d):
+    """Points along the nations' networks, 100 apart at least; the choice isn't SQL's."""
+    return network.points_along_network(strokes(spark, d), ["net"], 100.0, places=0)

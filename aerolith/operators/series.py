@@ -71,13 +71,14 @@ def rolling_baseline(df: DataFrame, value: str = "value", ts: str = "ts", window
 
 
 def phase_shift_baseline(df: DataFrame, value: str = "value", ts: str = "ts", n: int = 3600, q: float = 0.01) -> DataFrame:
-    """Baseline of each day on a 1 Hz grid: trailing and leading quantiles, their running maxima, Blackman-weighted mean."""
+    """Baseline of each day on a 1 Hz grid: trailing and leading quantiles, their running maxima, Blackman-weighted mean.
+
+    A time that occurs more than once counts with its mean; null times and times between whole seconds take no part.
+    """
     n += 1 - n % 2
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        s = p.set_index(ts)[value]
-        if s.index.has_duplicates:
-            raise ValueError("a time occurs twice")
+        s = p.groupby(ts)[value].mean()
         grid = pd.date_range(s.index.min().floor("s"), s.index.max().floor("s"), freq="1s")
         v = s.reindex(grid)
         trail = v.rolling(n, min_periods=1).quantile(q)
@@ -91,7 +92,7 @@ def phase_shift_baseline(df: DataFrame, value: str = "value", ts: str = "ts", n:
             num, den = np.convolve(np.where(ok, top, 0), w)[h : h + len(top)], np.convolve(ok.astype(float), w)[h : h + len(top)]
         return pd.DataFrame({ts: grid, "baseline": np.where(den > 1e-12, num / np.maximum(den, 1e-12), np.nan)})
 
-    day = df.select(ts, F.col(value).cast("double").alias(value), F.to_date(ts).alias("_day"))
+    day = df.select(ts, F.col(value).cast("double").alias(value), F.to_date(ts).alias("_day")).filter(F.col(ts).isNotNull())
     return day.groupBy("_day").applyInPandas(lambda p: run(p.drop(columns="_day")), f"{ts} timestamp_ntz, baseline double")
 
 
@@ -216,18 +217,23 @@ def trapezoid(df: DataFrame, keys: Sequence[str], x: str, y: Column | str) -> Da
 def valley_heat_deficit(df: DataFrame, keys: Sequence[str] = ("station", "time"), top: float = 2200.0, interval: float = 10.0) -> DataFrame:
     """MJ m-2 from regular profiles with height, temperature (degC), pressure (hPa) and elevation.
 
-    Levels that are null at all times are left out; a null at one time makes that time null.
+    Levels that are null at all times are left out; a null at one time makes that time null. A profile is gathered once, as an
+    array of its levels; which levels count is a small table beside it, asked only for profiles with a null.
     """
-    w = Window.partitionBy(*keys).orderBy("height")
+    level = F.struct("height", physics.potential_temperature("_t", "_p").alias("theta"), F.col("_p").alias("p"))
     d = df.filter(F.col("height").between(F.col("elevation"), F.lit(top))).withColumn("_t", F.col("temperature") + 273.15).withColumn("_p", F.col("pressure") * 100)
-    d = d.withColumn("_theta", physics.potential_temperature("_t", "_p"))
-    d = d.withColumn("_layer", F.lit(interval * physics.G / physics.RD) / F.ln(F.col("_p") / F.lead("_p").over(w)))
-    d = d.withColumn("_tv", (F.col("_layer") + F.lag("_layer").over(w)) / 2)
-    d = d.withColumn("_top", F.max_by("_theta", "height").over(Window.partitionBy(*keys)))
-    d = d.withColumn("_f", F.lit(physics.CP) * F.col("_p") / (physics.RD * F.col("_tv")) * (F.col("_top") - F.col("_theta")))
-    used = d.groupBy("height").agg(F.count("_f").alias("_c")).filter("_c > 0").select("height")
-    out = trapezoid(d.join(used, "height", "left_semi"), keys, "height", "_f")
-    return out.select(*keys, (F.col("integral") / 1e6).alias("VHD_MJ_m2"))
+    d = d.groupBy(*keys).agg(F.array_sort(F.collect_list(level)).alias("_a"))
+    a, z = F.col("_a"), F.col("_z")
+    layer = lambda i: F.lit(interval * physics.G / physics.RD) / F.ln(F.get(a, i)["p"] / F.get(a, i + 1)["p"])
+    deficit = lambda x, i: F.lit(physics.CP) * x["p"] / (physics.RD * (layer(i) + layer(i - 1)) / 2) * (F.get(a, F.size(a) - 1)["theta"] - x["theta"])
+    d = d.select(*keys, F.transform(a, lambda x, i: F.struct(x["height"].alias("h"), deficit(x, i).alias("f"))).alias("_z"))
+    some, none = F.filter(z, lambda x: x["f"].isNotNull()), F.filter(z, lambda x: x["f"].isNull())
+    used = d.select(F.explode(some).alias("x")).select(F.col("x.h").alias("_h")).distinct()
+    holes = d.select(*keys, F.explode(F.transform(none, lambda x: x["h"])).alias("_h")).join(used, "_h", "left_semi")
+    sums = F.aggregate(some, F.struct(F.lit(None).cast("double").alias("h"), F.lit(None).cast("double").alias("f"), F.lit(None).cast("double").alias("s")), lambda s, x: F.struct(x["h"].cast("double").alias("h"), x["f"].alias("f"), F.when(s["h"].isNull(), s["s"]).otherwise(F.coalesce(s["s"], F.lit(0.0)) + (x["f"] + s["f"]) / 2 * (x["h"] - s["h"])).alias("s")))["s"]
+    whole = d.filter(F.size(some) > 0).select(*keys, sums.alias("_s"), F.lit(False).alias("_hole"))
+    both = whole.unionByName(holes.select(*keys, F.lit(None).cast("double").alias("_s"), F.lit(True).alias("_hole")))
+    return both.groupBy(*keys).agg((F.when(~F.max("_hole"), F.max("_s")) / 1e6).alias("VHD_MJ_m2"))
 
 
 def difference_pairs(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", decay_s: float | None = None, absolute: bool = True, within_us: int | None = None) -> DataFrame:

@@ -281,6 +281,50 @@ def _(spark, d):
     return rounded(series.valley_heat_deficit(_cube(spark, d)), "VHD_MJ_m2")
 
 
+@query("vhd_of_events", """
+WITH c AS (SELECT user_id % 20 AS station, CAST(ts AS DATE) AS time, 1300.0::DOUBLE + 10 * (event_id % 30) AS height, max(CASE WHEN event_type <> 'error' THEN value END) / 10 AS temp FROM events GROUP BY ALL),
+ p AS (SELECT *, 101300 * exp(-height / 8000) AS p, temp + 273.15::DOUBLE AS t FROM c),
+ th AS (SELECT *, t * pow(1e5::DOUBLE / p, 287.05::DOUBLE / 1005.0::DOUBLE) AS th FROM p),
+ l AS (SELECT *, 10 * 9.81::DOUBLE / 287.05::DOUBLE / ln(p / lead(p) OVER w) AS layer, last(th) OVER (PARTITION BY station, time ORDER BY height ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top FROM th WINDOW w AS (PARTITION BY station, time ORDER BY height)),
+ v AS (SELECT *, (layer + lag(layer) OVER w) / 2 AS tv FROM l WINDOW w AS (PARTITION BY station, time ORDER BY height)),
+ f AS (SELECT *, 1005.0::DOUBLE * p / (287.05::DOUBLE * tv) * (top - th) AS f FROM v),
+ u AS (SELECT * FROM f WHERE height IN (SELECT height FROM f WHERE f IS NOT NULL)),
+ z AS (SELECT *, (f + lag(f) OVER w) / 2 * (height - lag(height) OVER w) AS piece FROM u WINDOW w AS (PARTITION BY station, time ORDER BY height))
+SELECT station, time, round(CASE WHEN count(*) = count(f) THEN sum(piece) END / 1e6, 6) AS "VHD_MJ_m2" FROM z GROUP BY 1, 2""")
+def _(spark, d):
+    """Profiles of all events, a station and day each, with gaps and nulls."""
+    height = F.lit(1300.0) + 10 * (F.col("event_id") % 30)
+    temp = F.max(F.when(F.col("event_type") != "error", F.col("value"))) / 10
+    c = table(spark, d, "events").groupBy((F.col("user_id") % 20).alias("station"), F.to_date("ts").alias("time"), height.alias("height")).agg(temp.alias("temperature"))
+    return rounded(series.valley_heat_deficit(c.withColumn("pressure", 1013 * F.exp(-F.col("height") / 8000)).withColumn("elevation", F.lit(1290.0))), "VHD_MJ_m2")
+
+
+def _phase_shift_sql(n: int, q: float) -> str:
+    """Blackman's weights from their formula; a row's neighbours by lags within its day."""
+    import math
+
+    h = n // 2
+    w = {k: 0.42 - 0.5 * math.cos(2 * math.pi * (k + h) / (n - 1)) + 0.08 * math.cos(4 * math.pi * (k + h) / (n - 1)) for k in range(-h, h + 1)}
+    near = {k: f"lag(top, {k}) OVER w" if k > 0 else f"lead(top, {-k}) OVER w" if k else "top" for k in w}
+    num = " + ".join(f"coalesce({near[k]}, 0) * {w[k]!r}::DOUBLE" for k in w)
+    den = " + ".join(f"(CASE WHEN {near[k]} IS NULL THEN 0 ELSE {w[k]!r}::DOUBLE END)" for k in w)
+    window = lambda f, way: f"{f} OVER (PARTITION BY day ORDER BY ts ROWS BETWEEN {f'{n - 1} PRECEDING AND CURRENT ROW' if way < 0 else f'CURRENT ROW AND {n - 1} FOLLOWING'})"
+    return f"""WITH e AS (SELECT date_trunc('second', ts)::TIMESTAMP AS ts, avg(value) AS value FROM events GROUP BY 1),
+ g AS (SELECT day, unnest(generate_series(lo, hi, INTERVAL 1 SECOND)) AS ts FROM (SELECT CAST(ts AS DATE) AS day, min(ts) AS lo, max(ts) AS hi FROM e GROUP BY 1)),
+ v AS (SELECT day, ts, value FROM g LEFT JOIN e USING (ts)),
+ b AS (SELECT day, ts, {window(f"quantile_cont(value, {q})", -1)} AS trail, {window(f"quantile_cont(value, {q})", 1)} AS ahead FROM v),
+ t AS (SELECT day, ts, greatest({window("max(ahead)", -1)}, {window("max(trail)", 1)}) AS top FROM b),
+ s AS (SELECT ts, {num} AS num, {den} AS den FROM t WINDOW w AS (PARTITION BY day ORDER BY ts))
+SELECT ts, round(num / den, 6) AS baseline FROM s WHERE den > 1e-12"""
+
+
+@query("w2_phase_shift_short", _phase_shift_sql(15, 0.1))
+def _(spark, d):
+    """Baselines of a quarter of a minute around all events."""
+    e = table(spark, d, "events").select(F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), "value").groupBy("ts").agg(F.avg("value").alias("value"))
+    return rounded(series.phase_shift_baseline(e, n=15, q=0.1).filter("baseline IS NOT NULL AND NOT isnan(baseline)"), "baseline")
+
+
 @query("w2_phase_shift")
 def _(spark, d):
     e = table(spark, d, "events").select(F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), "value").groupBy("ts").agg(F.avg("value").alias("value"))

@@ -1,6 +1,7 @@
 """Formulas, pandas parity, properties and the pinned decisions of the library's own operators."""
 
 import datetime as dt
+import itertools
 import math
 
 import numpy as np
@@ -212,3 +213,30 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("found").collect())) == sorted(map(tuple, windowed_statistics(rows, "v", "ts").collect()))
+
+
+def test_heat_deficit_of_profiles_with_nulls(spark):
+    """Against plain loops: a level that is null at all times is left out, a null elsewhere makes a time null."""
+    rows = []
+    for time in range(3):
+        for h in range(1290, 1400, 10):
+            temp = None if h == 1330 or (time == 1 and h == 1350) else 12.0 - h * 0.004 * (time + 1)
+            rows.append(("s", time, float(h), temp, 900.0 - (h - 1290) * 0.1, 1290.0))
+    df = frame(spark, rows, "station string, time int, height double, temperature double, pressure double, elevation double")
+    got = {r["time"]: r["VHD_MJ_m2"] for r in series.valley_heat_deficit(df).collect()}
+
+    def plain(time):
+        levels = [(h, None if t is None else (t + 273.15) * (1000 / p) ** (physics.RD / physics.CP), p * 100) for _, at, h, t, p, _ in rows if at == time]
+        layer = [10 * physics.G / physics.RD / math.log(a[2] / b[2]) for a, b in itertools.pairwise(levels)]
+        f = [(h, physics.CP * p / (physics.RD * (layer[i] + layer[i - 1]) / 2) * (levels[-1][1] - th)) for i, (h, th, p) in enumerate(levels) if 0 < i < len(layer) and th is not None]
+        return sum((a[1] + b[1]) / 2 * (b[0] - a[0]) for a, b in itertools.pairwise(f)) / 1e6
+
+    assert got[1] is None and all(math.isclose(got[t], plain(t), rel_tol=1e-9) for t in (0, 2))
+    assert not series.valley_heat_deficit(df.limit(0)).collect()
+
+
+def test_phase_shift_takes_the_mean_of_repeated_times(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(t, 1.0), (t, 3.0), (t + dt.timedelta(seconds=1), 2.0), (None, 9.0)]
+    out = series.phase_shift_baseline(frame(spark, rows, "ts timestamp_ntz, value double"), n=3, q=0.5).collect()
+    assert [round(r["baseline"], 9) for r in out] == [2.0, 2.0]

@@ -11,15 +11,17 @@ still share. The templates and their words are a fixed, small set.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ALNUM, LOWER, kept_columns, prefix_hash, restored, span_hash, text_slices, word_spans
+from .license_texts import LICENSES
 
 # Phrases and notices with their labels.
 PHRASES = (
@@ -88,8 +90,11 @@ TEMPLATES = (
         "mpl",
     ),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    *((" ".join(re.findall("[a-z0-9]+", text.lower())), label) for text, label in LICENSES),
 )
 THRESHOLD = 0.8
+#: so many words of evidence count half
+HALF = 5.0
 
 MATCH = "array<struct<label:string,template:int,start_word:bigint,end_word:bigint,containment:double>>"
 PLACE = "array<struct<label:string,word:bigint>>"
@@ -199,6 +204,17 @@ def block_matches(ids: np.ndarray, vocab: Vocabulary, index: Index) -> list[tupl
     return out
 
 
+def evidence(places: Column, matches: Column, phrases: tuple = PHRASES, templates: tuple = TEMPLATES) -> Column:
+    """How much stands for a license, 0 to 1: the best of all matches' containments, each times d / (d + 5) for a template of d
+    distinct words, so that a whole text says more than a notice, and a notice more than a phrase of d words, which counts
+    as fully contained."""
+    weight = lambda text: len(set(text.split())) / (len(set(text.split())) + HALF)
+    said = [F.when(F.array_contains(places.getField("label"), label), max(weight(p) for p, at in phrases if at == label)).otherwise(0.0) for label in sorted({at for _, at in phrases})]
+    weights = F.array(*[F.lit(weight(text)) for text, _ in templates])
+    best = F.array_max(F.transform(matches, lambda m: m["containment"] * F.get(weights, m["template"])))
+    return F.greatest(F.lit(0.0), *said, F.coalesce(best, F.lit(0.0)))
+
+
 def license_scan(df: DataFrame, keep: list[str], text_col: str = "text", phrases: tuple = PHRASES, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The kept columns with n_words, places (each place of a phrase) and matches (each matching block).
 

@@ -23,12 +23,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .licenses import license_scan
+    from .licenses import evidence, license_scan
 
     found = license_scan(documents(spark, sf_dir), ["doc_id"])
     base = F.array_sort(F.array_distinct(F.col("places.label")))
     every = F.array_sort(F.array_distinct(F.concat("places.label", "matches.label")))
-    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("matches.containment"), F.lit(0.0)))
     return found.select(
         "doc_id",
         "n_words",
@@ -37,7 +36,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max("places.word").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),
-        score.alias("score"),
+        evidence(F.col("places"), F.col("matches")).alias("score"),
     )
 
 

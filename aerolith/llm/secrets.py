@@ -1,6 +1,8 @@
 """Secret scans with DataFrame functions only: patterns, then corpus-wide ownership of each candidate.
 
-A candidate that at least `widely` owners hold is a copied example; one that fewer hold looks live.
+A candidate that at least `widely` owners hold is a copied example. So is one that is spread over `2 * widely` repositories or
+more, of which no owner holds more than `MAINLY`: an owner's own credential may stand in all of its repositories, and a
+few strays beside them, but isn't spread evenly. All others look live.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ KINDS = (
 )
 BASE = 3
 WIDELY = 3
+MAINLY = 0.75
 MASK = "[secret]"
 SPAN = "array<struct<start:int,kind:int,end:int,secret:string>>"
 
@@ -51,10 +54,17 @@ def find_candidates(df: DataFrame, text: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(secret, n_places, n_repos, n_owners) from (secret, owner, repo); sums first by secret, owner and repository."""
+    """(secret, n_places, n_repos, n_owners, main_share) from (secret, owner, repo): main_share is the largest owner's part of the
+    repositories. Sums first by secret, owner and repository, so that a hot candidate is a few rows afterwards."""
     each = candidates.groupBy("secret", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
     by_owner = each.groupBy("secret", "owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repos"))
-    return by_owner.groupBy("secret").agg(F.sum("n").alias("n_places"), F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+    return by_owner.groupBy("secret").agg(F.sum("n").alias("n_places"), F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), (F.max("repos") / F.sum("repos")).alias("main_share"))
+
+
+def looks_live(widely: int) -> Column:
+    """From the columns of `ownership`."""
+    spread = (F.col("n_repos") >= 2 * widely) & (F.col("main_share") <= MAINLY)
+    return (F.col("n_owners") < widely) & ~spread
 
 
 def secret_scan(df: DataFrame, keep: list[str], text_col: str = "text", owner: Column | None = None, repo: Column | None = None, widely: int = WIDELY) -> tuple[DataFrame, str]:
@@ -73,7 +83,7 @@ def secret_scan(df: DataFrame, keep: list[str], text_col: str = "text", owner: C
     scan = materialize(scan, "secrets")  # fixes the row keys and saves a second pass of the patterns
     some = scan.filter(F.size(name) > 0)
     each = some.select(F.col(row).alias("row"), F.col(own).alias("owner"), F.col(rep).alias("repo"), F.explode(name).alias("s"))
-    rated = ownership(each.select("s.secret", "owner", "repo")).select("secret", (F.col("n_owners") < widely).alias("live"))
+    rated = ownership(each.select("s.secret", "owner", "repo")).select("secret", looks_live(widely).alias("live"))
     spans = each.select("row", "s.*").join(rated, "secret").groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "secret", "live"))).alias(rated_spans))
     with_spans = some.join(spans, row).select(*cols, F.col(rated_spans).alias(name))
     none = scan.filter(F.size(name) == 0).select(*cols, F.array().cast("array<struct<start:int,kind:int,end:int,secret:string,live:boolean>>").alias(name))

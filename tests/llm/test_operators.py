@@ -777,3 +777,72 @@ def test_toxic_fit_takes_one_text_an_id(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id bigint, toxic int")
     once, more = fit_lexicon(df, labels), fit_lexicon(df.union(df).union(df), labels)
     assert once == more and " vile " in once.weights
+
+
+def written(df, folder):
+    df.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_license_query_by_brute_force(spark, tmp_path):
+    """All columns of op3 on changed license texts without a phrase, mentions, notices and prose."""
+    from aerolith.llm import licenses as L
+    from aerolith.llm.license_texts import LICENSES
+    from aerolith.llm.queries import op3_license_scan
+
+    rng = random.Random(7)
+    rows: list[str | None] = [None, "", "the apache license and the MIT License", "plain words " * 300, "Released under the MIT License."]
+    for text, _ in LICENSES:
+        for lost in (0.0, 0.08, 0.7):
+            kept = [w if rng.random() > 0.05 else w + "x" for w in text.split() if rng.random() >= lost]
+            rows.append("intro " * rng.randint(0, 400) + " ".join(kept) + " outro" * rng.randint(0, 50))
+    got = {r["doc_id"]: r for r in op3_license_scan(spark, written(docs(spark, rows), tmp_path)).collect()}
+    weight = lambda words: len(set(words)) / (len(set(words)) + 5)
+    alone = 0
+    for i, t in enumerate(rows):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+        base = [(j, lab) for p, lab in L.PHRASES for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
+        labels, score = {lab for _, lab in base}, max([weight(p.split()) for p, lab in L.PHRASES if any(b[1] == lab for b in base)] or [0.0])
+        for text, label in L.TEMPLATES:
+            words = text.split()
+            for lo in range(0, max(1, len(w)), len(words)):
+                share = len(set(words) & set(w[lo : lo + 2 * len(words)])) / len(set(words))
+                if share >= L.THRESHOLD - 1e-12:
+                    labels.add(label)
+                    score = max(score, share * weight(words))
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(base), min((j for j, _ in base), default=None), max((j for j, _ in base), default=None))
+        assert r["base_labels"] == ",".join(sorted({lab for _, lab in base})) and r["labels"] == ",".join(sorted(labels))
+        assert abs(r["score"] - score) < 1e-12
+        alone += bool(labels) and not base
+    assert alone >= 10 and got[2]["score"] < 0.4 < got[4]["score"] < 0.6 < got[5]["score"] < 1  # a mention, a notice, a whole text
+
+
+def test_secret_query_by_brute_force(spark, tmp_path):
+    """Spans and ownership: one owner's key in all its repositories is live, one spread evenly over two owners' isn't."""
+    from aerolith.llm.queries import op7_secret_scan
+
+    own, even, strays, three = "gh" + "p_" + "A1" * 20, "gh" + "p_" + "B2" * 20, "gh" + "p_" + "C3" * 20, "gh" + "p_" + "D4" * 20
+    rows = []
+    for n in range(8):
+        for k, secret in enumerate((own, even, strays, three)):
+            source = ("s0", f"s{n % 2}", "s1" if n == 0 else "s0", f"s{n % 3}")[k]
+            rows.append((n * 4 + k, f"é {secret} token = abc{n}defgh", f"l{n}", source, 0))
+    rows += [(100, None, None, None, 0), (101, "", "l0", None, 0), (102, f"{own} {own}", "l0", "s0", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in op7_secret_scan(spark, written(df, tmp_path)).collect()}
+    held: dict[str, dict[str, set]] = {}
+    for _, t, lang, source, _ in rows:
+        for s in re.findall("ghp_[A-Za-z0-9]{36,}", t or ""):
+            held.setdefault(s, {}).setdefault(source, set()).add((source, lang))
+    live = {}
+    for s, by in held.items():
+        repos = [len(x) for x in by.values()]
+        live[s] = len(by) < 3 and not (sum(repos) >= 6 and max(repos) / sum(repos) <= 0.75)
+    assert live == {own: True, even: False, strays: True, three: False}
+    for i, t, *_ in rows:
+        base = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in ASSIGN.finditer(t or "") if len(m.group(2)) >= 6]
+        more = [(m.start(), 3, f"github:{m.start()}:{m.end()}") for m in re.finditer("ghp_[A-Za-z0-9]{36,}", t or "") if live[m.group()]]
+        text = lambda x: ",".join(s for _, _, s in sorted(x))
+        assert got[i]["spans"] == text(base + more) and got[i]["base_sha256"] == hashlib.sha256(text(base).encode()).hexdigest()
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == (len(base), 0, 0)

@@ -26,8 +26,6 @@ BLOCK_CHARS = 20_000
 RESOLUTION = 1 << 30
 #: slots of a stretch at least, and of the inner runs by which a stretch is put together
 STRETCH, RUN = 1024, 64
-#: up to so many sources the table of sources is broadcast, beyond it is joined by a shuffle
-BROADCAST_SOURCES = 10_000
 EXPONENT = 0.5
 
 # The open blocks at border t as (due, release, source number), by due; h: the number of all slots.

@@ -111,7 +111,10 @@ def wind_components(speed, direction) -> tuple[Column, Column]:
 
 
 def wind_direction(u, v) -> Column:
-    return F.pmod(270 - F.degrees(F.atan2(_c(v), _c(u))), F.lit(360.0))
+    """Where wind comes from. F.atan2 drops the signs of zeros; of calm wind IEEE's atan2 keeps them: 90 if u is -0.0."""
+    u, v = _c(u), _c(v)
+    calm = (u == 0) & (v == 0) & (F.pow(u, F.lit(-1.0)) < 0)
+    return F.when(calm, F.lit(90.0)).otherwise(F.pmod(270 - F.degrees(F.atan2(v, u)), F.lit(360.0)))
 
 
 def unit_vector(u, v) -> tuple[Column, Column]:

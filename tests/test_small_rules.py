@@ -1,12 +1,15 @@
 """Edges of polar bins, closed sides of intervals, months of soundings, values that aren't finite."""
 
 import datetime as dt
+import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from aerolith.functions import timeops
+from aerolith.functions import physics, timeops
 from aerolith.operators import polar, series
+from aerolith.plans import catalog
 from aerolith.sources import readers
 
 
@@ -41,3 +44,21 @@ def test_baselines_pass_over_values_that_are_not_finite(spark):
     one = [r["baseline"] for r in series.rolling_baseline(df, q=0.5).orderBy("ts").collect()]
     keyed = [r["baseline"] for r in series.rolling_baseline_keyed(df, ["k"], q=0.5).orderBy("ts").collect()]
     assert one == pytest.approx(keyed) and one == pytest.approx([4.5] * 8)
+
+
+def test_calm_wind_keeps_the_signs_of_zeros(spark):
+    """As IEEE's atan2 has it, and DuckDB in e12_wind's SQL: of no wind at all too."""
+    pairs = [(u, v) for u in (0.0, -0.0, 3.0, -3.0) for v in (0.0, -0.0, 3.0, -3.0)]
+    df = spark.createDataFrame([*pairs, (None, 0.0), (-0.0, None)], "u double, v double")
+    got = [r[0] for r in df.select(physics.wind_direction("u", "v")).collect()]
+    assert got[:-2] == pytest.approx([(270 - math.degrees(math.atan2(v, u))) % 360 for u, v in pairs])
+    assert got[-2:] == [None, None]
+
+
+def test_wind_query_with_calm_rows(spark, tmp_path):
+    sql = catalog.ORACLE_SQL["e12_wind"]
+    spark.createDataFrame([(1, 0.0), (2, 0.005), (3, 12.34), (4, None)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT event_id, u, v, direction, east FROM ({sql})").fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["e12_wind"](spark, str(tmp_path)).collect())) == want and want[0][3] == 90.0

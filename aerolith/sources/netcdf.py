@@ -19,6 +19,7 @@ import json
 import math
 import os
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -43,6 +44,8 @@ CALENDARS = ("standard", "gregorian", "proleptic_gregorian")
 EPOCH = dt.datetime(1970, 1, 1)
 #: cells of a batch, bytes of a file that a task takes, bytes of a header that are read at first
 CELLS, SPLIT_BYTES, HEAD_BYTES = 1 << 16, 64 << 20, 1 << 16
+#: bytes between a variable's parts that are read along, bytes of records that are put together at once, of cells held in memory
+GAP_BYTES, BLOCK_BYTES, SPOOL_BYTES = 1 << 12, 4 << 20, 8 << 20
 SUFFIXES = (".nc", ".nc3", ".cdf")
 
 
@@ -190,7 +193,13 @@ class NetcdfFile:
         hi = inner if hi is None else hi
         if not shape:
             return np.frombuffer(self.read(v.begin, width), v.dtype)
-        if v.record:
+        if v.record and (every := self.header.record_bytes) - (hi - lo) * width <= GAP_BYTES:  # whole stretches of records
+            parts, some, step = [], (hi - lo) * width, max(1, BLOCK_BYTES // max(1, every))
+            for r in range(outer, stop, step):
+                k = min(step, stop - r)
+                got = self.read(v.begin + r * every + lo * width, (k - 1) * every + some)
+                parts.append(np.frombuffer(got + bytes(every - some), np.uint8).reshape(k, every)[:, :some].tobytes())
+        elif v.record:
             parts = [self.read(v.begin + r * self.header.record_bytes + lo * width, (hi - lo) * width) for r in range(outer, stop)]
         elif (lo, hi) == (0, inner):
             parts = [self.read(v.begin + outer * inner * width, (stop - outer) * inner * width)]
@@ -367,10 +376,11 @@ def read_table(f: NetcdfFile, share: Share, group: list[Variable], schema: T.Str
     for d in dims:
         v = coordinate(h, d)
         kind = kinds.get(h.names[d])
+        begin, end = (first, last) if d == dims[0] else (0, h.sizes[d])  # of the first one, the share's part
         if v is None:
-            axes.append(pa.array(np.arange(h.sizes[d])).cast(kind or pa.int64()))
+            axes.append(pa.array(np.arange(begin, end)).cast(kind or pa.int64()))
         else:
-            axes.append(decoded(v, f.flat(v, 0, h.sizes[d]), kind or arrow_type(TYPES[spark_type(v)])))
+            axes.append(decoded(v, f.flat(v, begin, end), kind or arrow_type(TYPES[spark_type(v)])))
     of = [[(sign, value) for name, sign, value in filters if name == h.names[d]] for d in dims]
     keep = [chosen(a, x) if x else np.ones(len(a), bool) for a, x in zip(axes, of, strict=True)]
     if not all(k.any() for k in keep):
@@ -399,15 +409,15 @@ def read_table(f: NetcdfFile, share: Share, group: list[Variable], schema: T.Str
 
     base = os.path.basename(share.path)
     rows_at_once = max(1, CELLS // (hi - lo))
-    places = np.flatnonzero(keep[0])
-    places = places[(places >= first) & (places < last)]
+    places = np.flatnonzero(keep[0]) + first
     for p in range(0, len(places), rows_at_once):
         some = places[p : p + rows_at_once]
         for a in range(lo, hi, CELLS):
             b = min(a + CELLS, hi)
             inside = np.unravel_index(np.arange(a, b), sizes[1:]) if len(dims) > 1 else ()
             index = [np.repeat(some, b - a), *(np.tile(i, len(some)) for i in inside)]
-            mask = np.logical_and.reduce([k[i] for k, i in zip(keep, index, strict=True)])
+            on_axis = [index[0] - first, *index[1:]]
+            mask = np.logical_and.reduce([k[i] for k, i in zip(keep, on_axis, strict=True)])
             if not mask.any():
                 continue
             rows = pa.array(np.flatnonzero(mask))
@@ -418,7 +428,7 @@ def read_table(f: NetcdfFile, share: Share, group: list[Variable], schema: T.Str
             out = []
             for x in schema.fields:
                 if x.name in names:
-                    out.append(axes[names[x.name]].take(pa.array(index[names[x.name]])).take(rows))
+                    out.append(axes[names[x.name]].take(pa.array(on_axis[names[x.name]])).take(rows))
                 elif x.name in fixed:
                     out.append(pa.array([fixed[x.name]] * len(rows), pa.string()))
                 elif long and x.name == "value":
@@ -441,8 +451,8 @@ def _pad(b: bytes) -> bytes:
     return b + b"\0" * (-len(b) % 4)
 
 
-def classic_bytes(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], int, dict, np.ndarray]], attrs: dict | None = None, version: int = 2, record: str | None = None) -> bytes:
-    """A file: dims, and (dimensions, type, attributes, values) by variable; `record` is the dimension without a bound."""
+def classic_head(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], int, dict]], attrs: dict | None = None, version: int = 2, record: str | None = None) -> tuple[bytes, dict[str, int]]:
+    """The header of a file with (dimensions, type, attributes) by variable, and the bytes of each one (of a record), padded."""
     wide = 8 if version == 5 else 4
     num = lambda n: n.to_bytes(wide, "big")
     text = lambda s: num(len(s.encode())) + _pad(s.encode())
@@ -462,15 +472,13 @@ def classic_bytes(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ..
 
     order = list(dims)
     head = b"CDF" + bytes([version]) + num(dims[record] if record else 0) + listed(DIMENSION, [text(n) + num(0 if n == record else s) for n, s in dims.items()]) + attributes(attrs or {})
-    one = {n: -(-math.prod(dims[d] for d in ds if d != record) * np.dtype(KINDS[k][0]).itemsize // 4) * 4 for n, (ds, k, _, _) in variables.items()}
-    at_record = lambda ds: record is not None and bool(ds) and ds[0] == record
-    moving = [n for n, (ds, *_) in variables.items() if at_record(ds)]
-    alone = len(moving) == 1
+    one = {n: -(-math.prod(dims[d] for d in ds if d != record) * np.dtype(KINDS[k][0]).itemsize // 4) * 4 for n, (ds, k, _) in variables.items()}
+    moving = moving_variables(variables, record)
     offset_bytes = 4 if version == 1 else 8
 
     def described(begins: dict[str, int]) -> bytes:
         items = []
-        for n, (ds, kind, a, _) in variables.items():
+        for n, (ds, kind, a) in variables.items():
             size = min(one[n], (1 << 32) - 1) if wide == 4 else one[n]
             items.append(text(n) + num(len(ds)) + b"".join(num(order.index(d)) for d in ds) + attributes(a) + kind.to_bytes(4, "big") + num(size) + begins[n].to_bytes(offset_bytes, "big"))
         return listed(VARIABLE, items)
@@ -479,51 +487,149 @@ def classic_bytes(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ..
     for n in [*(n for n in variables if n not in moving), *moving]:
         begins[n] = at
         at += one[n]
-    body = [head, described(begins)]
+    return head + described(begins), one
+
+
+def moving_variables(variables: dict[str, tuple], record: str | None) -> list[str]:
+    """Those on the record dimension; a single one isn't padded."""
+    return [n for n, (ds, *_) in variables.items() if record is not None and bool(ds) and ds[0] == record]
+
+
+def classic_bytes(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], int, dict, np.ndarray]], attrs: dict | None = None, version: int = 2, record: str | None = None) -> bytes:
+    """A file: dims, and (dimensions, type, attributes, values) by variable; `record` is the dimension without a bound."""
+    head, _ = classic_head(dims, {n: v[:3] for n, v in variables.items()}, attrs, version, record)
+    moving = moving_variables(variables, record)
     stored = {n: np.ascontiguousarray(v.astype(KINDS[k][0])) for n, (_, k, _, v) in variables.items()}
-    body += [_pad(stored[n].tobytes()) for n in variables if n not in moving]
+    body = [head, *(_pad(stored[n].tobytes()) for n in variables if n not in moving)]
     for r in range(dims[record] if record else 0):
-        body += [stored[n][r : r + 1].tobytes() if alone else _pad(stored[n][r : r + 1].tobytes()) for n in moving]
+        body += [stored[n][r : r + 1].tobytes() if len(moving) == 1 else _pad(stored[n][r : r + 1].tobytes()) for n in moving]
     return b"".join(body)
 
 
-def grid_file(table: pa.Table, dims: Sequence[str], schema: T.StructType, attrs: dict) -> bytes:
-    """A dense file of a table's cells; absent cells and nulls have the fill value; of equal cells the last one counts."""
-    kinds = {x.name: x.dataType.simpleString() for x in schema.fields}
-    sizes, coords, index = {}, {}, []
-    for d in dims:
-        column = table[d].combine_chunks()
+class GridFile:
+    """A dense file of cells that come sorted by the first dimension; absent cells and nulls have the fill value; of equal
+    cells the last one counts. The header needs the sizes, so that cells go to a temporary file first (to memory, if few) and
+    records are put together from there: what is held are some blocks of records, a record at least, and the inner axes."""
+
+    def __init__(self, dims: Sequence[str], schema: T.StructType, attrs: dict):
+        self.dims, self.attrs = list(dims), attrs
+        self.kinds = {x.name: x.dataType.simpleString() for x in schema.fields}
+        self.names = [n for n in self.kinds if n not in dims]
+        self.records, self.last = 0, None  # of the first dimension's values
+        self.axes = {d: np.zeros(0, np.int64) for d in self.dims[1:]}
+        self.widths = {n: 1 for n in self.names if WRITTEN[self.kinds[n]] == 2}
+        self.spool = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES)
+        self.cells: pa.RecordBatchStreamWriter | None = None
+
+    def _numbers(self, batch: pa.RecordBatch, name: str) -> np.ndarray:
+        column = batch.column(name)
         if column.null_count:
-            raise ValueError(f"dimension {d} holds a null")
-        if kinds[d] == "timestamp_ntz":
-            column = column.cast(pa.timestamp("us")).cast(pa.int64())
-        values, at = np.unique(column.to_numpy(zero_copy_only=False), return_inverse=True)
-        sizes[d], coords[d] = len(values), values / 1e6 if kinds[d] == "timestamp_ntz" else values
-        index.append(at)
-    shape = tuple(sizes.values())
-    cell = np.ravel_multi_index(index, shape) if len(table) else np.zeros(0, np.int64)
-    out, names = {}, [x.name for x in schema.fields if x.name not in dims]
-    for d in dims:
-        out[d] = ((d,), WRITTEN[kinds[d]], {**(TIME_ATTRS if kinds[d] == "timestamp_ntz" else {}), **attrs.get(d, {})}, coords[d])
-    for n in names:
-        column, kind, own = table[n].combine_chunks(), WRITTEN[kinds[n]], dict(attrs.get(n, {}))
-        if kind == 2:
-            raw = [(x or "").encode() for x in column.to_pylist()]
-            width = max([1, *map(len, raw)])
-            sizes[f"{n}_length"] = width
-            flat = np.zeros(math.prod(shape), f"S{width}")
-            flat[cell] = raw
-            out[n] = ((*dims, f"{n}_length"), 2, own, flat.view("S1").reshape(*shape, width))
-            continue
-        if kinds[n] == "timestamp_ntz":
-            column, own = column.cast(pa.timestamp("us")).cast(pa.int64()), {**TIME_ATTRS, **own}
-        valid = column.is_valid().to_numpy(zero_copy_only=False)
-        flat = np.full(math.prod(shape), FILLS[kind], np.dtype(KINDS[kind][0]).newbyteorder("="))
-        got = column.fill_null(0).to_numpy(zero_copy_only=False)
-        flat[cell[valid]] = got[valid] / 1e6 if kinds[n] == "timestamp_ntz" else got[valid]
-        out[n] = (tuple(dims), kind, {**own, "_FillValue": (kind, [FILLS[kind]])}, flat.reshape(shape))
-    version = 5 if any(k == 10 for _, k, _, _ in out.values()) else 2
-    return classic_bytes(sizes, out, attrs.get("", {}), version, dims[0])
+            raise ValueError(f"dimension {name} holds a null")
+        return (column.cast(pa.timestamp("us")).cast(pa.int64()) if self.kinds[name] == "timestamp_ntz" else column).to_numpy(zero_copy_only=False)
+
+    @staticmethod
+    def _turns(values: np.ndarray, last) -> np.ndarray:
+        """Where a value differs from the one before it."""
+        before = np.concatenate([values[:1] if last is None else np.array([last], values.dtype), values[:-1]])
+        turn = (values != before) & ~((values != values) & (before != before))  # NaN is one value
+        turn[0] |= last is None
+        if (values < before).any() or ((before != before) & (values == values)).any():
+            raise ValueError("rows aren't sorted by the first dimension; use write_netcdf")
+        return turn
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        import pyarrow.compute as pc
+
+        if not len(batch):
+            return
+        first = self._numbers(batch, self.dims[0])
+        self.records += int(self._turns(first, self.last).sum())
+        self.last = first[-1]
+        for d, axis in self.axes.items():
+            values = self._numbers(batch, d)
+            self.axes[d] = np.unique(np.concatenate([axis.astype(values.dtype), values]))
+        for n in self.widths:
+            self.widths[n] = max(self.widths[n], pc.max(pc.binary_length(batch.column(n))).as_py() or 0)
+        if self.cells is None:
+            self.cells = pa.ipc.new_stream(self.spool, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+        self.cells.write_batch(batch)
+
+    def _coordinate(self, d: str, values: np.ndarray) -> np.ndarray:
+        return values / 1e6 if self.kinds[d] == "timestamp_ntz" else values
+
+    def write(self, out) -> None:
+        """The file's bytes, to a stream."""
+        first = self.dims[0]
+        sizes = {first: self.records, **{d: len(a) for d, a in self.axes.items()}, **{f"{n}_length": w for n, w in self.widths.items()}}
+        variables: dict[str, tuple[tuple[str, ...], int, dict]] = {}
+        for n in [*self.dims, *self.names]:
+            kind, times = WRITTEN[self.kinds[n]], TIME_ATTRS if self.kinds[n] == "timestamp_ntz" else {}
+            own = {**times, **self.attrs.get(n, {})}
+            if n in self.dims:
+                variables[n] = ((n,), kind, own)
+            elif kind == 2:
+                variables[n] = ((*self.dims, f"{n}_length"), 2, own)
+            else:
+                variables[n] = (tuple(self.dims), kind, {**own, "_FillValue": (kind, [FILLS[kind]])})
+        head, one = classic_head(sizes, variables, self.attrs.get("", {}), 5 if any(k == 10 for _, k, _ in variables.values()) else 2, first)
+        out.write(head)
+        for d, axis in self.axes.items():
+            out.write(_pad(self._coordinate(d, axis).astype(KINDS[variables[d][1]][0]).tobytes()))
+        inner = math.prod(len(a) for a in self.axes.values())
+        moving = moving_variables(variables, first)
+        at, every = {}, 0  # where a variable begins in a record
+        for n in moving:
+            at[n] = every
+            every += one[n] if len(moving) > 1 else np.dtype(KINDS[variables[n][1]][0]).itemsize
+        empty = np.zeros((1, every), np.uint8)
+        for n in self.names:
+            if n not in self.widths:
+                kind = variables[n][1]
+                fill = np.full(inner, FILLS[kind], KINDS[kind][0]).view(np.uint8)
+                empty[0, at[n] : at[n] + len(fill)] = fill
+        self.cells.close()
+        self.spool.seek(0)
+        step, opened_record, last = max(1, BLOCK_BYTES // every), None, None
+        for batch in pa.ipc.open_stream(self.spool):
+            values = self._numbers(batch, first)
+            record = np.cumsum(self._turns(values, last)) - (last is None)  # 0: the one that is open
+            last = values[-1]
+            for lo in range(0, int(record[-1]) + 1, step):
+                a, b = np.searchsorted(record, [lo, lo + step])
+                part, row = batch.slice(a, b - a), record[a:b] - lo
+                block = np.repeat(empty, min(step, int(record[-1]) + 1 - lo), axis=0)
+                if lo == 0 and opened_record is not None:
+                    block[:1] = opened_record
+                self._fill(block, part, row, at, variables, inner)
+                done = lo + len(block) <= record[-1]
+                out.write((block if done else block[:-1]).tobytes())
+                if not done:  # goes on in the next batch, perhaps
+                    opened_record = block[-1:].copy()
+        out.write(opened_record.tobytes())
+        self.spool.close()
+
+    def _fill(self, block: np.ndarray, cells: pa.RecordBatch, row: np.ndarray, at: dict[str, int], variables: dict, inner: int) -> None:
+        cell = np.zeros(len(cells), np.int64)
+        for d, axis in self.axes.items():
+            cell = cell * len(axis) + np.searchsorted(axis, self._numbers(cells, d))
+        first = self.dims[0]
+
+        def put(name: str, rows: np.ndarray, places: np.ndarray, values: np.ndarray, count: int) -> None:
+            stored = block[:, at[name] : at[name] + count * values.dtype.itemsize].copy()
+            stored.view(values.dtype)[rows, places] = values
+            block[:, at[name] : at[name] + stored.shape[1]] = stored
+
+        put(first, row, np.zeros(len(row), np.int64), self._coordinate(first, self._numbers(cells, first)).astype(KINDS[variables[first][1]][0]), 1)
+        for n in self.names:
+            column, kind = cells.column(n), variables[n][1]
+            if kind == 2:
+                put(n, row, cell, np.array([(x or "").encode() for x in column.to_pylist()], f"S{self.widths[n]}"), inner)
+                continue
+            if self.kinds[n] == "timestamp_ntz":
+                column = column.cast(pa.timestamp("us")).cast(pa.int64())
+            valid = column.is_valid().to_numpy(zero_copy_only=False)
+            got = column.fill_null(0).to_numpy(zero_copy_only=False)[valid]
+            put(n, row[valid], cell[valid], (got / 1e6 if self.kinds[n] == "timestamp_ntz" else got).astype(KINDS[kind][0]), inner)
 
 
 @dataclass
@@ -532,7 +638,8 @@ class Written(WriterCommitMessage):
 
 
 class NetcdfWriter(DataSourceArrowWriter):
-    """One file for each value of the key columns, which a task's rows hold in a row; files get their names on commit."""
+    """One file for each value of the key columns, by which a task's rows are sorted, then by the dimensions; files get their
+    names on commit."""
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         self.path, self.overwrite, self.schema = options["path"], overwrite, schema
@@ -544,29 +651,28 @@ class NetcdfWriter(DataSourceArrowWriter):
         system.create_dir(root, recursive=True)
         stored = T.StructType([x for x in self.schema.fields if x.name not in self.key])
         done: list[tuple[str, str]] = []
-        held: list[pa.RecordBatch] = []
+        held: GridFile | None = None
         last: tuple | None = None
 
         def close() -> None:
-            if not held:
+            if held is None:
                 return
-            data = grid_file(pa.Table.from_batches(held).select(stored.names), self.dims, stored, self.attrs)
             stem = "_".join(["part", *(re.sub(r"[^A-Za-z0-9.-]", "-", str(x)) for x in last or ())])
             name, hidden = f"{stem}-{uuid.uuid4().hex}.nc", f"_writing-{uuid.uuid4().hex}"
             with system.open_output_stream(f"{root}/{hidden}") as f:
-                f.write(data)
+                held.write(f)
             done.append((hidden, name))
-            held.clear()
 
         for b in batches:
             keys = list(zip(*(b.column(k).to_pylist() for k in self.key), strict=True)) if self.key else [()] * len(b)
+            cells = b.select(stored.names)
             lo = 0
             for i in range(1, len(keys) + 1):
                 if i == len(keys) or keys[i] != keys[lo]:
-                    if last != keys[lo]:
+                    if held is None or last != keys[lo]:
                         close()
-                        last = keys[lo]
-                    held.append(b.slice(lo, i - lo))
+                        held, last = GridFile(self.dims, stored, self.attrs), keys[lo]
+                    held.add(cells.slice(lo, i - lo))
                     lo = i
         close()
         return Written(done)
@@ -631,10 +737,13 @@ def read_netcdf(spark: SparkSession, path: str, variables: Sequence[str] | None
 
 def write_netcdf(df: DataFrame, path: str, dims: Sequence[str], per_file: Sequence[str] = (), attributes: dict | None = None, mode: str = "append") -> None:
     """Write one dense file for each value of the per_file columns (or one a partition); the first dimension is the record
-    dimension. A file is put together in one task, so choose keys whose grids fit there. attributes: by variable."""
+    dimension. A file is put together in one task, by records, from rows that Spark sorts: a record must fit in memory, a file
+    needn't. attributes: by variable."""
     df.sparkSession.dataSource.register(NetcdfDataSource)
     if per_file:
-        df = df.repartition(*per_file).sortWithinPartitions(*per_file)
+        df = df.repartition(*per_file).sortWithinPartitions(*per_file, *dims)
+    else:  # of equal cells the last one counts
+        df = df.withColumn("_place", F.monotonically_increasing_id()).sortWithinPartitions(*dims, "_place").drop("_place")
     w = df.write.format("netcdf").mode(mode).option("dims", ",".join(dims)).option("key", ",".join(per_file)).option("attributes", json.dumps(attributes or {}))
     w.save(path)
 

@@ -170,3 +170,65 @@ def test_component_times(spark):
     parts = spark.createDataFrame([(i, c, x) for i, xs in ((0, (2020, 2, 29, 1, 2, 3)), (1, (2021, 1, 1, 0, 0, 0))) for c, x in enumerate(xs)], "i int, c int, value int")
     got = {r["v"]: r["time"] for r in nc.with_component_time(df, parts, ["i"], "c").collect()}
     assert got == {1.0: dt.datetime(2020, 2, 29, 1, 2, 3), 2.0: dt.datetime(2021, 1, 1), 3.0: None}
+
+
+def test_a_file_is_put_together_by_records(tmp_path, monkeypatch):
+    """The same bytes as from whole arrays, whatever the batches; what is held doesn't grow with the file."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    schema = nc.T.StructType([nc.T.StructField(n, nc.TYPES[t]) for n, t in (("k", "string"), ("t", "int"), ("x", "double"), ("v", "double"), ("s", "string"), ("n", "smallint"))])
+
+    def written(table, dims, step, name):
+        w = nc.NetcdfWriter({"path": str(tmp_path / name), "dims": dims, "key": "k"}, schema, False)
+        w.commit([w.write(iter(table.to_batches(step)))])
+        return sorted((tmp_path / name).glob("part_a*.nc"))
+
+    rng = np.random.default_rng(2)
+    t, x = np.divmod(np.flatnonzero(rng.random(200) < 0.6), 4)
+    v, text, n = rng.normal(size=len(t)), ["xyz"[: i % 4] for i in range(len(t))], np.arange(len(t)) % 50
+    table = pa.table({"k": ["a"] * len(t), "t": pa.array(t, pa.int32()), "x": x * 0.5, "v": v, "s": text, "n": pa.array(n, pa.int16(), mask=n == 7)})
+    times, shape = np.unique(t), (len(np.unique(t)), 4)
+    at = (np.searchsorted(times, t), x)
+    values, numbers, texts = np.full(shape, nc.FILLS[6]), np.full(shape, nc.FILLS[3]), np.zeros(shape, "S3")
+    values[at], texts[at] = v, [s.encode() for s in text]
+    numbers[at[0][n != 7], at[1][n != 7]] = n[n != 7]
+    fill = lambda kind: {"_FillValue": (kind, [nc.FILLS[kind]])}
+    variables = {"t": (("t",), 4, {}, times), "x": (("x",), 6, {}, np.arange(4) * 0.5), "v": (("t", "x"), 6, fill(6), values), "s": (("t", "x", "s_length"), 2, {}, texts.view("S1").reshape(*shape, 3)), "n": (("t", "x"), 3, fill(3), numbers)}
+    want = nc.classic_bytes({"t": len(times), "x": 4, "s_length": 3}, variables, {}, 2, "t")
+    for step in (1, 7, 1000):
+        assert written(table, "t,x", step, f"step{step}")[0].read_bytes() == want
+    monkeypatch.setattr(nc, "BLOCK_BYTES", 100)  # a record or two at once
+    monkeypatch.setattr(nc, "SPOOL_BYTES", 100)
+    assert written(table, "t,x", 1000, "small")[0].read_bytes() == want
+    monkeypatch.setattr(nc, "BLOCK_BYTES", 1 << 16)
+    with pytest.raises(ValueError, match="sorted"):
+        written(table.take(pa.array(range(len(t) - 1, -1, -1))), "t,x", 1000, "unsorted")
+
+    def peak(rows):
+        long = pa.table({"k": ["a"] * rows, "t": pa.array(np.arange(rows), pa.int32()), "x": np.zeros(rows), "v": np.zeros(rows), "s": ["view"] * rows, "n": pa.array(np.zeros(rows), pa.int16())})
+        tracemalloc.start()
+        try:
+            assert len(written(long, "t", 5000, f"long{rows}")) == 1
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    few, many = peak(80_000), peak(240_000)
+    assert many < 1.5 * few and many < 10e6
+
+
+def test_records_are_read_in_stretches():
+    """Small records by whole stretches, of which a share takes its own, coordinates too."""
+    n = 50_000
+    variables = {"obs": (("obs",), 4, {}, np.arange(n) * 3), "v": (("obs",), 6, {}, np.arange(n) / 8), "s": (("obs", "l"), 2, {}, np.full((n, 1), b"q", "S1"))}
+    data = nc.classic_bytes({"obs": n, "l": 1}, variables, {}, 2, "obs")
+    reads = []
+    f = nc.NetcdfFile(lambda at, k: (reads.append(k), data[at : at + k])[1], len(data))
+    assert f.flat(f.header.variables["v"], 17, n).tolist() == (np.arange(17, n) / 8).tolist()  # the last record too
+    reads.clear()
+    schema = nc.T.StructType([nc.T.StructField(c, nc.TYPES[t]) for c, t in (("obs", "int"), ("v", "double"), ("s", "string"))])
+    got = [r for b in nc.read_table(f, nc.Share("a.nc", 3, 10), [f.header.variables[c] for c in "vs"], schema, [], False) for r in b.to_pylist()]
+    assert got == [{"obs": 3 * i, "v": i / 8, "s": "q"} for i in range(15_000, 20_000)]
+    assert len(reads) <= 6 and sum(reads) <= 3 * len(data) / 10

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import physics, timeops
 from . import intervals, ordered
@@ -31,43 +33,102 @@ def _finite(value: str) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
-class _Bounds(pd.api.indexers.BaseIndexer):
-    """Windows by the places of their first row and of the row behind their last."""
+#: windows whose quantiles are found at once
+WINDOWS = 1 << 17
+
+
+def _kth(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th smallest (from 0) of values[lo:hi], for many windows: bit by bit of the values' ranks, whose rows are parted
+    by each bit in turn, the windows along with them."""
+    ranks, code = np.unique(values, return_inverse=True)
+    code = code.astype(np.int32)
+    lo, hi, k, found = lo.astype(np.int32), hi.astype(np.int32), k.astype(np.int32), np.zeros(len(k), np.int32)
+    for bit in range(max(len(ranks) - 1, 0).bit_length() - 1, -1, -1):
+        low = (code >> bit) & 1 == 0
+        before = np.zeros(len(code) + 1, np.int32)
+        np.cumsum(low, out=before[1:])
+        a, b = before[lo], before[hi]
+        right = k >= b - a
+        found[right] |= 1 << bit
+        k = np.where(right, k - (b - a), k)
+        lo, hi = np.where(right, before[-1] + lo - a, a), np.where(right, before[-1] + hi - b, b)
+        code = np.concatenate([code[low], code[~low]])
+    return ranks[found]
+
+
+def _quantiles(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: float) -> np.ndarray:
+    """The quantile, between two values by their distance, of each values[lo:hi]; NaN if that is empty. lo and hi don't fall."""
+    out = np.full(len(lo), np.nan)
+    for i in range(0, len(lo), WINDOWS):
+        some = np.flatnonzero(hi[i : i + WINDOWS] > lo[i : i + WINDOWS]) + i
+        if not len(some):
+            continue
+        first, last = lo[some[0]], hi[some[-1]]
+        a, b = lo[some] - first, hi[some] - first
+        place = q * (b - a - 1)
+        k = place.astype(np.int64)
+        held = values[first:last]
+        low, high = (_kth(held, a, b, np.minimum(at, b - a - 1)) for at in (k, k + 1))
+        out[some] = low + (high - low) * (place - k)
+    return out
+
+
+def _by_halo(df: DataFrame, size: int, back: int, ahead: int, run: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], np.ndarray], value: str, into: str) -> DataFrame:
+    """df without `value`, with a double `into`: run(rows, their order by _us, lo, hi) for the rows of each bucket of _us, whose windows
+    (t - back, t + ahead] hold the ordered rows lo..hi. A bucket comes with the rows within back or ahead of it."""
+    kept = [c for c in df.columns if c != value]
+    home = F.floor(F.col("_us") / size)
+    spread = F.sequence(F.floor((F.col("_us") - ahead) / size), F.floor((F.col("_us") + back) / size))
+    # rows of the halo bring their time and value only
+    dealt = df.filter("_us IS NOT NULL").withColumn("_home", home).withColumn("_bucket", F.explode(spread))
+    here = F.col("_home") == F.col("_bucket")
+    rows = dealt.select("_bucket", here.alias("_here"), "_us", value, *[F.when(here, F.col(c)).alias(c) for c in kept if c not in ("_us", value)])
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(into, T.DoubleType())])
+
+    def each(p: pa.Table) -> pa.Table:
+        t = p["_us"].to_numpy()
+        here = p["_here"].to_numpy()
+        order = np.argsort(t, kind="stable")
+        mine = order[here[order]]
+        got = run(p[value].to_numpy(), order, t, mine)
+        out = p.select(kept).take(pa.array(mine))
+        return out.append_column(into, pa.array(got, pa.float64(), mask=np.isnan(got)))
 
-    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
-        return self.lo, self.hi
+    return rows.groupBy("_bucket").applyInArrow(each, schema)
 
 
 def rolling_baseline(df: DataFrame, value: str = "value", ts: str = "ts", window_us: int = 86_400_000_000, q: float = 0.01, min_periods: int = 1, bucket_us: int | None = None, center: bool = True) -> DataFrame:
     """(ts, value, baseline) of one long series: quantile and then mean over (t - w/2, t + w/2] or, not centred, (t - w, t].
 
-    Buckets of time come with a halo: one window on both sides, or two before them.
+    Quantiles first, then means of these, by buckets of time with a halo of what the windows of their rows hold: a task has the
+    times and values of a bucket (a window long by default) and of a window, whatever the series' length.
     """
-    size = bucket_us or 4 * window_us
-    before, behind = (window_us, window_us) if center else (2 * window_us, 0)
-    if size < before:
-        raise ValueError("a bucket must hold what its first row looks back on")
-    us = df.select(ts, value, timeops.micros(ts).alias("_us"))
-    home = F.floor(F.col("_us") / size)
-    near = F.array_distinct(F.array(home, F.floor((F.col("_us") - behind) / size), F.floor((F.col("_us") + before) / size)))
-    dealt = us.withColumn("_home", home).withColumn("_bucket", F.explode(near))
+    size = bucket_us or window_us
     back, ahead = (window_us // 2, window_us // 2) if center else (window_us, 0)
+    if size < 1:
+        raise ValueError("a bucket has a length")
+    least = max(1, min_periods)
+
+    def bounds(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(t, at - back, side="right"), np.searchsorted(t, at + ahead, side="right")
+
+    def quantile(v: np.ndarray, order: np.ndarray, t: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        order = order[np.isfinite(v[order])]
+        lo, hi = bounds(t[order], t[mine])
+        hi = np.where(hi - lo >= least, hi, lo)
+        return _quantiles(v[order], lo, hi, q)
+
+    def mean(v: np.ndarray, order: np.ndarray, t: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        order = order[~np.isnan(v[order])]
+        lo, hi = bounds(t[order], t[mine])
+        # sums from the start would lose the last digits of a window's
+        total = np.concatenate([np.zeros(1, np.longdouble), np.cumsum(v[order], dtype=np.longdouble)])
+        return np.where(hi - lo >= least, (total[hi] - total[lo]) / np.maximum(hi - lo, 1), np.nan).astype(np.float64)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("_us", kind="stable")
-        t = p["_us"].to_numpy()
-        windows = _Bounds(lo=np.searchsorted(t, t - back, side="right"), hi=np.searchsorted(t, t + ahead, side="right"))
-        v = p[value].astype(float)
-        low = v.where(np.isfinite(v)).rolling(windows, min_periods=max(1, min_periods)).quantile(q)
-        ok = low.notna().to_numpy()
-        total, count = np.concatenate([[0], np.cumsum(np.where(ok, low, 0))]), np.concatenate([[0], np.cumsum(ok)])
-        n = count[windows.hi] - count[windows.lo]
-        out = p[[ts, value]].assign(baseline=np.where(n >= max(1, min_periods), (total[windows.hi] - total[windows.lo]) / np.maximum(n, 1), np.nan))
-        out["baseline"] = out["baseline"].astype(object).where(out["baseline"].notna(), None)
-        return out[(p["_home"] == p["_bucket"]).to_numpy()]
-
-    schema = f"{ts} {df.schema[ts].dataType.simpleString()}, {value} double, baseline double"
-    return dealt.withColumn(value, F.col(value).cast("double")).groupBy("_bucket").applyInPandas(run, schema)
+    v = F.col(value).cast("double")
+    us = df.select(F.col(ts), F.when(~F.isnan(v), v).alias(value), timeops.micros(ts).alias("_us"))
+    low = _by_halo(us.withColumn("_finite", _finite(value)), size, back, ahead, quantile, "_finite", "_low")
+    return _by_halo(low, size, back, ahead, mean, "_low", "baseline").select(ts, value, "baseline")
 
 
 def phase_shift_baseline(df: DataFrame, value: str = "value", ts: str = "ts", n: int = 3600, q: float = 0.01) -> DataFrame:

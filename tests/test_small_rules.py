@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +63,36 @@ def test_wind_query_with_calm_rows(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = sorted(con.execute(f"SELECT event_id, u, v, direction, east FROM ({sql})").fetchall())
     assert sorted(map(tuple, catalog.QUERIES["e12_wind"](spark, str(tmp_path)).collect())) == want and want[0][3] == 90.0
+
+
+def test_quantiles_of_many_windows(monkeypatch):
+    monkeypatch.setattr(series, "WINDOWS", 50)
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=300), rng.integers(0, 5, 300) / 4, np.zeros(300), rng.normal(size=1)):
+        lo = np.sort(rng.integers(0, len(values) + 1, 170))
+        hi = np.maximum.accumulate(np.maximum(lo, np.sort(rng.integers(0, len(values) + 1, 170))))
+        for q in (0.0, 0.01, 0.5, 0.73, 1.0):
+            want = [np.quantile(values[a:b], q) if b > a else np.nan for a, b in zip(lo, hi, strict=True)]
+            assert np.allclose(series._quantiles(values, lo, hi, q), want, rtol=0, atol=1e-12, equal_nan=True)
+
+
+@pytest.mark.parametrize("center", [True, False])
+def test_baseline_tasks_hold_two_windows(spark, center):
+    """A bucket and what its windows hold: not the rows of six days, and no digits lost to what lies in other days."""
+    t0, hour = dt.datetime(2024, 1, 1), 3_600_000_000
+    rows = [(t0 + dt.timedelta(minutes=10 * i), 1e12 if i < 144 else 0.1 + i % 3) for i in range(6 * 144)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, value double")
+    us = df.withColumn("_us", timeops.micros("ts"))
+    held = series._by_halo(us, 24 * hour, *((12 * hour, 12 * hour) if center else (24 * hour, 0)), lambda v, order, t, mine: np.full(len(mine), float(len(t))), "value", "held")
+    assert held.count() == len(rows) and held.agg(F.max("held")).first()[0] <= 2 * 144 + 1
+    for bucket in (None, hour):
+        got = series.rolling_baseline(df, center=center, bucket_us=bucket).orderBy("ts").collect()
+        assert [(r["ts"], r["value"]) for r in got] == rows
+        assert max(abs(r["baseline"] - 0.1) for r in got[3 * 144 + 1 :]) < 1e-13
+
+
+def test_baseline_of_too_few_values(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t0 + dt.timedelta(hours=h), v) for h, v in ((0, 1.0), (5, float("nan")), (6, 3.0), (200, 5.0))] + [(None, 1.0)], "ts timestamp_ntz, value double")
+    got = series.rolling_baseline(df, q=0.5, min_periods=2).orderBy("ts").collect()
+    assert [(r["value"], r["baseline"]) for r in got] == [(1.0, 2.0), (None, 2.0), (3.0, 2.0), (5.0, None)]

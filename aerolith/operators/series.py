@@ -34,7 +34,7 @@ def _finite(value: str) -> Column:
 
 
 #: windows whose quantiles are found at once
-WINDOWS = 1 << 17
+WINDOWS = 1 << 15
 
 
 def _kth(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -67,15 +67,23 @@ def _quantiles(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: float) ->
         a, b = lo[some] - first, hi[some] - first
         place = q * (b - a - 1)
         k = place.astype(np.int64)
+        top = np.minimum(k + 1, b - a - 1)
         held = values[first:last]
-        low, high = (_kth(held, a, b, np.minimum(at, b - a - 1)) for at in (k, k + 1))
+        # a window lacks so many of the held values at most: its k-th one is among these ranks of them
+        least, most = int(k.min()), int((top + len(held) - (b - a)).max())
+        ends = np.partition(held, [least, most])[[least, most]]
+        below, kept = held < ends[0], (held >= ends[0]) & (held <= ends[1])
+        under, place_of = (np.concatenate([[0], np.cumsum(x)]) for x in (below, kept))
+        gone = under[b] - under[a]
+        a, b = np.tile(place_of[a], 2), np.tile(place_of[b], 2)
+        low, high = np.split(_kth(held[kept], a, b, np.concatenate([k - gone, top - gone])), 2)
         out[some] = low + (high - low) * (place - k)
     return out
 
 
-def _by_halo(df: DataFrame, size: int, back: int, ahead: int, run: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], np.ndarray], value: str, into: str) -> DataFrame:
-    """df without `value`, with a double `into`: run(rows, their order by _us, lo, hi) for the rows of each bucket of _us, whose windows
-    (t - back, t + ahead] hold the ordered rows lo..hi. A bucket comes with the rows within back or ahead of it."""
+def _by_halo(df: DataFrame, size: int, back: int, ahead: int, run: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], value: str, into: str) -> DataFrame:
+    """df without `value`, with a double `into`: run(values, their order by _us, _us, the places of the bucket's own rows in that
+    order) for each bucket of _us, which comes with the rows that the windows (t - back, t + ahead] of its rows hold."""
     kept = [c for c in df.columns if c != value]
     home = F.floor(F.col("_us") / size)
     spread = F.sequence(F.floor((F.col("_us") - ahead) / size), F.floor((F.col("_us") + back) / size))
